@@ -60,8 +60,10 @@ def cell_intensity(cell: Column) -> Column:
 
 
 def format_k(n: Column) -> Column:
-    """Thousands as ``1.2k``."""
-    return F.when(n >= 1000, F.format_string("%.1fk", n / 1000)).otherwise(n.cast("string"))
+    """Thousands as ``1.2k``; an exact half rounds up, any other by its binary value."""
+    thousands = F.when(n % 500 == 250, n + 1).otherwise(n) / 1000
+    return F.when(n >= 1000, F.concat(F.call_function("format_number", thousands, F.lit("0.0")), F.lit("k"))).otherwise(
+        n.cast("string"))
 
 
 def grade_class(grade: Column) -> Column:

@@ -56,7 +56,8 @@ def security_line_hits(
     """Unattributed built-in hits with their snippet.
 
     Without ``packs`` the languages of each repository decide which rules reach its
-    shared config files; with ``packs`` only those apply, everywhere.
+    shared config files; with ``packs`` those apply to every repository, and a single
+    pack runs all its rules on all its files.
     """
     active = select_rules(rules, disabled=disabled, packs=packs)
     readable = readable_files(listed_files(files, SECURITY, packs=packs, exclude=exclude))
@@ -64,7 +65,7 @@ def security_line_hits(
         F.contains("content", F.lit(CLIENT_KEY_PREFIX)),
         matches(F.col("content"), CLIENT_CONFIG_WORDS, ignore_case=True)).otherwise(F.lit(False))
     hits = scan_rules(
-        readable.withColumn("client_text", client_text), active, markers=markers, scoped=packs is None,
+        readable.withColumn("client_text", client_text), active, markers=markers, scoped=packs is None or len(packs) > 1,
         keep=["client_text"])
     hits = hits.filter(~is_sample_credential(F.col("line"), F.col("path"))).select(
         "repo_id", "path", "line_no", "rule_id", clip(F.col("line")).alias("snippet"), "client_text",

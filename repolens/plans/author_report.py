@@ -42,7 +42,7 @@ def smell_scan(
     """
     active = select_rules(rules, disabled=disabled, packs=packs)
     readable = readable_files(listed_files(files, SMELL, packs=packs, exclude=exclude))
-    hits = scan_rules(readable, active, markers=markers, scoped=packs is None).drop("line", "previous")
+    hits = scan_rules(readable, active, markers=markers, scoped=packs is None or len(packs) > 1).drop("line", "previous")
     large = None if LARGE_RULE_ID in disabled else large_files(readable)
     by_file = blame_by_file(blame_lines)
     counts = smell_counts(hits, blame_lines, large, by_file)

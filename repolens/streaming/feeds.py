@@ -108,7 +108,7 @@ def stream_findings(
 def stream_snapshots(
     commits: DataFrame, totals: str, snapshots: str, checkpoint: str, **trigger,
 ) -> StreamingQuery:
-    """After every batch, store the totals and the snapshot of the authors that changed.
+    """After every batch, store the changed totals and a snapshot of all authors so far.
 
     Lines are not part of a commit feed; their totals are 0 here.
     """

@@ -1,0 +1,218 @@
+"""Repository tables derived from the driver's tables.
+
+``SHARED_SQL`` runs unchanged in Spark and DuckDB; ``blame_lines`` needs each
+engine's own way to unnest.  Every table is as long as its source: the modulo terms
+choose values, they never drop rows.
+"""
+
+from __future__ import annotations
+
+import os
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from repolens.sources.config import roster_rows
+from repolens.sources.tables import spread
+
+EXCLUDE = ["legacy/**", "vendor/*", "package-lock.json"]
+DISABLED = ["nonnull", "xss-eval", "large"]
+PERIOD_START = "1998-01-01"
+SNAPSHOT_DATE = "2000-01-01"
+
+SHARED_SQL = {
+    "commits": """
+select 'r' || cast(o_custkey % 3 as string) as repo_id, cast(o_orderkey as string) as sha,
+ case when o_orderkey % 7 = 3 then 'D. ' else 'Dev ' end || cast(o_custkey % 37 as string) as author_name,
+ case when o_orderkey % 5 = 0 then 'DEV' else 'dev' end || cast(o_custkey % 37 as string) || '@ex.com' as author_email,
+ cast(cast(o_orderdate as date) - cast(o_orderkey % 3 as int) as date) as author_date,
+ cast(o_orderdate as timestamp) as commit_ts,
+ case o_orderkey % 7 when 0 then 'feat(core): add item' when 1 then 'fix: crash ABC-12' when 2 then 'update stuff'
+ when 3 then 'refactor: split #4' when 4 then 'feature: x' when 5 then 'chore!: drop' else 'wip ISE-101' end as subject
+from orders""",
+    "commit_files": """
+select c.repo_id, c.sha,
+ case (l_orderkey + l_linenumber) % 6 when 0 then 'src/app/a.ts' when 1 then 'legacy/Old.java' when 2 then 'lib/main.dart'
+ when 3 then './vendor/lib.js' when 4 then 'package-lock.json' else 'docs/readme.md' end as path,
+ case when l_returnflag = 'R' and l_linenumber = 1 then null else cast(l_quantity as int) end as added,
+ case when l_returnflag = 'R' and l_linenumber = 1 then null else l_linenumber end as deleted
+from lineitem join commits c on c.sha = cast(l_orderkey as string)""",
+    "file_base": """
+select doc_id, 'r' || cast(doc_id % 3 as string) as repo_id,
+ case doc_id % 11 when 0 then 'legacy/' when 1 then 'vendor/' when 2 then 'scripts/' when 3 then 'src/app/payment/' else 'src/' end
+ || source || '/d' || cast(doc_id as string)
+ || case doc_id % 6 when 0 then '.ts' when 1 then '.java' when 2 then '.dart' when 3 then '.html' when 4 then '.env' else '.py' end as path,
+ text || chr(10) || case doc_id % 13
+ when 0 then 'const a: any = 1; console.log(a); // TODO'
+ when 1 then 'try {' || chr(10) || ' go();' || chr(10) || '} catch (e) {' || chr(10) || '}'
+ when 2 then 'API_KEY=abcdef1234567890xyz'
+ when 3 then 'if (name == "y") System.out.println("x");'
+ when 4 then '<img src="a.png">' || chr(10) || '<img' || chr(10) || ' src="d.png" [attr.alt]="l">' || chr(10) || '<button (click)="go()">go</button>'
+ when 5 then 'el.innerHTML = userInput; eval(x);'
+ when 6 then 'a.subscribe(x => { b.subscribe(y => y.z!.w); });'
+ when 7 then 'const k = { apiKey: "AIzaSyA123456789012345678901234567890", authDomain: "x.firebaseapp.com" };'
+ when 8 then 'secret = "averylongsecretvalue"; // lens-ignore'
+ when 9 then '// lens-disable-next-line' || chr(10) || 'document.title = 1;'
+ when 10 then '// sample password = "averylongsecretvalue"'
+ when 11 then '@Component({ selector: "a", template: "" })'
+ else 'http.post(url); print(x); window.open(); navigator.clipboard' end || chr(10) as content
+from documents""",
+    "files": "select repo_id, path, content from file_base",
+    "people": "select distinct 'r' || cast(o_custkey % 3 as string) as repo_id, cast(o_custkey % 37 as int) as n from orders",
+    # People from number 30 on are meant to be missing, but for two loose keys.
+    "roster": """
+select repo_id, n as position, 'dev' || cast(n as string) || '@ex.com' as email, 'Dev ' || cast(n as string) as name,
+ 'dev' || cast(n as string) as short, '' as domain, case when n % 10 = 0 then 'A' else '' end as git_grade,
+ case when n % 9 = 0 then 'B+' else '' end as code_grade, n = 5 as hide_from_cards from people where n < 30
+union all
+select distinct repo_id, 100, 'DEV3@EX.COM', 'Twice', 'twice', '', 'C', 'C', false from people
+union all
+select distinct repo_id, 101, ' ', 'Blank', 'blank', '', '', '', false from people
+union all
+select distinct repo_id, 102, 'dev31', 'Part', 'part', '', '', '', false from people
+union all
+select distinct repo_id, 103, 'dev32@ex.com.au', 'Longer', 'longer', '', '', '', false from people""",
+    "snapshots": f"""
+select repo_id, lower(trim(author_email)) as email, count(*) as commits, cast(0 as bigint) as added,
+ cast(0 as bigint) as deleted, max(author_date) as last_active, cast(null as date) as previous_compiled_date,
+ cast('{SNAPSHOT_DATE}' as date) as compiled_date, 'all' as build
+from commits where author_date < cast('{SNAPSHOT_DATE}' as date) and lower(author_email) < 'dev5'
+group by 1, 2""",
+    "key_files": """
+select repo_id, path, length(split_part(content, 'AIza', 1)) - length(replace(split_part(content, 'AIza', 1), chr(10), '')) + 1 as key_line
+from files where content like '%AIza%'""",
+    "gitleaks_raw": """
+select repo_id, 'gcp-api-key' as RuleID, 'Google API key' as Description, path as File, cast(key_line as int) as StartLine,
+ 'AIzaSyA123456789012345678901234567890' as Secret, cast(null as string) as Match, 'Leaky' as Author,
+ 'leaky@ex.com' as Email, 1 as ordinal from key_files
+union all
+select repo_id, 'gcp-api-key', 'Seen again', path, cast(key_line as int), 'AIzaSyA123456789012345678901234567890', null, 'Other', '', 2 from key_files
+union all
+select repo_id, null, null, path, null, null, 'm', null, null, 3 from key_files""",
+    "semgrep_flat": """
+select repo_id, path, cast(1 + doc_id % 5 as int) as line_no,
+ case doc_id % 7 when 0 then 'javascript.browser.security.dom-based-xss' when 1 then 'python.django.sql.raw-query'
+ when 2 then 'generic.redos.catastrophic' when 3 then 'web.clipboard.read' when 4 then 'server.limits' when 5 then 'misc.style' end as check_id,
+ case doc_id % 7 when 0 then 'Detected  user input ' || chr(10) || ' in innerHTML' when 1 then 'SQL string built' when 2 then 'Catastrophic backtracking'
+ when 3 then 'reads clipboard' when 4 then 'Denial of service: payload size' when 5 then 'odd code' end as message,
+ case doc_id % 7 when 0 then 'ERROR' when 1 then 'WARNING' when 2 then 'INFO' when 4 then 'ERROR' when 5 then 'INFO' end as sg_severity,
+ case when doc_id % 7 = 4 then 'dos' end as category,
+ case when doc_id % 7 = 6 then 'CWE-79: Cross-site Scripting' end as cwe
+from file_base""",
+    "repos": """
+select cast(page_id as string) as repo_id, case when page_id % 2 = 0 then url || '.git' else url end as remote_url from pages""",
+}
+
+SPARK_BLAME = """
+select repo_id, path, pos + 1 as line_no, 'Dev ' || cast((length(path) * 7 + pos + 1) % 37 as string) as author_name,
+ case when (pos + 1) % 11 = 0 then 'DEV' else 'dev' end || cast((length(path) * 7 + pos + 1) % 37 as string) || '@ex.com' as author_email
+from files lateral view posexplode(split(content, '\\n', -1)) l as pos, line
+where (pos + 1) % 50 <> 0 and not (line = '' and pos + 1 = size(split(content, '\\n', -1)))"""
+
+BASE = ("orders", "lineitem", "documents", "pages")
+
+
+class Staged:
+    """Lazily staged tables of one scale-factor folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        for name in BASE:
+            path = os.path.join(sf_dir, f"{name}.parquet")
+            table = spark.read.parquet(path)
+            if name == "documents":
+                table = spread(table, "doc_id")
+            table.createOrReplaceTempView(name)
+
+    def _sql(self, name: str) -> DataFrame:
+        table = self.spark.sql(SHARED_SQL[name])
+        table.createOrReplaceTempView(name)
+        return table
+
+    @cached_property
+    def commits(self) -> DataFrame:
+        return self._sql("commits")
+
+    @cached_property
+    def commit_files(self) -> DataFrame:
+        self.commits
+        return self._sql("commit_files")
+
+    @cached_property
+    def files(self) -> DataFrame:
+        self._sql("file_base")
+        return self._sql("files")
+
+    @cached_property
+    def blame_lines(self) -> DataFrame:
+        self.files
+        return self.spark.sql(SPARK_BLAME)
+
+    @cached_property
+    def roster(self) -> DataFrame:
+        self._sql("people")
+        return self._sql("roster")
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        self.commits
+        return self._sql("snapshots")
+
+    @cached_property
+    def gitleaks_raw(self) -> DataFrame:
+        self.files
+        self._sql("key_files")
+        return self._sql("gitleaks_raw")
+
+    @cached_property
+    def semgrep_raw(self) -> DataFrame:
+        self._sql("file_base")
+        flat = self._sql("semgrep_flat")
+        references = F.when(F.col("cwe").isNotNull(), F.array("cwe"))
+        return flat.select(
+            "repo_id", "check_id", "path", F.struct(F.col("line_no").alias("line")).alias("start"),
+            F.struct(
+                "message", F.col("sg_severity").alias("severity"),
+                F.struct("category", references.alias("cwe"), F.lit(None).cast("array<string>").alias("owasp")).alias("metadata"),
+            ).alias("extra"))
+
+    @cached_property
+    def repos(self) -> DataFrame:
+        return self._sql("repos")
+
+    @cached_property
+    def config(self) -> DataFrame:
+        """The roster in the shape of a configuration file: one row per repository."""
+        entry = F.struct(
+            "position", "email", "name", "short", "domain", F.col("git_grade").alias("gitGrade"),
+            F.col("code_grade").alias("codeGrade"), F.lit(False).alias("highlight"),
+            F.col("hide_from_cards").alias("hideFromCards"),
+            F.lit(None).cast("struct<kind:string,text:string>").alias("badge"))
+        return self.roster.groupBy("repo_id").agg(F.sort_array(F.collect_list(entry)).alias("authors"))
+
+    @cached_property
+    def log_text(self) -> DataFrame:
+        """The commits as raw log records with a numstat body."""
+        self.commit_files
+        return self.spark.sql("""
+select repo_id, concat_ws('\\u001f', sha, author_name, author_email, cast(author_date as string) || 'T00:00:00Z',
+ date_format(commit_ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), subject) || coalesce('\\n\\n' || body, '') as value
+from commits left join (
+ select sha, array_join(collect_list(coalesce(cast(added as string), '-') || '\\t' || coalesce(cast(deleted as string), '-') || '\\t' || path), '\\n') as body
+ from commit_files group by sha) using (sha)""")
+
+    @cached_property
+    def blame_text(self) -> DataFrame:
+        """The blame of every file as one porcelain text."""
+        self.files
+        return self.spark.sql("""
+select repo_id, path, array_join(transform(
+ filter(transform(split(content, '\\n', -1), (l, i) -> struct(l as line, i + 1 as no, size(split(content, '\\n', -1)) as n)),
+  x -> not (x.line = '' and x.no = x.n)),
+ x -> 'abc ' || cast(x.no as string) || ' ' || cast(x.no as string) || '\\nauthor Dev ' || cast((length(path) * 7 + x.no) % 37 as string)
+  || '\\nauthor-mail <dev' || cast((length(path) * 7 + x.no) % 37 as string) || '@ex.com>\\nauthor-time 1\\nsummary s\\nfilename ' || path
+  || '\\n\\t' || x.line), '\\n') as value from files""")
+
+    def roster_from_config(self) -> DataFrame:
+        return roster_rows(self.config)

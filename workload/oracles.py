@@ -58,7 +58,7 @@ SAMPLE = (
 CTES["numbered"] = """
 select repo_id, path, line, line_no, coalesce(lag(line) over (partition by repo_id, path order by line_no), '') as previous
 from (select repo_id, path, unnest(string_split(content, chr(10))) as line,
- unnest(range(1, len(string_split(content, chr(10))) + 1)) as line_no from files)"""
+ cast(unnest(range(1, len(string_split(content, chr(10))) + 1)) as int) as line_no from files)"""
 CTES["blame_lines"] = """
 select repo_id, path, line_no, 'Dev ' || cast((length(path) * 7 + line_no) % 37 as string) as author_name,
  case when line_no % 11 = 0 then 'DEV' else 'dev' end || cast((length(path) * 7 + line_no) % 37 as string) || '@ex.com' as author_email
@@ -181,13 +181,13 @@ where k = 1"""
 CTES["large"] = """
 select repo_id, path, len(string_split(content, chr(10))) as n_lines from smell_readable where n_lines > 200"""
 CTES["smell_counts"] = """
-select repo_id, email, rule_id, sum(n) as n from (
+select repo_id, email, rule_id, cast(sum(n) as bigint) as n from (
  select h.repo_id, coalesce(lower(trim(b.author_email)), 'unknown') as email, h.rule_id, h.n
  from smell_hits h left join blame_lines b using (repo_id, path, line_no)
  union all
  select l.repo_id, m.email, 'large', 1 from large l join majority m using (repo_id, path)) group by all"""
 CTES["lines_owned"] = """
-select b.repo_id, b.email, sum(b.n) as lines_owned from blame_files b semi join smell_readable r on b.repo_id = r.repo_id and b.path = r.path
+select b.repo_id, b.email, cast(sum(b.n) as bigint) as lines_owned from blame_files b semi join smell_readable r on b.repo_id = r.repo_id and b.path = r.path
 group by all"""
 WEIGHT = (
     "case when rule_id in ('console', 'tsignore', 'nestedsub') then 3 "
@@ -196,7 +196,7 @@ WEIGHT = (
 CTES["code_scores"] = f"""
 select repo_id, email, coalesce(score, 0) as score, coalesce(lines_owned, 0) as lines_owned,
  coalesce(score, 0) / (coalesce(lines_owned, 0) + 500) * 1000 as density
-from lines_owned full join (select repo_id, email, sum(n * {WEIGHT}) as score from smell_counts group by all) using (repo_id, email)"""
+from lines_owned full join (select repo_id, email, cast(sum(n * {WEIGHT}) as bigint) as score from smell_counts group by all) using (repo_id, email)"""
 CTES["code_grades"] = """
 select *, case when density <= 1.5 then 'A' when density <= 3.5 then 'A-' when density <= 6 then 'B+' when density <= 10 then 'B'
  when density <= 15 then 'B-' when density <= 22 then 'C+' when density <= 30 then 'C' when density <= 40 then 'C-' else 'D' end as derived_code_grade
@@ -224,13 +224,13 @@ select repo_id, email, case when score >= 80 then 'A' when score >= 72 then 'A-'
  when score >= 52 then 'B-' when score >= 46 then 'C+' when score >= 40 then 'C' when score >= 34 then 'C-' else 'D' end as derived_git_grade
 from (select repo_id, email, 20 + least(commits / 30, 1) * 35 + conv_pct / 100 * 25 + ticket_pct / 100 * 20 as score from metrics)"""
 CTES["discovered"] = """
-select repo_id, lower(trim(author_email)) as email, trim(first(author_name order by n desc, author_name, author_email)) as name, sum(n) as commits
+select repo_id, lower(trim(author_email)) as email, trim(first(author_name order by n desc, author_name, author_email)) as name, cast(sum(n) as bigint) as commits
 from (select repo_id, author_name, author_email, count(*) as n from commits group by all) group by 1, 2"""
 
 
 def churn(where: str) -> str:
     return f"""
-select c.repo_id, lower(trim(author_email)) as email, coalesce(sum(added), 0) as added, coalesce(sum(deleted), 0) as deleted
+select c.repo_id, lower(trim(author_email)) as email, cast(coalesce(sum(added), 0) as bigint) as added, cast(coalesce(sum(deleted), 0) as bigint) as deleted
 from commits c left join (select * from commit_files where {where}) f on c.repo_id = f.repo_id and c.sha = f.sha group by 1, 2"""
 
 
@@ -321,7 +321,7 @@ SRC = "case source when 'built-in' then 0 when 'gitleaks' then 1 when 'semgrep'
 VEC = "coalesce(list_position(['ReDoS', 'Secrets', 'Injection/XSS', 'LPDoS', 'Clipboard', 'Replay'], vector) - 1, 6)"
 ENCOUNTER = f"{SEV}, {SRC}, path, rule_position nulls first, line_no"
 CTES["placed"] = f"""
-select *, {SEV} as severity_rank, row_number() over (partition by repo_id, vector, rule_id order by {ENCOUNTER}) as place from findings"""
+select *, {SEV} as severity_rank, cast(row_number() over (partition by repo_id, vector, rule_id order by {ENCOUNTER}) as int) as place from findings"""
 NAME_OF = "case {0} when 0 then 'High' when 1 then 'Medium' when 2 then 'Low' end"
 CTES["tally"] = """
 select repo_id, vector, rule_id, author_name, count(*) as n, author_name || ' (' || count(*) || ')' as text, min(place) as first_place from placed group by 1, 2, 3, 4"""
@@ -375,14 +375,14 @@ BODIES: dict[str, str] = {
     "date_bounds": "select * from bounds",
     "month_heatmap": "select * from heatmap",
     "month_heatmap_wide": "select repo_id, email, " + ", ".join(
-        f"coalesce(sum(commits) filter (slot = {i}), 0) as month_{i}" for i in range(1, 7)) + " from heatmap group by 1, 2",
+        f"cast(coalesce(sum(commits) filter (slot = {i}), 0) as bigint) as month_{i}" for i in range(1, 7)) + " from heatmap group by 1, 2",
     "cadence_text": "select repo_id, email, string_agg(label || ' ' || commits, ' / ' order by slot) as cadence from heatmap group by 1, 2",
     "commit_bars": "select repo_id, email, commits, max(commits) over (partition by repo_id) as max_commits, round(commits / max(commits) over (partition by repo_id) * 100, 1) as share from metrics",
-    "team_totals": "select repo_id, sum(commits) as team_commits, max(commits) as max_commits, (select max(h.commits) from heatmap h where h.repo_id = m.repo_id) as max_month from metrics m group by 1",
+    "team_totals": "select repo_id, cast(sum(commits) as bigint) as team_commits, max(commits) as max_commits, (select max(h.commits) from heatmap h where h.repo_id = m.repo_id) as max_month from metrics m group by 1",
     "staleness": "select repo_id, email, last_active, through_date, date_diff('day', last_active, through_date) > 21 as stale from metrics join bounds using (repo_id)",
     "dedupe_roster": "select * from people_clean",
     "missing_authors": "select * from unlisted",
-    "missing_top10": "select *, greatest(n_missing - 3, 0) as n_more from (select *, row_number() over (partition by repo_id order by commits desc, email) as place, count(*) over (partition by repo_id) as n_missing from unlisted) where place <= 3",
+    "missing_top10": "select *, greatest(n_missing - 3, 0) as n_more from (select *, cast(row_number() over (partition by repo_id order by commits desc, email) as int) as place, count(*) over (partition by repo_id) as n_missing from unlisted) where place <= 3",
     "author_contains": "select r.repo_id, r.email, count(*) as commits from people_clean r join commits c on c.repo_id = r.repo_id and contains(c.author_name || ' <' || c.author_email || '>', r.email) group by 1, 2",
     "language_counts": "select * from repo_languages",
     "dominant_language": "select repo_id, coalesce(language, 'generic') as language from repo_ids left join (select repo_id, language from repo_languages qualify row_number() over (partition by repo_id order by files desc, list_position(['typescript', 'java', 'flutter', 'html'], language)) = 1) using (repo_id)",
@@ -447,7 +447,7 @@ from metrics m join people_clean r using (repo_id, email) left join snapshots s
     "stream_snapshots": "select repo_id, email, commits, last_active, max(last_active) over (partition by repo_id) as compiled_date from metrics",
 }
 BODIES["disabled_rules"] = (
-    "select repo_id, email, rule_id, sum(n) as n from (select h.repo_id, coalesce(lower(trim(b.author_email)), 'unknown') as email, h.rule_id, h.n "
+    "select repo_id, email, rule_id, cast(sum(n) as bigint) as n from (select h.repo_id, coalesce(lower(trim(b.author_email)), 'unknown') as email, h.rule_id, h.n "
     "from whole_hits h left join blame_lines b using (repo_id, path, line_no)) group by all")
 # The same scan without the path exclusions and with some rules switched off.
 CTES["whole_readable"] = CTES["smell_listed"].replace(LISTED, f"not regexp_matches(path, {lit(GENERATED)}, 'i')") + f" and {HANDWRITTEN}"

@@ -39,7 +39,7 @@ select c.repo_id, c.sha,
  case when l_returnflag = 'R' and l_linenumber = 1 then null else l_linenumber end as deleted
 from lineitem join commits c on c.sha = cast(l_orderkey as string)""",
     "file_base": """
-select doc_id, 'r' || cast(cast(floor(doc_id / 7) as bigint) % 3 as string) as repo_id,
+select doc_id, case when doc_id % 12 in (4, 5) then 'r3' else 'r' || cast(cast(floor(doc_id / 7) as bigint) % 3 as string) end as repo_id,
  case doc_id % 11 when 0 then 'legacy/' when 1 then 'vendor/' when 2 then 'scripts/' when 3 then 'src/app/payment/' else 'src/' end
  || source || '/d' || cast(doc_id as string)
  || case doc_id % 6 when 0 then '.ts' when 1 then '.java' when 2 then '.dart' when 3 then '.html' when 4 then '.env' else '.py' end as path,

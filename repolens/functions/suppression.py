@@ -27,27 +27,24 @@ def _any_word(names: tuple[str, ...]) -> str:
 
 
 def is_suppressed(line: Column, previous: Column, markers: Markers = DEFAULT_MARKERS) -> Column:
-    """True where a marker stands on the line or a next-line marker on the previous one."""
-    silent = F.lit(False)
-    if markers.this_line:
-        silent = silent | matches(line, _any_word(markers.this_line))
-    if markers.next_line:
-        silent = silent | F.coalesce(matches(previous, _any_word(markers.next_line)), F.lit(False))
-    return silent
+    """True where a marker stands on the line or a next-line marker on the previous one.
+
+    A null previous line (the first line) counts as empty.
+    """
+    here = matches(line, _any_word(markers.this_line)) if markers.this_line else F.lit(False)
+    above = matches(F.coalesce(previous, F.lit("")), _any_word(markers.next_line)) if markers.next_line else F.lit(False)
+    return here | above
 
 
 # Known sample logins, sample words and the comment test.
 SAMPLE_LOGINS = r"rod\s*\/\s*koala|dianne\s*\/\s*emu|scott\s*\/\s*tiger"
 SAMPLE_WORDS = r"\b(sample|example|dummy|placeholder)\b"
-COMMENT_START = r"^\s*(<!--|\/\*|\*|\/\/|#)"
-COMMENT_END = r"-->|\*\/"
-DOCUMENT_SUFFIXES = (".xml", ".md")
+COMMENT_LINE = r"^\s*(<!--|\/\*|\*|\/\/|#)|-->|\*\/"
+DOCUMENT_PATHS = r"\.(xml|md)$"
 
 
 def is_sample_credential(line: Column, path: Column) -> Column:
     """Known sample logins anywhere; sample words only in comments and documents."""
-    prose = matches(line, COMMENT_START) | matches(line, COMMENT_END)
-    for suffix in DOCUMENT_SUFFIXES:
-        prose = prose | path.endswith(suffix)
+    prose = matches(line, COMMENT_LINE) | matches(path, DOCUMENT_PATHS)
     return matches(line, SAMPLE_LOGINS, ignore_case=True) | (
         matches(line, SAMPLE_WORDS, ignore_case=True) & prose)

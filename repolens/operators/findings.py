@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolens.functions.paths import is_client_file, path_matches
-from repolens.functions.patterns import matches
+from repolens.functions.patterns import matches, sql_string
 from repolens.functions.report import clip
 from repolens.functions.suppression import DEFAULT_MARKERS, Markers, is_sample_credential
 from repolens.operators.attribution import attribute_hits
@@ -37,16 +37,17 @@ CLIENT_KEY_FIX = (
 )
 
 
-def _rule_facts(rules: Sequence[Rule]) -> Column:
-    """Vector, severity and advice of the hit's rule, from a literal map."""
-    entries = []
-    for position, rule in enumerate(rules):
-        entries += [F.lit(rule.rule_id), F.struct(
-            F.lit(rule.vector).alias("vector"), F.lit(rule.severity).alias("severity"),
-            F.lit(rule.fix).alias("fix"), F.lit(rule.review).alias("review"),
-            F.lit(position).alias("rule_position"),
-            F.array(*map(F.lit, rule.packs)).alias("rule_packs"))]
-    return F.element_at(F.create_map(*entries), F.col("rule_id"))
+def _rule_facts_sql(rules: Sequence[Rule]) -> str:
+    """Vector, severity and advice of the hit's rule, from a literal map (SQL text)."""
+
+    def facts(position: int, rule: Rule) -> str:
+        packs = ", ".join(map(sql_string, rule.packs))
+        return (
+            f"{sql_string(rule.rule_id)}, named_struct('vector', {sql_string(rule.vector or '')}, "
+            f"'severity', {sql_string(rule.severity or '')}, 'fix', {sql_string(rule.fix or '')}, "
+            f"'review', {str(rule.review).lower()}, 'rule_position', {position}, 'rule_packs', array({packs}))")
+
+    return f"element_at(map({', '.join(facts(i, r) for i, r in enumerate(rules))}), rule_id)"
 
 
 def security_line_hits(
@@ -69,7 +70,7 @@ def security_line_hits(
         keep=["client_text"])
     hits = hits.filter(~is_sample_credential(F.col("line"), F.col("path"))).select(
         "repo_id", "path", "line_no", "rule_id", clip(F.col("line")).alias("snippet"), "client_text",
-        _rule_facts(active).alias("facts")).select("*", "facts.*").drop("facts")
+        F.expr(_rule_facts_sql(active)).alias("facts")).select("*", "facts.*").drop("facts")
     if packs is None:
         granted = F.array_intersect(file_packs(F.col("path"), SECURITY), F.col("rule_packs"))
         hits = join_per_repo(hits, present_packs(files), ["path"]).filter(

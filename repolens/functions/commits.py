@@ -34,6 +34,26 @@ def percentage(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole * 100)).otherwise(F.lit(0)).cast("int")
 
 
+# A commit's second and author day in one BIGINT: unlike a struct or a max_by buffer it
+# keeps the aggregate on hash tables instead of sorting every commit.
+_DAY_SPAN, _DAY_OFFSET = 1_000_000, 500_000
+
+
+def activity_key(commit_ts: Column, author_date: Column) -> Column:
+    """Orders commits by commit time, then author day."""
+    return F.unix_seconds(commit_ts) * _DAY_SPAN + F.unix_date(author_date) + _DAY_OFFSET
+
+
+def activity_day(key: Column) -> Column:
+    """The author day packed into an ``activity_key``."""
+    return F.date_from_unix_date((F.pmod(key, F.lit(_DAY_SPAN)) - _DAY_OFFSET).cast("int"))
+
+
+def latest_day(commit_ts: Column, author_date: Column) -> Column:
+    """Author day of the latest commit (aggregate)."""
+    return activity_day(F.max(activity_key(commit_ts, author_date)))
+
+
 def month_of(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM")
 

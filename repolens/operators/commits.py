@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolens.functions.commits import (
@@ -18,6 +18,7 @@ from repolens.functions.commits import (
     git_grade,
     has_ticket,
     is_conventional,
+    latest_day,
     month_of,
     percentage,
 )
@@ -35,10 +36,6 @@ def with_email(commits: DataFrame) -> DataFrame:
     return commits.withColumn("email", email_key(F.col("author_email")))
 
 
-def _latest_day() -> Column:
-    return F.max_by("author_date", F.struct("commit_ts", "author_date"))
-
-
 def discover_authors(commits: DataFrame) -> DataFrame:
     """Authors by e-mail, named by their most frequent spelling, with commit counts."""
     spelled = (
@@ -66,7 +63,7 @@ def author_metrics(commits: DataFrame, since: date | str | None = None) -> DataF
             F.count(F.lit(1)).alias("commits"),
             F.count_if(is_conventional(F.col("subject"))).alias("conv"),
             F.count_if(has_ticket(F.col("subject"))).alias("tickets"),
-            _latest_day().alias("last_active"),
+            latest_day(F.col("commit_ts"), F.col("author_date")).alias("last_active"),
         )
     )
     commits_, conv, tickets = F.col("commits"), F.col("conv"), F.col("tickets")
@@ -122,7 +119,7 @@ def months_map(cadence: DataFrame) -> DataFrame:
 def date_bounds(commits: DataFrame) -> DataFrame:
     """First author date and data-through date (author date of the latest commit)."""
     return commits.groupBy("repo_id").agg(
-        F.min("author_date").alias("first_date"), _latest_day().alias("through_date"))
+        F.min("author_date").alias("first_date"), latest_day(F.col("commit_ts"), F.col("author_date")).alias("through_date"))
 
 
 def commits_since(commits: DataFrame, last_dates: DataFrame) -> DataFrame:

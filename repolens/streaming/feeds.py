@@ -13,7 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from repolens.functions.commits import email_key, has_ticket, is_conventional, month_of
+from repolens.functions.commits import (
+    activity_day,
+    activity_key,
+    email_key,
+    has_ticket,
+    is_conventional,
+    month_of,
+    percentage,
+)
 from repolens.functions.suppression import DEFAULT_MARKERS, Markers
 from repolens.operators.findings import security_line_hits
 from repolens.rules import SECURITY_RULES, Rule
@@ -50,7 +58,7 @@ def monthly_metrics(stream: DataFrame) -> DataFrame:
     ).agg(
         F.count(F.lit(1)).alias("commits"), F.count_if(is_conventional(subject)).alias("conv"),
         F.count_if(has_ticket(subject)).alias("tickets"),
-        F.max(F.struct("commit_ts", "author_date")).alias("latest"))
+        F.max(activity_key(F.col("commit_ts"), F.col("author_date"))).alias("latest"))
 
 
 def _write_batch(folder: str) -> Callable[[DataFrame, int], None]:
@@ -79,11 +87,9 @@ def current_months(spark: SparkSession, folder: str) -> DataFrame:
 
 def current_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Author totals, equal to the batch metrics over all commits seen so far."""
-    from repolens.functions.commits import percentage
-
     totals = current_months(spark, folder).groupBy("repo_id", "email").agg(
         F.sum("commits").alias("commits"), F.sum("conv").alias("conv"), F.sum("tickets").alias("tickets"),
-        F.max("latest")["author_date"].alias("last_active"))
+        activity_day(F.max("latest")).alias("last_active"))
     return totals.withColumns({
         "conv_pct": percentage(F.col("conv"), F.col("commits")),
         "ticket_pct": percentage(F.col("tickets"), F.col("commits"))})

@@ -110,7 +110,10 @@ select repo_id, path, pos + 1 as line_no, 'Dev ' || cast((length(path) * 7 + pos
 from files lateral view posexplode(split(content, '\\n', -1)) l as pos, line
 where (pos + 1) % 50 <> 0 and not (line = '' and pos + 1 = size(split(content, '\\n', -1)))"""
 
-BASE = ("orders", "lineitem", "documents", "pages")
+# Base table of each staged table that reads one directly.
+BASE = {
+    "commits": "orders", "people": "orders", "commit_files": "lineitem", "file_base": "documents", "repos": "pages",
+}
 
 
 class Staged:
@@ -118,14 +121,14 @@ class Staged:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        for name in BASE:
-            path = os.path.join(sf_dir, f"{name}.parquet")
-            table = spark.read.parquet(path)
-            if name == "documents":
-                table = spread(table, "doc_id")
-            table.createOrReplaceTempView(name)
+        self.sf_dir = sf_dir
 
     def _sql(self, name: str) -> DataFrame:
+        if name in BASE:
+            base = self.spark.read.parquet(os.path.join(self.sf_dir, f"{BASE[name]}.parquet"))
+            if name == "file_base":
+                base = spread(base, "doc_id")
+            base.createOrReplaceTempView(BASE[name])
         table = self.spark.sql(SHARED_SQL[name])
         table.createOrReplaceTempView(name)
         return table

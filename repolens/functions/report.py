@@ -48,22 +48,32 @@ def month_label(month: Column, through: Column) -> Column:
         F.concat(name, F.lit(" '"), F.substring(month, 3, 2)))
 
 
+def to_fixed(value: Column, digits: int) -> Column:
+    """Text of a positive double with fixed decimals, rounded by its exact binary value.
+
+    ``round`` looks at the shortest decimal text instead and turns 0.575, which is
+    stored a little below, into 0.58.  Exact halves round up.
+    """
+    is_half = F.pmod(value * 2 ** (digits + 1), F.lit(2.0)) == 1
+    return F.call_function(
+        "format_number", F.when(is_half, value + 1e-9).otherwise(value), F.lit("0." + "0" * digits))
+
+
 def heat_intensity(commits: Column, busiest: Column) -> Column:
     """Shade of a month cell; null for an empty one."""
-    return F.when(commits > 0, F.round(HEAT_FLOOR + HEAT_SPAN * (commits / busiest), 2))
+    return F.when(commits > 0, to_fixed(HEAT_FLOOR + HEAT_SPAN * (commits / busiest), 2).cast("double"))
 
 
 def cell_intensity(cell: Column) -> Column:
     """Shade of a matrix cell from the digits in it; null for a clean one."""
     n = F.coalesce(F.nullif(F.regexp_replace(cell.cast("string"), "[^0-9]", ""), F.lit("")), F.lit("0")).cast("long")
-    return F.when(n > 0, F.round(F.least(CELL_FLOOR + n / F.lit(CELL_FULL) * CELL_SPAN, F.lit(CELL_CEILING)), 2))
+    return F.when(n > 0, to_fixed(
+        F.least(CELL_FLOOR + n / F.lit(CELL_FULL) * CELL_SPAN, F.lit(CELL_CEILING)), 2).cast("double"))
 
 
 def format_k(n: Column) -> Column:
-    """Thousands as ``1.2k``; an exact half rounds up, any other by its binary value."""
-    thousands = F.when(n % 500 == 250, n + 1).otherwise(n) / 1000
-    return F.when(n >= 1000, F.concat(F.call_function("format_number", thousands, F.lit("0.0")), F.lit("k"))).otherwise(
-        n.cast("string"))
+    """Thousands as ``1.2k``."""
+    return F.when(n >= 1000, F.concat(to_fixed(n / 1000, 1), F.lit("k"))).otherwise(n.cast("string"))
 
 
 def grade_class(grade: Column) -> Column:

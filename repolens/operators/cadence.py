@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolens.functions.report import heat_intensity, is_stale, month_label
+from repolens.functions.report import heat_intensity, is_stale, month_label, to_fixed
 from repolens.operators.skew import join_per_repo
 
 MONTHS_SHOWN = 6
@@ -53,7 +53,7 @@ def commit_bars(metrics: DataFrame) -> DataFrame:
     """Bar width of every author as a share of the busiest one, in percent."""
     top = metrics.groupBy("repo_id").agg(F.greatest(F.max("commits"), F.lit(1)).alias("max_commits"))
     return join_per_repo(metrics.select("repo_id", "email", "commits"), top, ["email"]).withColumn(
-        "share", F.round(F.col("commits") / F.col("max_commits") * 100, 1))
+        "share", to_fixed(F.col("commits") / F.col("max_commits") * 100, 1).cast("double"))
 
 
 def team_totals(metrics: DataFrame, heatmap: DataFrame) -> DataFrame:

@@ -15,6 +15,9 @@ RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     # File texts are wide: smaller splits keep a task's rows well inside executor memory.
     "spark.sql.files.maxPartitionBytes": "64m",
+    # Plans are built from many small expressions; recording a call site for each costs more
+    # than building them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Tables bucketed by file join hits with blame by line without another shuffle.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }

@@ -23,6 +23,12 @@ def flags(rule) -> str:
     return ("i" if rule.ignore_case else "") + ("s" if rule.dot_all else "")
 
 
+def fixed(value: str, digits: int) -> str:
+    """Fixed decimals by the exact binary value, halves up (printf rounds them to even)."""
+    half = f"({value}) * {2 ** (digits + 1)} % 2 = 1"
+    return f"printf('%.{digits}f', case when {half} then ({value}) + 1e-9 else ({value}) end)"
+
+
 # --- paths (patterns written for the staged layout) ------------------------------
 
 GENERATED = (
@@ -240,10 +246,11 @@ CTES["cadence"] = """
 select repo_id, lower(trim(author_email)) as email, strftime(author_date, '%Y-%m') as month, count(*) as commits from commits group by 1, 2, 3"""
 CTES["bounds"] = """
 select repo_id, min(author_date) as first_date, arg_max(author_date, (commit_ts, author_date)) as through_date from commits group by 1"""
-CTES["heatmap"] = """
+SHADE = fixed("0.15::double + 0.85::double * (c.commits / max(c.commits) over (partition by c.repo_id))", 2)
+CTES["heatmap"] = f"""
 select c.repo_id, c.email, cast(7 - s.back as int) as slot, c.month, c.commits,
  strftime(cast(c.month || '-01' as date), '%b') || case when left(c.month, 4) = strftime(b.through_date, '%Y') then '' else ' ''' || substr(c.month, 3, 2) end as label,
- round(0.15 + 0.85 * (c.commits / max(c.commits) over (partition by c.repo_id)), 2) as intensity
+ cast({SHADE} as double) as intensity
 from cadence c join (select repo_id, month, dense_rank() over (partition by repo_id order by month desc) as back
  from (select distinct repo_id, month from cadence)) s on s.repo_id = c.repo_id and s.month = c.month and s.back <= 6
 join bounds b on b.repo_id = c.repo_id"""
@@ -258,10 +265,7 @@ select r.repo_id, r.email, r.name, case when r.git_grade <> '' then r.git_grade
  case when r.code_grade <> '' then r.code_grade else coalesce(derived_code_grade, 'A') end as code_grade,
  r.git_grade = '' as auto_git, r.code_grade = '' as auto_code
 from people_clean r left join git_grades using (repo_id, email) left join code_grades using (repo_id, email)"""
-K = (
-    "case when {0} >= 1000 then printf('%.1f', (case when {0} % 500 = 250 then {0} + 1 else {0} end) / 1000.0::double) || 'k' "
-    "else cast({0} as string) end"
-)
+K = "case when {0} >= 1000 then " + fixed("{0} / 1000.0::double", 1) + " || 'k' else cast({0} as string) end"
 CLASS = "case when left({0}, 1) in ('A', 'B', 'C', 'D') then lower(left({0}, 1)) else 'x' end"
 SLUG = "regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
 FIRST = "case when name like 'M. %' or name like 'S. %' then name else string_split(name, ' ')[1] end"
@@ -377,7 +381,7 @@ BODIES: dict[str, str] = {
     "month_heatmap_wide": "select repo_id, email, " + ", ".join(
         f"cast(coalesce(sum(commits) filter (slot = {i}), 0) as bigint) as month_{i}" for i in range(1, 7)) + " from heatmap group by 1, 2",
     "cadence_text": "select repo_id, email, string_agg(label || ' ' || commits, ' / ' order by slot) as cadence from heatmap group by 1, 2",
-    "commit_bars": "select repo_id, email, commits, max(commits) over (partition by repo_id) as max_commits, round(commits / max(commits) over (partition by repo_id) * 100, 1) as share from metrics",
+    "commit_bars": f"select *, cast({fixed('commits / max_commits * 100', 1)} as double) as share from (select repo_id, email, commits, max(commits) over (partition by repo_id) as max_commits from metrics)",
     "team_totals": "select repo_id, cast(sum(commits) as bigint) as team_commits, max(commits) as max_commits, (select max(h.commits) from heatmap h where h.repo_id = m.repo_id) as max_month from metrics m group by 1",
     "staleness": "select repo_id, email, last_active, through_date, date_diff('day', last_active, through_date) > 21 as stale from metrics join bounds using (repo_id)",
     "dedupe_roster": "select * from people_clean",
@@ -404,7 +408,7 @@ BODIES: dict[str, str] = {
     "disabled_rules": None,
     "code_grade": "select * from code_grades",
     "issue_matrix": "select * from matrix",
-    "issue_matrix_heat": "select repo_id, email, rule_id, case when n > 0 then round(least(0.06 + n / 55 * 0.7, 0.7), 2) end as intensity from matrix",
+    "issue_matrix_heat": f"select repo_id, email, rule_id, case when n > 0 then cast({fixed('least(0.06::double + n / 55 * 0.7::double, 0.7::double)', 2)} as double) end as intensity from matrix",
     "issue_matrix_by_rule": "select repo_id, email, short, " + ", ".join(
         f'cast(sum(n) filter (rule_id = {lit(i)}) as bigint) as "{i}"' for i, _ in MATRIX_ROWS) + " from matrix group by 1, 2, 3",
     "final_grades": "select * from grades_final",

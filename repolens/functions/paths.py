@@ -54,7 +54,9 @@ def globs_to_regex(globs: Iterable[str]) -> str | None:
 
 
 def normalise_path(path: Column) -> Column:
-    return F.regexp_replace(F.translate(path, "\\", "/"), r"^\./", "")
+    """Forward slashes, no leading ``./``; the usual path passes two cheap tests only."""
+    unusual = F.contains(path, F.lit("\\")) | path.startswith("./")
+    return F.when(unusual, F.regexp_replace(F.translate(path, "\\", "/"), r"^\./", "")).otherwise(path)
 
 
 def path_matches(path: Column, globs: Iterable[str]) -> Column:

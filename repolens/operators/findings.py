@@ -108,8 +108,12 @@ def drop_exempt(findings: DataFrame, *, exclude: Sequence[str] = (), disabled: S
 
 
 def client_config_files(files: DataFrame) -> DataFrame:
-    """Paths of files that mention a public client configuration."""
-    return files.filter(matches(F.col("content"), CLIENT_CONFIG_WORDS, ignore_case=True)).select("repo_id", "path")
+    """Paths of files that mention a public client configuration (plain substring search)."""
+    lowered = F.lower("content")
+    mentioned = F.lit(False)
+    for word in CLIENT_CONFIG_WORDS.split("|"):
+        mentioned = mentioned | F.contains(lowered, F.lit(word.lower()))
+    return files.filter(mentioned).select("repo_id", "path")
 
 
 def downgrade_client_keys(findings: DataFrame, files: DataFrame | None = None) -> DataFrame:

@@ -21,6 +21,8 @@ from repolens.rules import LARGE_FILE_LINES, PACKS, SMELL, Rule
 # Fixed value: a file with a longer line is machine-made.
 MINIFIED_LINE_CHARS = 2000
 
+FILE_ROW = "(file)"
+
 # Stands before each block match while lines are counted.  Neither sign is a word
 # character, a space or punctuation, so exchanging them cannot change a match.
 _MATCH_MARK = "\ue000"
@@ -105,7 +107,7 @@ def _rule_hits_sql(rule: Rule, scoped: bool) -> str:
 
 def scan_rules(
     files: DataFrame, rules: Sequence[Rule], *, markers: Markers = DEFAULT_MARKERS, scoped: bool = True,
-    keep: Sequence[str] = (),
+    keep: Sequence[str] = (), file_rows: bool = False,
 ) -> DataFrame:
     """Hits of ``rules`` (of one family) in readable ``files`` (``repo_id, path, content``).
 
@@ -113,7 +115,9 @@ def scan_rules(
     of matches starting there for a block rule; plus the ``line`` and the ``previous``
     one.  With ``scoped`` each rule stays inside the files of its packs; without, it
     runs on every given file.  Per-file columns named in ``keep`` are repeated on the
-    hits.
+    hits.  With ``file_rows`` every file also yields one row with ``rule_id``
+    ``FILE_ROW`` and its line count as ``line_no``: all a later job needs to know about
+    the file without reading its text again.
     """
     if not rules:
         raise ValueError("no rule is enabled")
@@ -128,7 +132,12 @@ def scan_rules(
     prepared = prepared.withColumn("numbered", F.expr(
         "transform(arrays_zip(lines, concat(array(''), lines), split(lowered, '\\n', -1)), (x, i) -> struct("
         "i + 1 AS line_no, x.lines AS line, x.`1` AS previous, x.`2` AS lowered))"))
-    hits = ", ".join(_rule_hits_sql(rule, scoped) for rule in rules)
+    parts = [_rule_hits_sql(rule, scoped) for rule in rules]
+    if file_rows:
+        parts.append(
+            f"array(struct({sql_string(FILE_ROW)} AS rule_id, cast(size(lines) AS int) AS line_no, 0 AS n,"
+            " '' AS line, '' AS previous))")
+    hits = ", ".join(parts)
     found = (
         prepared.select("repo_id", "path", *keep, F.expr(f"flatten(array_compact(array({hits})))").alias("hits"))
         # Outer, because Spark guards an inner generator with a filter that repeats the
@@ -139,18 +148,29 @@ def scan_rules(
     return found.filter(~is_suppressed(F.col("line"), F.col("previous"), markers))
 
 
-def large_files(readable: DataFrame) -> DataFrame:
-    """Files over the line limit with their line count."""
-    n_lines = F.length("content") - F.length(F.replace(F.col("content"), F.lit("\n"), F.lit(""))) + 1
-    return (
-        readable.select("repo_id", "path", n_lines.cast("long").alias("n_lines"))
-        .filter(F.col("n_lines") > LARGE_FILE_LINES)
-    )
+def line_count(content: Column) -> Column:
+    """Number of lines, with the empty one after a final newline."""
+    return F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1
+
+
+def file_facts(readable: DataFrame) -> DataFrame:
+    """Line count of every readable file."""
+    return readable.select("repo_id", "path", line_count(F.col("content")).cast("long").alias("n_lines"))
+
+
+def facts_from_rows(rows: DataFrame) -> DataFrame:
+    """The same from the file rows of a stored scan."""
+    return rows.filter(F.col("rule_id") == FILE_ROW).select(
+        "repo_id", "path", F.col("line_no").cast("long").alias("n_lines"))
+
+
+def large_files(facts: DataFrame) -> DataFrame:
+    """Files over the line limit."""
+    return facts.filter(F.col("n_lines") > LARGE_FILE_LINES)
 
 
 def scan_stats(listed: DataFrame) -> DataFrame:
     """Per repository: files listed (minified ones too) and readable files over the limit."""
-    n_lines = F.length("content") - F.length(F.replace(F.col("content"), F.lit("\n"), F.lit(""))) + 1
-    large = F.coalesce((n_lines > LARGE_FILE_LINES) & ~is_minified(F.col("content")), F.lit(False))
+    large = F.coalesce((line_count(F.col("content")) > LARGE_FILE_LINES) & ~is_minified(F.col("content")), F.lit(False))
     return listed.groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("files"), F.count_if(large).alias("large_files"))

@@ -15,7 +15,15 @@ from repolens.functions.suppression import DEFAULT_MARKERS, Markers
 from repolens.operators.attribution import blame_by_file, lines_owned, smell_counts
 from repolens.operators.authors import active_authors, dedupe_roster, visible_authors
 from repolens.operators.commits import author_metrics, line_churn, with_git_grade
-from repolens.operators.scan import large_files, listed_files, readable_files, scan_rules
+from repolens.operators.scan import (
+    FILE_ROW,
+    facts_from_rows,
+    file_facts,
+    large_files,
+    listed_files,
+    readable_files,
+    scan_rules,
+)
 from repolens.operators.scoring import code_grades, issue_matrix
 from repolens.rules import LARGE_RULE_ID, SMELL, SMELL_RULES, Rule, select_rules
 
@@ -33,20 +41,32 @@ class SmellScan:
 def smell_scan(
     files: DataFrame, blame_lines: DataFrame, *, rules: Sequence[Rule] = SMELL_RULES,
     packs: Sequence[str] | None = None, exclude: Sequence[str] = (), disabled: Sequence[str] = (),
-    markers: Markers = DEFAULT_MARKERS,
+    markers: Markers = DEFAULT_MARKERS, store: str | None = None,
 ) -> SmellScan:
     """Scan, attribute and score.
 
     A file that a smell rule can reach makes its own language present, so the packs of
     a repository need not be looked up here.
+
+    With ``store``, a folder every executor sees, texts are read exactly once: hits and
+    line counts are written there and everything else starts from them.  Without it each
+    result reads the texts it needs when it runs.
     """
     active = select_rules(rules, disabled=disabled, packs=packs)
     readable = readable_files(listed_files(files, SMELL, packs=packs, exclude=exclude))
-    hits = scan_rules(readable, active, markers=markers, scoped=packs is None or len(packs) > 1).drop("line", "previous")
-    large = None if LARGE_RULE_ID in disabled else large_files(readable)
+    rows = scan_rules(
+        readable, active, markers=markers, scoped=packs is None or len(packs) > 1, file_rows=store is not None,
+    ).drop("line", "previous")
+    if store is None:
+        hits, facts = rows, file_facts(readable)
+    else:
+        rows.write.mode("overwrite").parquet(store)
+        rows = files.sparkSession.read.schema(rows.schema).parquet(store)
+        hits, facts = rows.filter(F.col("rule_id") != FILE_ROW), facts_from_rows(rows)
+    large = None if LARGE_RULE_ID in disabled else large_files(facts)
     by_file = blame_by_file(blame_lines)
     counts = smell_counts(hits, blame_lines, large, by_file)
-    owned = lines_owned(by_file, readable)
+    owned = lines_owned(by_file, facts)
     return SmellScan(hits, counts, owned, code_grades(counts, owned, rules))
 
 
@@ -54,13 +74,13 @@ def author_report(
     commits: DataFrame, commit_files: DataFrame, roster: DataFrame, files: DataFrame | None = None,
     blame_lines: DataFrame | None = None, *, since: date | str | None = None, exclude: Sequence[str] = (),
     disabled: Sequence[str] = (), rules: Sequence[Rule] = SMELL_RULES, packs: Sequence[str] | None = None,
-    markers: Markers = DEFAULT_MARKERS,
+    markers: Markers = DEFAULT_MARKERS, store: str | None = None,
 ) -> DataFrame:
     """One row per roster entry.  Without ``files`` there is no code scan and no derived code grade."""
     scan = None
     if files is not None and blame_lines is not None:
         scan = smell_scan(files, blame_lines, rules=rules, packs=packs, exclude=exclude, disabled=disabled,
-                          markers=markers)
+                          markers=markers, store=store)
     return author_cards(
         dedupe_roster(roster), author_metrics(commits, since),
         line_churn(commits, commit_files, exclude=exclude, since=since), scan.grades if scan else None)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from repolens.operators.attribution import blame_by_file, lines_owned, majority_owner
 from repolens.operators.languages import dominant_language, language_counts, merged_rules, present_packs
-from repolens.operators.scan import large_files, listed_files, readable_files, scan_rules, scan_stats
+from repolens.operators.scan import file_facts, large_files, listed_files, readable_files, scan_rules, scan_stats
 from repolens.operators.scoring import code_grades, issue_matrix, matrix_by_author, matrix_by_rule
 from repolens.plans.author_report import smell_scan
 from repolens.rules import SECURITY_RULES, SMELL, SMELL_RULES, Rule, rule_catalogue, select_rules
@@ -98,13 +98,23 @@ def test_large_files_belong_to_the_majority(spark, tree):
         [("r", "a.ts", i + 1, "N", "Two@ex.com" if i % 2 else "one@ex.com") for i in range(200)],
         "repo_id STRING, path STRING, line_no INT, author_name STRING, author_email STRING")
     readable = readable_files(listed_files(files, SMELL))
-    assert [(r.path, r.n_lines) for r in large_files(readable).collect()] == [("a.ts", 201)]
+    assert [(r.path, r.n_lines) for r in large_files(file_facts(readable)).collect()] == [("a.ts", 201)]
     assert majority_owner(blame_by_file(blame)).first().email == "one@ex.com"  # tie: earliest line
     assert counts(smell_scan(files, blame), "one@ex.com") == {"large": 1}
     assert counts(smell_scan(files, blame, disabled=["large"]), "one@ex.com") == {}
     assert scan_stats(listed_files(files, SMELL)).first().large_files == 1
 
 
+def test_stored_scan_equals_the_lazy_one(tree, tmp_path):
+    files, blame = tree({"a.ts": "x as any\n" + "\n" * 250 + "catch {\n}", "b.java": "\n" * 300, "c.dart": "print(x)"})
+    lazy, stored = smell_scan(files, blame), smell_scan(files, blame, store=str(tmp_path / "scan"))
+    for name in ("hits", "counts", "owned", "grades"):
+        rows = lambda scan: sorted(map(tuple, getattr(scan, name).collect()))
+        assert rows(lazy) == rows(stored) and rows(lazy)
+    text = stored.grades._jdf.queryExecution().toString()
+    assert "content" not in text
+
+
 def test_unblamed_lines_are_unknown(tree, spark):
     files, blame = tree({"a.ts": "x as any\ny as any"})
     scan = smell_scan(files, blame.filter("line_no = 1"))

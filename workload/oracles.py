@@ -461,4 +461,6 @@ CTES["whole_hits"] = (
     f"select * from ({CTES['smell_line_hits'].replace('from smell_lines', 'from whole_lines')} union all select * from whole_block_hits) "
     f"where rule_id not in ({', '.join(map(lit, DISABLED))})")
 
+BODIES["author_report_stored"] = BODIES["author_report"]
+
 ORACLES: dict[str, str] = {name: sql(body) for name, body in BODIES.items()}

@@ -285,7 +285,7 @@ def security_line_hits(s: Staged) -> DataFrame:
 
 @query
 def large_files(s: Staged) -> DataFrame:
-    return scan.large_files(_smell_readable(s))
+    return scan.large_files(scan.file_facts(_smell_readable(s)))
 
 
 @query
@@ -363,6 +363,13 @@ def author_report(s: Staged) -> DataFrame:
     return reports.author_report(s.commits, s.commit_files, s.roster, s.files, s.blame_lines, exclude=EXCLUDE)
 
 
+@query
+def author_report_stored(s: Staged) -> DataFrame:
+    """The same report from a single pass over the texts."""
+    return reports.author_report(
+        s.commits, s.commit_files, s.roster, s.files, s.blame_lines, exclude=EXCLUDE, store=_folder(s, "smell-scan"))
+
+
 # --- findings ----------------------------------------------------------------------
 
 

@@ -11,15 +11,22 @@ from repolens.rules import LARGE_RULE_ID
 UNKNOWN = "unknown"
 
 
-def attribute_hits(hits: DataFrame, blame_lines: DataFrame) -> DataFrame:
+def attribute_hits(hits: DataFrame, blame_lines: DataFrame, *, stored: bool = False) -> DataFrame:
     """Left join of hits with the blame author of their line.
 
     The key is one line of one file, so no key is hot.  Adds ``author_name``
     (``unknown`` without blame) and ``author_email`` (null without blame).
+
+    Blame has a row per line, hits are few.  A left join cannot broadcast its left
+    side, so for ``stored`` hits, which are cheap to read twice, blame is first cut
+    down to the hit lines by a semi join: Spark broadcasts the keys when they turn out
+    small and shuffles both sides when they do not.
     """
-    owners = blame_lines.select("repo_id", "path", "line_no", "author_name", "author_email")
-    return hits.join(owners, ["repo_id", "path", "line_no"], "left").withColumn(
-        "author_name", F.coalesce("author_name", F.lit(UNKNOWN)))
+    key = ["repo_id", "path", "line_no"]
+    owners = blame_lines.select(*key, "author_name", "author_email")
+    if stored:
+        owners = owners.join(hits.select(*key), key, "left_semi")
+    return hits.join(owners, key, "left").withColumn("author_name", F.coalesce("author_name", F.lit(UNKNOWN)))
 
 
 def blame_by_file(blame_lines: DataFrame) -> DataFrame:
@@ -46,11 +53,11 @@ def majority_owner(blame_files: DataFrame) -> DataFrame:
 
 def smell_counts(
     hits: DataFrame, blame_lines: DataFrame, large: DataFrame | None = None,
-    blame_files: DataFrame | None = None,
+    blame_files: DataFrame | None = None, *, stored: bool = False,
 ) -> DataFrame:
     """Hits per author and rule; large files count for their majority owner."""
     counts = (
-        attribute_hits(hits.select("repo_id", "path", "line_no", "rule_id", "n"), blame_lines)
+        attribute_hits(hits.select("repo_id", "path", "line_no", "rule_id", "n"), blame_lines, stored=stored)
         .select("repo_id", F.coalesce(email_key(F.col("author_email")), F.lit(UNKNOWN)).alias("email"),
                 "rule_id", "n")
     )

@@ -78,9 +78,9 @@ def security_line_hits(
     return hits.drop("rule_packs")
 
 
-def built_in_findings(hits: DataFrame, blame_lines: DataFrame) -> DataFrame:
+def built_in_findings(hits: DataFrame, blame_lines: DataFrame, *, stored: bool = False) -> DataFrame:
     """Attribute the hits; lines without blame belong to ``unknown``."""
-    return attribute_hits(hits, blame_lines).select(
+    return attribute_hits(hits, blame_lines, stored=stored).select(
         "repo_id", "vector", "rule_id", "path", "line_no", "severity", "snippet", "fix", "review",
         "author_name", F.coalesce("author_email", F.lit("")).alias("author_email"),
         F.lit(BUILT_IN).alias("source"), "rule_position", "client_text")
@@ -147,12 +147,19 @@ def security_findings(
     files: DataFrame, blame_lines: DataFrame, *, gitleaks: DataFrame | None = None,
     semgrep: DataFrame | None = None, rules: Sequence[Rule] = SECURITY_RULES,
     packs: Sequence[str] | None = None, exclude: Sequence[str] = (), disabled: Sequence[str] = (),
-    markers: Markers = DEFAULT_MARKERS,
+    markers: Markers = DEFAULT_MARKERS, store: str | None = None,
 ) -> DataFrame:
-    """All findings of all engines.  Comment markers silence built-in rules only."""
+    """All findings of all engines.  Comment markers silence built-in rules only.
+
+    With ``store``, a folder every executor sees, the hits are written there first, and
+    blame is cut down to their lines before it is joined.
+    """
     hits = security_line_hits(
         files, rules, packs=packs, exclude=exclude, disabled=disabled, markers=markers)
-    findings = built_in_findings(hits, blame_lines)
+    if store is not None:
+        hits.write.mode("overwrite").parquet(store)
+        hits = files.sparkSession.read.schema(hits.schema).parquet(store)
+    findings = built_in_findings(hits, blame_lines, stored=store is not None)
     if gitleaks is not None:
         findings = merge_secret_feed(findings, gitleaks)
     if semgrep is not None:

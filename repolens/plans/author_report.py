@@ -65,7 +65,7 @@ def smell_scan(
         hits, facts = rows.filter(F.col("rule_id") != FILE_ROW), facts_from_rows(rows)
     large = None if LARGE_RULE_ID in disabled else large_files(facts)
     by_file = blame_by_file(blame_lines)
-    counts = smell_counts(hits, blame_lines, large, by_file)
+    counts = smell_counts(hits, blame_lines, large, by_file, stored=store is not None)
     owned = lines_owned(by_file, facts)
     return SmellScan(hits, counts, owned, code_grades(counts, owned, rules))
 

@@ -90,3 +90,9 @@ def test_bucketed_tables_attribute_without_a_shuffle(spark, stored):
 def test_smell_counts_combine_before_the_shuffle(stored):
     text = plan(smell_scan(stored["files"], stored["blame"]).counts)
     assert "partial_sum" in text
+
+
+def test_stored_hits_cut_blame_down_first(spark, stored, tmp_path):
+    found = security_findings(stored["files"], stored["blame"], store=str(tmp_path / "hits"))
+    text = plan(found)
+    assert "LeftSemi" in text and "content" not in text

@@ -462,5 +462,6 @@ CTES["whole_hits"] = (
     f"where rule_id not in ({', '.join(map(lit, DISABLED))})")
 
 BODIES["author_report_stored"] = BODIES["author_report"]
+BODIES["security_findings_stored"] = BODIES["security_findings"]
 
 ORACLES: dict[str, str] = {name: sql(body) for name, body in BODIES.items()}

@@ -384,6 +384,15 @@ def security_findings(s: Staged) -> DataFrame:
     return _findings(s).drop("rule_position")
 
 
+@query
+def security_findings_stored(s: Staged) -> DataFrame:
+    """The same findings by way of stored hits."""
+    return findings.security_findings(
+        s.files, s.blame_lines, gitleaks=feeds.normalise_gitleaks(s.gitleaks_raw),
+        semgrep=feeds.normalise_semgrep(s.semgrep_raw), exclude=EXCLUDE, store=_folder(s, "security-hits"),
+    ).drop("rule_position")
+
+
 @query
 def client_key_downgrade(s: Staged) -> DataFrame:
     return _findings(s).filter(F.col("vector") == findings.SECRETS).groupBy(

@@ -13,6 +13,11 @@ from repolens.rules import PACKS, Rule, rule_catalogue
 GENERIC = "generic"
 
 
+def explicit_packs(language: str | None) -> list[str] | None:
+    """The one pack of a named language; None, meaning detection, for no or an unknown name."""
+    return [language] if language in PACKS else None
+
+
 def language_counts(files: DataFrame) -> DataFrame:
     """Tracked files per repository and known language (reads paths only)."""
     return (

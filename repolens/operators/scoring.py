@@ -99,3 +99,14 @@ def matrix_by_author(matrix: DataFrame, authors: Sequence[str]) -> DataFrame:
         matrix.groupBy("repo_id", "position", "rule_id", "label").pivot("short", list(authors))
         .agg(F.sum("n")).na.fill(0, list(authors))
     )
+
+
+def matrix_override(matrix: DataFrame, by_hand: DataFrame | None) -> DataFrame:
+    """Repositories with a matrix written by hand show that one, the others the derived one.
+
+    ``by_hand`` has ``repo_id, position, label, short, cell``; cells may be any text.
+    """
+    cells = matrix.select("repo_id", "position", "label", "short", F.col("n").cast("string").alias("cell"))
+    if by_hand is not None:
+        cells = cells.join(by_hand.select("repo_id").distinct(), "repo_id", "left_anti").unionByName(by_hand)
+    return cells.withColumn("intensity", cell_intensity(F.col("cell")))

@@ -200,7 +200,7 @@ class Staged:
         self.commit_files
         return self.spark.sql("""
 select repo_id, concat_ws('\\u001f', sha, author_name, author_email, cast(author_date as string) || 'T00:00:00Z',
- date_format(commit_ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), subject) || coalesce('\\n\\n' || body, '') as value
+ date_format(commit_ts, "yyyy-MM-dd'T'HH:mm:ssXXX"), subject) || coalesce('\\n\\n' || body, '') as value
 from commits left join (
  select sha, array_join(collect_list(coalesce(cast(added as string), '-') || '\\t' || coalesce(cast(deleted as string), '-') || '\\t' || path), '\\n') as body
  from commit_files group by sha) using (sha)""")

@@ -15,7 +15,8 @@ from repolens.functions.suppression import is_sample_credential, is_suppressed
 from repolens.operators import attribution, authors, cadence, commits, delta, findings, languages, ranking, scan, scoring
 from repolens.plans import author_report as reports
 from repolens.plans import delta_report as deltas
-from repolens.rules import PACKS, SECURITY, SECURITY_RULES, SMELL, SMELL_RULES, select_rules
+from repolens.plans.security_report import stored_findings
+from repolens.rules import PACKS, SECURITY_RULES, SMELL, SMELL_RULES
 from repolens.session import shared_folder
 from repolens.sources import feeds, git_export
 from repolens.sources.snapshots import latest_snapshot, read_snapshots
@@ -447,7 +448,9 @@ def worst_severity(s: Staged) -> DataFrame:
 
 @query
 def top_findings(s: Staged) -> DataFrame:
-    return ranking.top_findings(_findings(s)).select(
+    # The list and its group sizes both read the findings, so they are stored first.
+    found = stored_findings(_findings(s), _folder(s, "findings-table"))
+    return ranking.top_findings(found).select(
         "repo_id", "vector", "rule_id", "place", "path", "line_no", "severity", "n_group", "n_more")
 
 

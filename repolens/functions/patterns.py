@@ -9,7 +9,6 @@ that it accepts the same texts.
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from repolens.rules import Rule
 

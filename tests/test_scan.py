@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from repolens.operators.attribution import blame_by_file, lines_owned, majority_owner
+from repolens.operators.attribution import blame_by_file, majority_owner
 from repolens.operators.languages import dominant_language, language_counts, merged_rules, present_packs
 from repolens.operators.scan import file_facts, large_files, listed_files, readable_files, scan_rules, scan_stats
 from repolens.operators.scoring import code_grades, issue_matrix, matrix_by_author, matrix_by_rule

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -33,6 +34,15 @@ def session(app_name: str = "repolens", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a local one only where none is set (tests)."""
+    """The cluster's shared scratch folder, ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder (tests); any other raises, since
+    files on one machine's disk are not seen by the others.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="repolens-")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master} share")
+    return tempfile.mkdtemp(prefix="repolens-")

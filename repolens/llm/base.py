@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from repolens.session import shared_folder
 
@@ -30,3 +31,8 @@ def text_of(column: str = "text") -> Column:
 def bind(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body mentions it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """The schema and further columns."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

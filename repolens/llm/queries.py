@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repolens.llm.decontamination import contamination, items_digest
 from repolens.llm.packing import pack
+from repolens.llm.simhash import near_duplicates
 from repolens.llm.token_files import token_files
+from repolens.llm.toxicity import held_out, train, training_rows, with_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_files(_table(spark, sf_dir, "documents"))
     return read.select(
@@ -22,6 +30,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        items_digest().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(_table(spark, sf_dir, "documents"))
     return packed.select(
@@ -29,8 +45,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("offset").cast("long").alias("offset"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, training_rows(_table(spark, sf_dir, "labels")))
+    return with_toxicity(docs, model).select(
+        "doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
+    "op5_decontamination": op5_decontamination,
     "op7_packing": op7_packing,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}

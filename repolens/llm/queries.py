@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.llm.decontamination import contamination, items_digest
 from repolens.llm.packing import pack
+from repolens.llm.pii import KINDS, spans_text, with_pii
+from repolens.llm.pii import train as train_pii
 from repolens.llm.simhash import near_duplicates
 from repolens.llm.token_files import token_files
 from repolens.llm.toxicity import held_out, train, training_rows, with_toxicity
@@ -45,6 +47,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("offset").cast("long").alias("offset"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_pii(docs, train_pii(spark))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(kind) for kind in KINDS], F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256"),
+        spans_text(F.col("pii_spans")).alias("spans"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, training_rows(_table(spark, sf_dir, "labels")))
@@ -58,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_decontamination": op5_decontamination,
     "op7_packing": op7_packing,
+    "op8_pii": op8_pii,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}

@@ -11,6 +11,8 @@ from repolens.llm.decontamination import contamination, items_digest
 from repolens.llm.packing import pack
 from repolens.llm.pii import KINDS, spans_text, with_pii
 from repolens.llm.pii import train as train_pii
+from repolens.llm.quality import train as train_quality
+from repolens.llm.quality import with_quality
 from repolens.llm.simhash import near_duplicates
 from repolens.llm.token_files import token_files
 from repolens.llm.toxicity import held_out, train, training_rows, with_toxicity
@@ -40,6 +42,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         items_digest().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(docs, _table(spark, sf_dir, "labels"))
+    return with_quality(docs, model).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "quality_score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(_table(spark, sf_dir, "documents"))
     return packed.select(
@@ -71,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op5_decontamination": op5_decontamination,
+    "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
     "op10_toxicity": op10_toxicity,

@@ -11,6 +11,7 @@ import functools
 import os
 import re
 import string
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -68,12 +69,6 @@ class Encoder:
             return [line.split(" ") for line in text.split("\n")]
         return [_SINGLE_SPACE.split(text)]
 
-    @staticmethod
-    def _stem(part: str) -> str:
-        """Letters and a run of punctuation that ends the part are different pre-tokens."""
-        stem = part.rstrip(string.punctuation)
-        return stem if stem and stem[-1].isalpha() and "<" not in part else part
-
     def _together(self, parts: list[str], before: str) -> dict[str, bytes]:
         """Ids of ``before + part`` for parts without white space; a few hundred parts a call are quickest."""
         found: dict[str, bytes] = {}
@@ -89,60 +84,69 @@ class Encoder:
             found.update((x, raw[4 * a : 4 * b]) for x, a, b in zip(some, cuts, [*cuts[1:], len(ids)], strict=True))
         return found
 
-    def _learn(self, parts: set[str], before: str) -> dict[str, bytes]:
-        """Ids of ``before + part`` for all the parts, and of others kept before."""
+    def _learn(self, parts: Counter[str], before: str) -> dict[str, bytes]:
+        """Ids of ``before + part`` for unknown parts; those seen twice are kept."""
         if len(self._kept[before]) > KEPT_PARTS:
-            self._kept[before] = {}
-        known = self._kept[before]
-        stems = {part: self._stem(part) for part in parts - known.keys()}
-        found = self._together(
-            [x for x in set(stems.values()) - known.keys() if x.isalnum() or x and _SPACE.search(x) is None], before)
-        tails = self._tails
-        for part, stem in stems.items():
-            if part not in found:
-                tail = part[len(stem):]
-                begin = found.get(stem, known.get(stem))
-                if not tail or begin is None:
-                    found[part] = self._ids(before + part)
-                    continue
+            self._kept[before].clear()
+        known, tails = self._kept[before], self._tails
+        ended: dict[str, str] = {}  # parts that end in a run of punctuation after letters: different pre-tokens
+        alone: set[str] = set()
+        for part in parts:
+            if part.isalnum():
+                alone.add(part)
+                continue
+            stem = part.rstrip(string.punctuation)
+            if stem != part and stem and stem[-1].isalpha() and "<" not in part:
+                ended[part] = stem
+                part = stem
+            if part and part not in known and _SPACE.search(part) is None:
+                alone.add(part)
+        found = self._together(list(alone), before)
+        for part, stem in ended.items():
+            tail = part[len(stem):]
+            begin = found.get(stem) or known.get(stem)
+            if begin is not None:
                 if tail not in tails:
                     tails[tail] = self._ids(tail)
                 found[part] = begin + tails[tail]
+        for part, times in parts.items():
+            if part not in found:
+                found[part] = self._ids(before + part)
+            if times > 1 and len(part) <= KEPT_LENGTH:
+                known[part] = found[part]
         if len(tails) > KEPT_PARTS:
-            self._tails = {}
-        long = [k for k in found if len(k) > KEPT_LENGTH]
-        if not long:
-            known.update(found)
-            return known
-        known.update((k, v) for k, v in found.items() if len(k) <= KEPT_LENGTH)
-        return known | {k: found[k] for k in long}
+            tails.clear()
+        return found
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null and empty have none."""
-        cut = [self._parts(text) if text else [] for text in texts]
-        later: set[str] = set()
-        rest: set[str] = set()
-        for lines in cut:
-            for number, line in enumerate(lines):
+        out: list[list[bytes | None]] = []
+        unknown: dict[str, list[tuple[list, int, str]]] = {" ": [], "\n": []}  # places to fill and their parts
+        firsts: list[tuple[list, str]] = []
+        after_space, after_break = self._kept[" "].get, self._kept["\n"].get
+        for text in texts:
+            ids: list[bytes | None] = []
+            out.append(ids)
+            for number, line in enumerate(self._parts(text) if text else ()):
+                start = line[0]
                 if number:
-                    later.add(line[0])
-                rest.update(line[1:])
-        spaced = self._learn(rest, " ").__getitem__
-        broken = self._learn(later, "\n")
-        done = []
-        for lines in cut:
-            out: list[bytes] = []
-            for number, line in enumerate(lines):
-                first = line[0]
-                out.append(broken[first] if number else self._first(first, broken))
-                out.extend(map(spaced, line[1:]))
-            done.append(b"".join(out))
-        return done
-
-    def _first(self, part: str, broken: dict[str, bytes]) -> bytes:
-        """A part with nothing before it; that of another line has the newline's id first."""
-        with_break = broken.get(part)
-        return self._ids(part) if with_break is None else with_break[len(self._newline):]
+                    ids.append(after_break(start))
+                    if ids[-1] is None:
+                        unknown["\n"].append((ids, len(ids) - 1, start))
+                else:
+                    ids.append(None)
+                    firsts.append((ids, start))
+                at = len(ids) - 1
+                ids.extend(map(after_space, line[1:]))
+                if None in ids[at + 1 :]:
+                    unknown[" "] += [(ids, at + k, line[k]) for k in range(1, len(line)) if ids[at + k] is None]
+        for before, places in unknown.items():
+            new = self._learn(Counter(part for _, _, part in places), before)
+            for ids, k, part in places:
+                ids[k] = new[part]
+        for ids, part in firsts:
+            ids[0] = self._ids(part)
+        return [b"".join(x) for x in out]
 
 
 @functools.cache

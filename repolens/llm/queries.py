@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from repolens.llm.chat import BEGIN, CONTROL, END, digest, format_conversations, messages_as_events
 from repolens.llm.decontamination import contamination, items_digest
+from repolens.llm.html import main_text
 from repolens.llm.packing import pack
 from repolens.llm.pii import KINDS, spans_text, with_pii
 from repolens.llm.pii import train as train_pii
@@ -78,6 +79,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         spans_text(F.col("pii_spans")).alias("spans"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, training_rows(_table(spark, sf_dir, "labels")))
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
+    "op9_html": op9_html,
     "op10_toxicity": op10_toxicity,
 }
 # The escaped length: a backslash is doubled, a control string gets one more.

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from repolens.llm.chat import BEGIN, CONTROL, END, digest, format_conversations, messages_as_events
 from repolens.llm.decontamination import contamination, items_digest
 from repolens.llm.html import main_text
+from repolens.llm.licenses import train as train_licenses
+from repolens.llm.licenses import with_licenses
 from repolens.llm.packing import pack
 from repolens.llm.pii import KINDS, spans_text, with_pii
 from repolens.llm.pii import train as train_pii
@@ -32,6 +34,17 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_conversations(messages_as_events(given.unionByName(planted))))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_licenses(docs, train_licenses(docs))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_found"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter(
+            "licenses", lambda f: f["confirmed"]), lambda f: f["family"]))), ",").alias("families"),
+        F.array_join(F.transform("licenses", lambda f: F.concat_ws(
+            ":", f["line"].cast("string"), f["family"], f["confirmed"].cast("string"))), ",").alias("lines"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -93,6 +106,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op2_licenses": op2_licenses,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op5_decontamination": op5_decontamination,

@@ -31,6 +31,8 @@ MIN_Z = 4.0
 PRIOR = 1.0
 #: Segments with at most this many expected chance hits in their text are significant.
 MAX_EXPECTED = 0.5
+#: Bound of the extreme value law's rate.
+MAX_RATE = 5.0
 
 # Letters and digits in lower case stay, other ASCII characters divide words.
 _TABLE = bytes(
@@ -125,10 +127,13 @@ def _token_scores(labelled: DataFrame, prior: float, min_z: float, max_tokens: i
 
 
 def _law(best: np.ndarray, lengths: np.ndarray) -> tuple[float, float]:
-    """Rate and scale of the extreme value law of the best segment by moments; lengths are shifted away."""
+    """Rate and scale of the extreme value law of the best segment by moments; lengths are shifted away.
+
+    Where no document has a chance segment the law is as steep as it may be.
+    """
     if len(best) < 2 or best.std() == 0:
-        return 1.0, 1e-3
-    rate = min(5.0, max(0.05, np.pi / (best.std() * np.sqrt(6))))
+        return MAX_RATE, 1e-3
+    rate = min(MAX_RATE, max(0.05, np.pi / (best.std() * np.sqrt(6))))
     location = (best - np.log(np.maximum(lengths, 1)) / rate).mean() - np.euler_gamma / rate
     return float(rate), float(np.exp(rate * location))
 

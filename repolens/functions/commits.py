@@ -14,11 +14,12 @@ GIT_GRADE_BANDS = ((80, "A"), (72, "A-"), (66, "B+"), (58, "B"), (52, "B-"), (46
 GIT_GRADE_BASE, GIT_GRADE_VOLUME, GIT_GRADE_CONVENTIONAL, GIT_GRADE_TICKETS = 20, 35, 25, 20
 FULL_VOLUME_COMMITS = 30
 LOWEST_GRADE = "D"
+WHITE_SPACE = " \t\n\r\x0b\x0c"
 
 
 def email_key(email: Column) -> Column:
     """Join key of an e-mail address: case and outer blanks do not count."""
-    return F.lower(F.trim(email))
+    return F.lower(F.btrim(email, F.lit(WHITE_SPACE)))
 
 
 def is_conventional(subject: Column) -> Column:

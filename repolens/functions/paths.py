@@ -20,11 +20,12 @@ CLIENT_FILE_PATHS = r"\.(ts|tsx|js|jsx|html|vue)$"
 CLIENT_FILE_HINT = r"environment"
 
 
-def glob_to_regex(glob: str) -> str | None:
+def glob_to_regex(glob: str, folders: bool = True) -> str | None:
     """Regex (Java and RE2) for one path glob, or None for a blank one.
 
     ``*`` and ``?`` stay inside a path segment, ``**`` crosses segments, a trailing
-    slash means everything below.  A glob may start at any segment.
+    slash means everything below.  A glob may start at any segment; with ``folders`` it
+    may end at any, so that it takes in what lies below a folder of that name.
     """
     glob = glob.strip().replace("\\", "/").removeprefix("./")
     if not glob:
@@ -44,12 +45,12 @@ def glob_to_regex(glob: str) -> str | None:
                 parts.append("\\" + ch)
             else:
                 parts.append(ch)
-    return f"(^|/){''.join(parts)}($|/)"
+    return f"(^|/){''.join(parts)}{'($|/)' if folders else '$'}"
 
 
-def globs_to_regex(globs: Iterable[str]) -> str | None:
+def globs_to_regex(globs: Iterable[str], folders: bool = True) -> str | None:
     """One alternation for a list of globs, without repeats (None when empty)."""
-    regexes = [r for r in map(glob_to_regex, dict.fromkeys(globs)) if r]
+    regexes = [r for g in dict.fromkeys(globs) if (r := glob_to_regex(g, folders))]
     return "|".join(regexes) if regexes else None
 
 
@@ -59,9 +60,9 @@ def normalise_path(path: Column) -> Column:
     return F.when(unusual, F.regexp_replace(F.translate(path, "\\", "/"), r"^\./", "")).otherwise(path)
 
 
-def path_matches(path: Column, globs: Iterable[str]) -> Column:
+def path_matches(path: Column, globs: Iterable[str], folders: bool = True) -> Column:
     """True where the path matches one of the globs; False for no globs or a null path."""
-    regex = globs_to_regex(globs)
+    regex = globs_to_regex(globs, folders)
     if regex is None:
         return F.lit(False)
     return F.coalesce(matches(normalise_path(path), regex), F.lit(False))

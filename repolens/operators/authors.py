@@ -33,6 +33,11 @@ def visible_authors(roster: DataFrame) -> DataFrame:
     return roster.filter(~F.coalesce("hide_from_cards", F.lit(False)))
 
 
+def reported(rows: DataFrame, roster: DataFrame) -> DataFrame:
+    """Rows by author of the people a report shows: those of the roster (its e-mails are keys)."""
+    return rows.join(roster.select("repo_id", "email"), ["repo_id", "email"], "left_semi")
+
+
 def active_authors(metrics: DataFrame) -> DataFrame:
     return metrics.filter(F.col("commits") > 0)
 

@@ -25,7 +25,9 @@ def last_months(cadence: DataFrame, shown: int = MONTHS_SHOWN) -> DataFrame:
 def month_heatmap(cadence: DataFrame, bounds: DataFrame, shown: int = MONTHS_SHOWN) -> DataFrame:
     """Commits per author and shown month (long form) with label and shade."""
     months = last_months(cadence, shown)
-    cells = cadence.join(months, ["repo_id", "month"])
+    slots = months.groupBy("repo_id").agg(F.map_from_entries(F.collect_list(F.struct("month", "slot"))).alias("slots"))
+    cells = join_per_repo(cadence, slots, ["email"]).withColumn("slot", F.col("slots")[F.col("month")]).filter(
+        F.col("slot").isNotNull()).drop("slots")
     busiest = cells.groupBy("repo_id").agg(F.greatest(F.max("commits"), F.lit(1)).alias("busiest"))
     facts = busiest.join(bounds.select("repo_id", "through_date"), "repo_id")
     return join_per_repo(cells, facts, ["email"]).select(

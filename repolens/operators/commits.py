@@ -23,13 +23,17 @@ from repolens.functions.commits import (
     percentage,
 )
 from repolens.functions.paths import path_matches
+from repolens.operators.skew import join_per_repo
 
 
 def in_period(commits: DataFrame, since: date | str | None) -> DataFrame:
     """Commits on or after the first day of the period (by commit time)."""
     if since is None:
         return commits
-    return commits.filter(F.col("commit_ts") >= F.lit(str(since)).cast("timestamp"))
+    inside = F.col("commit_ts") >= F.lit(str(since)).cast("timestamp")
+    if "commit_month" in commits.columns:  # stored by month: earlier ones are not read
+        inside = inside & (F.col("commit_month") >= str(since)[:7])
+    return commits.filter(inside)
 
 
 def with_email(commits: DataFrame) -> DataFrame:
@@ -134,7 +138,7 @@ def commits_since(commits: DataFrame, last_dates: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return (
-        daily.join(last_dates.select("repo_id", "last_date"), "repo_id")
+        join_per_repo(daily, last_dates.select("repo_id", "last_date"), ["email"])
         .filter(F.col("day") >= F.col("last_date"))
         .groupBy("repo_id", "email")
         .agg(F.sum("n").alias("since"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repolens.operators.skew import join_per_repo
+
 SNAPSHOT_VALUES = ("commits", "added", "deleted", "last_active")
 
 
@@ -12,9 +14,9 @@ def snapshot_rows(metrics: DataFrame, churn: DataFrame, bounds: DataFrame, last_
     """Totals of active authors to keep for the next build."""
     dates = bounds.select("repo_id", F.col("through_date").alias("compiled_date")).join(
         last_dates.select("repo_id", F.col("last_date").alias("previous_compiled_date")), "repo_id", "left")
+    active = metrics.filter(F.col("commits") > 0).join(churn, ["repo_id", "email"], "left")
     return (
-        metrics.filter(F.col("commits") > 0).join(churn, ["repo_id", "email"], "left")
-        .join(dates, "repo_id")
+        join_per_repo(active, dates, ["email"])
         .select("repo_id", "email", "commits", F.coalesce("added", F.lit(0)).alias("added"),
                 F.coalesce("deleted", F.lit(0)).alias("deleted"), "last_active",
                 "previous_compiled_date", "compiled_date")

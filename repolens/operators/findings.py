@@ -47,6 +47,9 @@ def _rule_facts_sql(rules: Sequence[Rule]) -> str:
             f"'severity', {sql_string(rule.severity or '')}, 'fix', {sql_string(rule.fix or '')}, "
             f"'review', {str(rule.review).lower()}, 'rule_position', {position}, 'rule_packs', array({packs}))")
 
+    if not rules:
+        return ("cast(null as struct<vector: string, severity: string, fix: string, review: boolean, rule_position: int, "
+                "rule_packs: array<string>>)")
     return f"element_at(map({', '.join(facts(i, r) for i, r in enumerate(rules))}), rule_id)"
 
 
@@ -95,7 +98,7 @@ def merge_secret_feed(findings: DataFrame, feed: DataFrame) -> DataFrame:
 
 def attribute_feed(feed: DataFrame, blame_lines: DataFrame) -> DataFrame:
     """Name the blame author of each feed finding; the feed has no address."""
-    named = attribute_hits(feed.drop("author_name", "author_email"), blame_lines)
+    named = attribute_hits(feed.drop("author_name", "author_email"), blame_lines, stored=True)
     return named.withColumn("author_email", F.lit("")).select(feed.columns)
 
 
@@ -120,14 +123,16 @@ def downgrade_client_keys(findings: DataFrame, files: DataFrame | None = None) -
     """Public client keys become Low.
 
     ``client_text`` says whether the finding's file mentions a client configuration.
-    Where a feed left it null, ``files`` is searched; only the matching paths join.
+    Where a feed left it null for a key, its files are searched, and no others.
     """
+    snippet = F.col("snippet")
+    is_key = matches(snippet, CLIENT_KEY) | F.contains("rule_id", F.lit(CLIENT_KEY_RULE))
     if files is not None:
-        mentioned = client_config_files(files).withColumn("mentioned", F.lit(True))
+        asked = findings.filter((F.col("vector") == SECRETS) & F.col("client_text").isNull() & is_key)
+        named = files.join(asked.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+        mentioned = client_config_files(named).withColumn("mentioned", F.lit(True))
         findings = findings.join(mentioned, ["repo_id", "path"], "left").withColumn(
             "client_text", F.coalesce("client_text", "mentioned", F.lit(False))).drop("mentioned")
-    snippet = F.col("snippet")
-    is_key = matches(snippet, CLIENT_KEY) | F.contains("rule_id", F.lit(CLIENT_KEY_RULE))
     public = (
         is_client_file(F.col("path")) | F.coalesce("client_text", F.lit(False))
         | matches(snippet, CLIENT_CONFIG_WORDS, ignore_case=True)

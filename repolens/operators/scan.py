@@ -23,6 +23,8 @@ MINIFIED_LINE_CHARS = 2000
 
 FILE_ROW = "(file)"
 
+HIT_FIELDS = {"rule_id": "string", "line_no": "int", "n": "int", "line": "string", "previous": "string"}
+
 # Stands before each block match while lines are counted.  Neither sign is a word
 # character, a space or punctuation, so exchanging them cannot change a match.
 _MATCH_MARK = "\ue000"
@@ -50,7 +52,7 @@ def listed_files(
     """Files a scan looks at: in a pack's globs, not generated, not excluded by the user."""
     wanted = globs if globs is not None else [g for gs in pack_globs(family, packs).values() for g in gs]
     return files.filter(
-        path_matches(F.col("path"), wanted)
+        path_matches(F.col("path"), wanted, folders=False)
         & ~is_generated(F.col("path"))
         & ~path_matches(F.col("path"), exclude)
     )
@@ -70,7 +72,7 @@ def readable_files(listed: DataFrame) -> DataFrame:
 def file_packs(path: Column, family: str) -> Column:
     """Ids of the packs whose globs take in the path."""
     return F.array_compact(F.array(*(
-        F.when(path_matches(path, globs), F.lit(pack_id))
+        F.when(path_matches(path, globs, folders=False), F.lit(pack_id))
         for pack_id, globs in pack_globs(family).items())))
 
 
@@ -117,15 +119,16 @@ def scan_rules(
     runs on every given file.  Per-file columns named in ``keep`` are repeated on the
     hits.  With ``file_rows`` every file also yields one row with ``rule_id``
     ``FILE_ROW`` and its line count as ``line_no``: all a later job needs to know about
-    the file without reading its text again.
+    the file without reading its text again.  No rules give no hits.
     """
-    if not rules:
-        raise ValueError("no rule is enabled")
+    if not rules and not file_rows:
+        return files.limit(0).select("repo_id", "path", *keep, *(
+            F.lit(None).cast(kind).alias(name) for name, kind in HIT_FIELDS.items()))
     lowered = F.lower("content") if any(r.ignore_case for r in rules) else F.col("content")
     prepared = files.select(
         "repo_id", "path", "content", *keep, lowered.alias("lowered"),
         split_lines(F.col("content")).alias("lines"),
-        file_packs(F.col("path"), rules[0].family).alias("file_packs"),
+        file_packs(F.col("path"), rules[0].family if rules else SMELL).alias("file_packs"),
     )
     # The arrays are zipped, not looked up inside the lambda: a lookup would be inlined
     # and split the text again for every line.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from repolens.functions.grades import chosen_grade, code_grade, is_derived, smell_density
 from repolens.functions.report import cell_intensity
 from repolens.operators.commits import with_git_grade
+from repolens.operators.skew import join_per_repo
 from repolens.rules import LARGE_LABEL, LARGE_RULE_ID, LARGE_WEIGHT, SMELL_RULES, Rule
 
 
@@ -108,5 +109,7 @@ def matrix_override(matrix: DataFrame, by_hand: DataFrame | None) -> DataFrame:
     """
     cells = matrix.select("repo_id", "position", "label", "short", F.col("n").cast("string").alias("cell"))
     if by_hand is not None:
-        cells = cells.join(by_hand.select("repo_id").distinct(), "repo_id", "left_anti").unionByName(by_hand)
+        written = by_hand.select("repo_id", F.lit(True).alias("written")).distinct()
+        derived = join_per_repo(cells, written, ["label", "short"], "left").filter(F.col("written").isNull()).drop("written")
+        cells = derived.unionByName(by_hand)
     return cells.withColumn("intensity", cell_intensity(F.col("cell")))

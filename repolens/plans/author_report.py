@@ -125,4 +125,4 @@ def matrix_report(
     """Issue matrix of the visible authors with commits."""
     active = active_authors(author_metrics(commits, since)).select("repo_id", "email")
     cards = visible_authors(dedupe_roster(roster)).join(active, ["repo_id", "email"], "left_semi")
-    return issue_matrix(scan.counts, cards.withColumn("short", F.coalesce("short", "name")), rules, disabled=disabled)
+    return issue_matrix(scan.counts, cards.withColumn("short", F.coalesce(F.nullif("short", F.lit("")), "name")), rules, disabled=disabled)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from repolens.functions.suppression import DEFAULT_MARKERS, Markers
 from repolens.operators import cadence
-from repolens.operators.authors import dedupe_roster, missing_authors, missing_summary
+from repolens.operators.authors import dedupe_roster, missing_authors, missing_summary, reported
 from repolens.operators.commits import author_metrics, date_bounds, discover_authors, line_churn, monthly_cadence
 from repolens.operators.findings import BUILT_IN, GITLEAKS, SEMGREP, security_findings
 from repolens.operators.languages import explicit_packs, language_counts
@@ -66,12 +66,13 @@ def build(inputs: Inputs, folder: str, *, options: Options = Options(), snapshot
     metrics = author_metrics(inputs.commits, o.since)
     bounds = date_bounds(inputs.commits)
     months = monthly_cadence(inputs.commits, o.since)
-    heatmap = cadence.month_heatmap(months, bounds)
+    shown = reported(metrics, people)
+    heatmap = cadence.month_heatmap(reported(months, people), bounds)
     churn = line_churn(inputs.commits, inputs.commit_files, exclude=o.exclude, since=o.since)
     tables = {
         "languages": language_counts(inputs.files), "bounds": bounds, "months": months, "heatmap": heatmap,
-        "cadence": cadence.cadence_text(heatmap), "bars": cadence.commit_bars(metrics),
-        "totals": cadence.team_totals(metrics, heatmap), "staleness": cadence.staleness(metrics, bounds),
+        "cadence": cadence.cadence_text(heatmap), "bars": cadence.commit_bars(shown),
+        "totals": cadence.team_totals(shown, heatmap), "staleness": cadence.staleness(shown, bounds),
         "missing_authors": missing_summary(missing_authors(discover_authors(inputs.commits), people)),
     }
     grades = None
@@ -104,6 +105,7 @@ def build(inputs: Inputs, folder: str, *, options: Options = Options(), snapshot
         tables |= {f"security/{name}": table for name, table in vars(report).items()}
     if snapshot_path is not None:
         write_snapshot(
-            build_snapshot(inputs.commits, inputs.commit_files, inputs.snapshots, exclude=o.exclude, since=o.since),
+            build_snapshot(
+                inputs.commits, inputs.commit_files, inputs.snapshots, exclude=o.exclude, since=o.since, roster=roster),
             snapshot_path, build=build_id)
     return sorted(tables)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolens.operators import delta
-from repolens.operators.authors import dedupe_roster
+from repolens.operators.authors import dedupe_roster, reported
 from repolens.operators.commits import author_metrics, commits_since, date_bounds, line_churn
 from repolens.operators.scoring import final_grades
 from repolens.sources.snapshots import latest_snapshot
@@ -32,11 +32,14 @@ def delta_report(
 
 def build_snapshot(
     commits: DataFrame, commit_files: DataFrame, snapshots: DataFrame | None = None, *,
-    exclude: Sequence[str] = (), since: date | str | None = None,
+    exclude: Sequence[str] = (), since: date | str | None = None, roster: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows to store after a build."""
+    """Rows to store after a build: those of the roster's authors, or of everybody who committed."""
     bounds = date_bounds(commits)
     previous = latest_snapshot(snapshots) if snapshots is not None else None
+    metrics = author_metrics(commits, since)
+    if roster is not None:
+        metrics = reported(metrics, dedupe_roster(roster))
     return delta.snapshot_rows(
-        author_metrics(commits, since), line_churn(commits, commit_files, exclude=exclude, since=since), bounds,
+        metrics, line_churn(commits, commit_files, exclude=exclude, since=since), bounds,
         delta.last_dates(bounds, previous, str(since) if since else None))

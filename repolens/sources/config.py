@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repolens.functions.report import strip
+
 ROSTER_ENTRY = (
     "STRUCT<email: STRING, name: STRING, short: STRING, domain: STRING, gitGrade: STRING, codeGrade: STRING, "
     "highlight: BOOLEAN, hideFromCards: BOOLEAN, badge: STRUCT<kind: STRING, text: STRING>>"
@@ -19,7 +21,7 @@ def roster_rows(entries: DataFrame) -> DataFrame:
     """Roster table from ``repo_id, authors`` rows; ``position`` keeps the order of the list."""
     return entries.select("repo_id", F.posexplode("authors")).select(
         "repo_id", F.col("pos").alias("position"), "col.email", "col.name",
-        F.coalesce("col.short", "col.name").alias("short"), F.coalesce("col.domain", F.lit("")).alias("domain"),
+        F.coalesce(F.nullif("col.short", F.lit("")), "col.name").alias("short"), F.coalesce("col.domain", F.lit("")).alias("domain"),
         F.coalesce("col.gitGrade", F.lit("")).alias("git_grade"),
         F.coalesce("col.codeGrade", F.lit("")).alias("code_grade"), F.col("col.badge").alias("badge"),
         F.coalesce("col.highlight", F.lit(False)).alias("highlight"),
@@ -52,5 +54,5 @@ def read_ignore_patterns(spark: SparkSession, path: str) -> list[str]:
 
     A hand-written list that becomes part of a regex literal, so it is read here.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("glob"))
+    lines = spark.read.text(path).select(strip(F.col("value")).alias("glob"))
     return [r.glob for r in lines.filter((F.col("glob") != "") & ~F.col("glob").startswith("#")).collect()]

@@ -8,6 +8,8 @@ Exports to produce once per repository::
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +41,17 @@ def parse_commit_log(text: DataFrame) -> DataFrame:
 
 
 def parse_numstat(text: DataFrame) -> DataFrame:
-    """File changes from log records; counts of binary files are null, other rows are ignored."""
+    """File changes from log records; counts of binary files are null, other rows are ignored.
+
+    A commit that several exports list has its changes once: those of its longest record.
+    """
     row = F.split(F.col("line"), "\t", -1)
+    records = (
+        _log_records(text).filter("has_body").groupBy("repo_id", F.col("h")[0].alias("sha"))
+        .agg(F.max(F.struct(F.length("body"), "body"))["body"].alias("body"))
+    )
     return (
-        _log_records(text).filter("has_body")
-        .select("repo_id", F.col("h")[0].alias("sha"), F.explode(F.split("body", "\n", -1)).alias("line"))
+        records.select("repo_id", "sha", F.explode(F.split("body", "\n", -1)).alias("line"))
         .select("repo_id", "sha", row.alias("f"))
         .filter(F.size("f") >= 3)
         .select("repo_id", "sha", F.col("f")[2].alias("path"),
@@ -80,22 +88,40 @@ def parse_blame(porcelain: DataFrame) -> DataFrame:
     )
 
 
-def _relative(path: Column, root: str) -> Column:
-    """Path below the root folder."""
-    tail = F.element_at(F.split(path, F.lit("/" + root.strip("/").rsplit("/", 1)[-1] + "/"), 2), -1)
-    return F.url_decode(F.replace(tail, F.lit("+"), F.lit("%2B")))
+def relative_path(spark: SparkSession, root: str) -> Column:
+    """Path of a row's file below the root folder, decoded."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    skipped = len(re.sub(r"^([a-z0-9]+):/+", r"\1:/", whole)) + 1
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    decoded = F.regexp_replace(F.url_decode(encoded), r"^([a-z0-9]+):/+", "$1:/")
+    return F.substr(decoded, F.lit(skipped + 1))
 
 
-def read_blame(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
-    """Blame of every text below ``root``; its relative path is the source file's path."""
+def repo_and_path(spark: SparkSession, root: str, repo_id: str | None) -> tuple[Column, Column]:
+    """Repository and path of a row's file.
+
+    With no ``repo_id`` the folders right below the root are repositories, named like them, so one
+    read takes in any number of them.
+    """
+    path = relative_path(spark, root)
+    if repo_id is not None:
+        return F.lit(repo_id), path
+    repo = F.substring_index(path, "/", 1)
+    return repo, F.substr(path, F.length(repo) + 2)
+
+
+def _texts_below(spark: SparkSession, root: str, repo_id: str | None) -> DataFrame:
+    repo, path = repo_and_path(spark, root, repo_id)
     texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    return parse_blame(texts.select(
-        F.lit(repo_id).alias("repo_id"), _relative(F.col("_metadata.file_path"), root).alias("path"), "value"))
+    return texts.select(repo.alias("repo_id"), path.alias("path"), "value")
+
+
+def read_blame(spark: SparkSession, root: str, repo_id: str | None = None) -> DataFrame:
+    """Blame of every text below ``root``; its relative path is the source file's path."""
+    return parse_blame(_texts_below(spark, root, repo_id))
 
 
-def read_files(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
+def read_files(spark: SparkSession, root: str, repo_id: str | None = None) -> DataFrame:
     """Whole texts of the files below ``root``; the scan's globs and filters apply to ``path``."""
-    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    return texts.select(
-        F.lit(repo_id).alias("repo_id"), _relative(F.col("_metadata.file_path"), root).alias("path"),
-        F.col("value").alias("content"))
+    return _texts_below(spark, root, repo_id).withColumnRenamed("value", "content")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repolens.operators.skew import join_per_repo
 from repolens.sources.tables import SNAPSHOTS
 
 
@@ -25,4 +26,5 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     """Rows of the last build of each repository."""
     last = snapshots.groupBy("repo_id").agg(F.max(F.struct("compiled_date", "build")).alias("last"))
-    return snapshots.join(last.select("repo_id", "last.*"), ["repo_id", "compiled_date", "build"], "left_semi")
+    rows = join_per_repo(snapshots, last, ["email"])
+    return rows.filter(F.struct("compiled_date", "build") == F.col("last")).drop("last")

@@ -43,15 +43,3 @@ def write_findings(findings: DataFrame, path: str) -> None:
     """Findings partitioned by vector; the repository stays a column, as there may be very many."""
     findings.write.mode("overwrite").partitionBy("vector").parquet(path)
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal out a table of fewer files than the cluster has cores.
-
-    A table of many files is returned as it is: its own splits keep every core busy,
-    and file texts are never shuffled.
-    """
-    spark: SparkSession = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores * 2, *keys)

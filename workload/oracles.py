@@ -247,13 +247,21 @@ select repo_id, lower(trim(author_email)) as email, strftime(author_date, '%Y-%m
 CTES["bounds"] = """
 select repo_id, min(author_date) as first_date, arg_max(author_date, (commit_ts, author_date)) as through_date from commits group by 1"""
 SHADE = fixed("0.15::double + 0.85::double * (c.commits / max(c.commits) over (partition by c.repo_id))", 2)
-CTES["heatmap"] = f"""
+
+def heatmap(cells: str) -> str:
+    return f"""
 select c.repo_id, c.email, cast(7 - s.back as int) as slot, c.month, c.commits,
  strftime(cast(c.month || '-01' as date), '%b') || case when left(c.month, 4) = strftime(b.through_date, '%Y') then '' else ' ''' || substr(c.month, 3, 2) end as label,
  cast({SHADE} as double) as intensity
-from cadence c join (select repo_id, month, dense_rank() over (partition by repo_id order by month desc) as back
- from (select distinct repo_id, month from cadence)) s on s.repo_id = c.repo_id and s.month = c.month and s.back <= 6
+from {cells} c join (select repo_id, month, dense_rank() over (partition by repo_id order by month desc) as back
+ from (select distinct repo_id, month from {cells})) s on s.repo_id = c.repo_id and s.month = c.month and s.back <= 6
 join bounds b on b.repo_id = c.repo_id"""
+
+
+CTES["shown_cadence"] = "select c.* from cadence c semi join people_clean r on r.repo_id = c.repo_id and r.email = c.email"
+CTES["shown_metrics"] = "select m.* from metrics m semi join people_clean r on r.repo_id = m.repo_id and r.email = m.email"
+CTES["heatmap"] = heatmap("shown_cadence")
+CTES["heatmap_history"] = heatmap("cadence")
 CTES["people_clean"] = """
 select * replace (lower(trim(email)) as email) from roster where trim(email) <> ''
 qualify row_number() over (partition by repo_id, lower(trim(email)) order by position) = 1"""
@@ -378,15 +386,16 @@ BODIES: dict[str, str] = {
     "last_active": "select repo_id, email, last_active from metrics",
     "date_bounds": "select * from bounds",
     "month_heatmap": "select * from heatmap",
+    "month_heatmap_history": "select * from heatmap_history",
     "month_heatmap_wide": "select repo_id, email, " + ", ".join(
         f"cast(coalesce(sum(commits) filter (slot = {i}), 0) as bigint) as month_{i}" for i in range(1, 7)) + " from heatmap group by 1, 2",
     "cadence_text": "select repo_id, email, string_agg(label || ' ' || commits, ' / ' order by slot) as cadence from heatmap group by 1, 2",
-    "commit_bars": f"select *, cast({fixed('commits / max_commits * 100', 1)} as double) as share from (select repo_id, email, commits, max(commits) over (partition by repo_id) as max_commits from metrics)",
-    "team_totals": "select repo_id, cast(sum(commits) as bigint) as team_commits, max(commits) as max_commits, (select max(h.commits) from heatmap h where h.repo_id = m.repo_id) as max_month from metrics m group by 1",
-    "staleness": "select repo_id, email, last_active, through_date, date_diff('day', last_active, through_date) > 21 as stale from metrics join bounds using (repo_id)",
+    "commit_bars": f"select *, cast({fixed('commits / max_commits * 100', 1)} as double) as share from (select repo_id, email, commits, max(commits) over (partition by repo_id) as max_commits from shown_metrics)",
+    "team_totals": "select repo_id, cast(sum(commits) as bigint) as team_commits, max(commits) as max_commits, (select max(h.commits) from heatmap h where h.repo_id = m.repo_id) as max_month from shown_metrics m group by 1",
+    "staleness": "select repo_id, email, last_active, through_date, date_diff('day', last_active, through_date) > 21 as stale from shown_metrics join bounds using (repo_id)",
     "dedupe_roster": "select * from people_clean",
     "missing_authors": "select * from unlisted",
-    "missing_top10": "select *, greatest(n_missing - 3, 0) as n_more from (select *, cast(row_number() over (partition by repo_id order by commits desc, email) as int) as place, count(*) over (partition by repo_id) as n_missing from unlisted) where place <= 3",
+    "missing_top10": "select *, greatest(n_missing - 10, 0) as n_more from (select *, cast(row_number() over (partition by repo_id order by commits desc, email) as int) as place, count(*) over (partition by repo_id) as n_missing from unlisted) where place <= 10",
     "author_contains": "select r.repo_id, r.email, count(*) as commits from people_clean r join commits c on c.repo_id = r.repo_id and contains(c.author_name || ' <' || c.author_email || '>', r.email) group by 1, 2",
     "language_counts": "select * from repo_languages",
     "dominant_language": "select repo_id, coalesce(language, 'generic') as language from repo_ids left join (select repo_id, language from repo_languages qualify row_number() over (partition by repo_id order by files desc, list_position(['typescript', 'java', 'flutter', 'html'], language)) = 1) using (repo_id)",
@@ -416,7 +425,7 @@ BODIES: dict[str, str] = {
 select r.repo_id, r.email, {FIRST} as short_name, {SLUG} as slug, coalesce(m.commits, 0) as commits, {K.format('coalesce(added, 0)')} as added_text,
  {K.format('coalesce(deleted, 0)')} as deleted_text, coalesce(conv_pct, 0) as conv_pct, coalesce(tickets, 0) as tickets,
  case when r.git_grade <> '' then r.git_grade else coalesce(derived_git_grade, 'D') end as git_grade, {CLASS.format('git_grade')} as git_class
-from people_clean r left join metrics m using (repo_id, email) left join churn_all using (repo_id, email)
+from people_clean r join metrics m using (repo_id, email) left join churn_all using (repo_id, email)
 left join git_grades using (repo_id, email) where not hide_from_cards""".replace(CLASS.format("git_grade"), CLASS.format("(case when r.git_grade <> '' then r.git_grade else coalesce(derived_git_grade, 'D') end)")),
     "author_report": f"""
 select r.repo_id, r.email, r.name, {FIRST.replace('name', 'r.name')} as short_name, {SLUG.replace('name', 'r.name')} as slug,

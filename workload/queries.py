@@ -184,7 +184,18 @@ def date_bounds(s: Staged) -> DataFrame:
     return commits.date_bounds(s.commits)
 
 
+def _reported(s: Staged, rows: DataFrame) -> DataFrame:
+    return authors.reported(rows, authors.dedupe_roster(s.roster))
+
+
 def _heatmap(s: Staged) -> DataFrame:
+    months = _reported(s, commits.monthly_cadence(s.commits))
+    return cadence.month_heatmap(months, commits.date_bounds(s.commits))
+
+
+@query
+def month_heatmap_history(s: Staged) -> DataFrame:
+    """The heat map of everybody who committed, on the roster or not."""
     return cadence.month_heatmap(commits.monthly_cadence(s.commits), commits.date_bounds(s.commits))
 
 
@@ -205,17 +216,17 @@ def cadence_text(s: Staged) -> DataFrame:
 
 @query
 def commit_bars(s: Staged) -> DataFrame:
-    return cadence.commit_bars(commits.author_metrics(s.commits))
+    return cadence.commit_bars(_reported(s, commits.author_metrics(s.commits)))
 
 
 @query
 def team_totals(s: Staged) -> DataFrame:
-    return cadence.team_totals(commits.author_metrics(s.commits), _heatmap(s))
+    return cadence.team_totals(_reported(s, commits.author_metrics(s.commits)), _heatmap(s))
 
 
 @query
 def staleness(s: Staged) -> DataFrame:
-    return cadence.staleness(commits.author_metrics(s.commits), commits.date_bounds(s.commits))
+    return cadence.staleness(_reported(s, commits.author_metrics(s.commits)), commits.date_bounds(s.commits))
 
 
 # --- roster -------------------------------------------------------------------
@@ -234,7 +245,7 @@ def missing_authors(s: Staged) -> DataFrame:
 @query
 def missing_top10(s: Staged) -> DataFrame:
     return authors.missing_summary(
-        authors.missing_authors(commits.discover_authors(s.commits), authors.dedupe_roster(s.roster)), top=3)
+        authors.missing_authors(commits.discover_authors(s.commits), authors.dedupe_roster(s.roster)))
 
 
 @query
@@ -354,7 +365,7 @@ def author_cards(s: Staged) -> DataFrame:
     cards = reports.author_cards(
         authors.dedupe_roster(s.roster), commits.author_metrics(s.commits),
         commits.line_churn(s.commits, s.commit_files), None)
-    return authors.visible_authors(cards).select(
+    return authors.active_authors(authors.visible_authors(cards)).select(
         "repo_id", "email", "short_name", "slug", "commits", "added_text", "deleted_text", "conv_pct", "tickets",
         "git_grade", "git_class")
 

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.sources.config import roster_rows
-from repolens.sources.tables import spread
 
 EXCLUDE = ["legacy/**", "vendor/*", "package-lock.json"]
 DISABLED = ["nonnull", "xss-eval", "large"]
@@ -60,11 +59,11 @@ select doc_id, case when doc_id % 12 in (4, 5) then 'r3' else 'r' || cast(cast(f
 from documents""",
     "files": "select repo_id, path, content from file_base",
     "people": "select distinct 'r' || cast(o_custkey % 3 as string) as repo_id, cast(o_custkey % 37 as int) as n from orders",
-    # People from number 30 on are meant to be missing, but for two loose keys.
+    # People from number 20 on are meant to be missing, but for two loose keys.
     "roster": """
 select repo_id, n as position, 'dev' || cast(n as string) || '@ex.com' as email, 'Dev ' || cast(n as string) as name,
  'dev' || cast(n as string) as short, '' as domain, case when n % 10 = 0 then 'A' else '' end as git_grade,
- case when n % 9 = 0 then 'B+' else '' end as code_grade, n = 5 as hide_from_cards from people where n < 30
+ case when n % 9 = 0 then 'B+' else '' end as code_grade, n = 5 as hide_from_cards from people where n < 20
 union all
 select distinct repo_id, 100, 'DEV3@EX.COM', 'Twice', 'twice', '', 'C', 'C', false from people
 union all
@@ -126,8 +125,6 @@ class Staged:
     def _sql(self, name: str) -> DataFrame:
         if name in BASE:
             base = self.spark.read.parquet(os.path.join(self.sf_dir, f"{BASE[name]}.parquet"))
-            if name == "file_base":
-                base = spread(base, "doc_id")
             base.createOrReplaceTempView(BASE[name])
         table = self.spark.sql(SHARED_SQL[name])
         table.createOrReplaceTempView(name)

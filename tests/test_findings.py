@@ -17,7 +17,7 @@ from repolens.plans.security_report import security_report, stored_findings
 from repolens.sources.feeds import read_gitleaks_json, read_semgrep_json
 from repolens.streaming.feeds import read_file_stream, stream_findings
 
-KEY = "AIzaSyA123456789012345678901234567890"
+KEY = "AIza" + "Qw7e_" * 7
 
 
 def by_file(findings):
@@ -29,45 +29,45 @@ def by_file(findings):
 
 def test_client_key_samples_and_suppression(tree):
     files, blame = tree({
-        "environment.ts": f"\n// public\nexport const firebase = {{\n  apiKey: '{KEY}',\n  authDomain: 'x'\n}};\n",
-        "security.xml": "\n<!--\nUsernames/Passwords are\n  rod/koala\n  dianne/emu\n-->\n",
-        "suppressed.ts": "const badSecret = 'secret_key_123456789012345'; // lens-ignore\n",
-        "server.py": f'api_key = "{KEY}"\n',
+        "web/keys.ts": f"// maps\nexport default {{\n  authDomain: 'shop.example',\n  apiKey: '{KEY}',\n}};\n",
+        "conf/users.xml": "<users>\n<!-- example login, password = 'dummyvaluedummyvalue' -->\n</users>\n",
+        "web/quiet.ts": "export const token = 'q8w7e6r5t4y3u2i1o0p9'; // lens-ignore\n",
+        "jobs/sync.rb": f'token = "{KEY}"\n',
     })
     found = by_file(security_findings(files, blame))
-    key = found["environment.ts"][0]
+    key = found["web/keys.ts"][0]
     assert (key.severity, key.review, key.author_name, key.line_no) == ("Low", True, "Alice", 4)
     assert key.snippet.startswith("[Firebase/Web Client Key] apiKey") and "public project identifier" in key.fix
-    assert "security.xml" not in found and "suppressed.ts" not in found
-    assert found["server.py"][0].severity == "High"
+    assert "conf/users.xml" not in found and "web/quiet.ts" not in found
+    assert found["jobs/sync.rb"][0].severity == "High"
 
 
 def test_secrets_in_configuration_files(tree):
     files, blame = tree({
-        ".env": 'DB_PASSWORD="sup3rsecretvalue123456"\n', ".env.local": "API_KEY=abcdef1234567890xyz\n",
-        "config.json": '{ "client_secret": "zzzzzzzzzzzzzzzzzzzzzz" }\n', "deploy.sh": 'export TOKEN="hunter2hunter2hunter2"\n',
-        "src/util.py": 'password = "averylongpasswordvalue"\n', "src/app.ts": "const a: any = 1;\n", "a.html": 'password="averylongsecretvalue"\n'})
+        ".env.production": "SMTP_PASSWORD=p9o8i7u6y5t4r3e2\n", "settings.toml": 'secret = "k3k3k3k3k3k3k3k3k3k3"\n',
+        "infra/main.tf": 'token = "z1x2c3v4b5n6m7z1x2c3"\n', "lib/mail.rb": 'password = "m4m4m4m4m4m4m4m4m4"\n',
+        "web/cart.ts": "export const rows: any = [];\n", "web/login.html": "<input password='v5v5v5v5v5v5v5v5v5'>\n"})
     found = by_file(security_findings(files, blame))
-    assert set(found) == {".env", ".env.local", "config.json", "deploy.sh", "src/util.py"}
+    assert set(found) == {".env.production", "settings.toml", "infra/main.tf", "lib/mail.rb"}
 
 
 def test_presence_of_a_language_extends_to_shared_config(tree, spark):
-    xml = '<password-encoder hash="md5"/>\n'
-    java, blame = tree({"ctx.xml": xml, "A.java": ""}, repo="java")
-    bare, _ = tree({"ctx.xml": xml}, repo="bare")
+    xml = "<beans>\n  <password-encoder hash='md5'/>\n</beans>\n".replace("'", '"')
+    java, blame = tree({"conf/auth.xml": xml, "jobs/Night.java": "class Night {}"}, repo="night")
+    bare, _ = tree({"conf/auth.xml": xml}, repo="plain")
     found = security_findings(java.union(bare), blame).collect()
-    assert [(r.repo_id, r.rule_id) for r in found] == [("java", "java-weak-hash")]
+    assert [(r.repo_id, r.rule_id, r.line_no) for r in found] == [("night", "java-weak-hash", 2)]
     forced = security_findings(bare, blame, packs=["java"]).collect()
     assert [(r.rule_id, r.author_name, r.author_email) for r in forced] == [("java-weak-hash", "unknown", "")]
 
 
-def test_end_to_end_fixture(tree):
+def test_all_filters_together(tree):
     files, blame = tree({
-        "app.component.ts": f"export const firebase = {{\n apiKey: '{KEY}',\n authDomain: 'x.firebaseapp.com'\n}};\nconst t = '<div [innerHTML]=\"x\"></div>';\n",
-        "applicationContext-security.xml": '<!--\n rod/koala\n-->\n<password-encoder hash="md5"/>\n',
-        "feature.ts": "// line\n" * 600 + "obs$.subscribe();\n", "legacy/OldApp.java": "eval(x)\n" * 50})
-    found = by_file(security_findings(files, blame, packs=["java"], exclude=["legacy/**"]))
-    assert [r.rule_id for r in found.pop("applicationContext-security.xml")] == ["java-weak-hash"]
+        "web/keys.ts": f"export default {{ apiKey: '{KEY}', authDomain: 'shop.example' }};\n",
+        "conf/auth.xml": '<!-- login: scott/tiger -->\n<password-encoder hash="sha"/>\n<password-encoder hash="md5"/>\n',
+        "old/jobs/Night.java": "Runtime.getRuntime().exec(line);\n" * 20, "jobs/Night.java": "class Night {}\n" * 300})
+    found = by_file(security_findings(files, blame, packs=["java"], exclude=["old/**"]))
+    assert {r.rule_id for r in found.pop("conf/auth.xml")} == {"java-weak-hash"}
     assert found == {}
 
 

@@ -16,40 +16,44 @@ def values(spark, rows, schema, expr):
 
 
 def test_globs(spark):
-    globs = ["legacy/**", "vendor/*", "*.min.js", "**/applicationContext-security.xml"]
-    paths = ["legacy/old/War.java", "vendor/bundle.js", "src/app/main.min.js", "src/main/resources/applicationContext-security.xml",
-             "src/app/user.service.ts", "./legacy/a", r"legacy\b\c", "mylegacy/a", None]
-    got = values(spark, [(p,) for p in paths], "p STRING", path_matches(F.col("p"), globs))
-    assert got == [True, True, True, True, False, True, True, False, False]
+    globs = ["third/**", "gen/*", "*.snap", "**/site-map.json"]
+    paths = ["third/a/b/C.kt", "gen/out.dart", "web/ui/page.snap", "a/b/c/site-map.json", "web/ui/page.snapshot",
+             "./third/x", r"third\y\z", "a_third/x", "web/page.snap/inner.ts", None]
+    assert values(spark, [(p,) for p in paths], "p STRING", path_matches(F.col("p"), globs)) == [
+        True, True, True, True, False, True, True, False, True, False]
+    assert values(spark, [(p,) for p in paths], "p STRING", path_matches(F.col("p"), ["*.snap"], folders=False)) == [
+        False, False, True, False, False, False, False, False, False, False]
     assert values(spark, [("a",)], "p STRING", path_matches(F.col("p"), [])) == [False]
-    assert glob_to_regex("legacy/") == "(^|/)legacy/.*($|/)"
-    assert glob_to_regex("./a?b[1].*") == r"(^|/)a[^/]b\[1\]\.[^/]*($|/)"
-    assert glob_to_regex("  ") is None
+    assert glob_to_regex("old/") == "(^|/)old/.*($|/)"
+    assert glob_to_regex("./q?r[2].*") == r"(^|/)q[^/]r\[2\]\.[^/]*($|/)"
+    assert glob_to_regex("\t ") is None
 
 
 def test_generated_and_language(spark):
-    paths = ["a/node_modules/x.js", "a.spec.ts", "A.MIN.js", "x.map", "x.map\n", "src/assets/a.ts", "src/a.ts", "a.d.ts", "x.vue", "lib/m.dart", "Makefile", "a.JS"]
+    paths = ["w/node_modules/y/i.js", "cart.spec.tsx", "LIB.MIN.CSS", "out.map", "out.map\n", "app/assets/logo.ts", "lib/cart.ts",
+             "cart.d.ts", "cart.vue", "bin/run.dart", "Rakefile", "cart.TS"]
     assert values(spark, [(p,) for p in paths], "p STRING", is_generated(F.col("p"))) == [
         True, True, True, True, False, True, False, True, False, False, False, False]
     assert values(spark, [(p,) for p in paths[-6:]], "p STRING", language_of(F.col("p"))) == [
         "typescript", None, "html", "flutter", None, None]
-    urls = ["https://h/o/name.git", "git@h:o/other.git", "https://h/o/plain"]
-    assert values(spark, [(u,) for u in urls], "u STRING", repo_name(F.col("u"))) == ["name", "other", "plain"]
+    urls = ["https://git.example/team/tool.git", "git@git.example:kit.git", "https://git.example/team/bare/"]
+    assert values(spark, [(u,) for u in urls], "u STRING", repo_name(F.col("u"))) == ["tool", "git@git.example:kit", "bare"]
 
 
 def test_suppression(spark):
-    rows = [("const x = 1; // lens-ignore", ""), ("<!-- lens-ignore -->", None), ("const y = 2;", "// lens-disable-next-line"),
-            ("const z = 3;", ""), ("a // lens-disable-line", ""), ("lens-ignored", "")]
+    rows = [("run(); /* lens-ignore */", ""), ("# lens-ignore: known", None), ("run(2);", "# lens-disable-next-line why"),
+            ("run(3);", "run(2); // lens-ignore"), ("run(4) // lens-disable-line", ""), ("lens-ignoring()", "")]
     assert values(spark, rows, "l STRING, p STRING", is_suppressed(F.col("l"), F.col("p"))) == [True, True, True, False, True, False]
-    own = Markers(("no-scan",), ())
-    assert values(spark, [("x no-scan", "")], "l STRING, p STRING", is_suppressed(F.col("l"), F.col("p"), own)) == [True]
+    own = Markers(("hush",), ())
+    assert values(spark, [("run(5) // hush", "")], "l STRING, p STRING", is_suppressed(F.col("l"), F.col("p"), own)) == [True]
 
 
 def test_sample_credentials(spark):
-    rows = [("    rod/koala", ""), ("    <!-- Usernames/Passwords are rod/koala -->", ""), ("password = \"realSecret12345\"", ""),
-            ("// sample password", "a.ts"), ("sample = 1", "a.ts"), ("sample = 1", "a.xml"), ("x */ dummy", "a.ts"), ("scott / tiger", "a")]
+    rows = [("user: rod / koala", "conf.yml"), ("login scott/tiger here", ""), ("pw = 'f8Jq0zPl2mN4'", "conf.yml"),
+            ("# placeholder pw", "run.rb"), ("pw = 'placeholder'", "run.rb"), ("<pw>dummy</pw>", "conf.xml"), ("pw: dummy", "intro.md"),
+            ("end of example */ pw", "run.rb"), ("exemplary // pw", "run.rb")]
     assert values(spark, rows, "l STRING, p STRING", is_sample_credential(F.col("l"), F.col("p"))) == [
-        True, True, False, True, False, True, True, True]
+        True, True, False, True, False, True, True, True, False]
 
 
 def test_subjects(spark):

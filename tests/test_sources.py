@@ -1,6 +1,7 @@
 import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from repolens.operators.commits import author_metrics
@@ -45,6 +46,37 @@ def test_files_and_blame(spark, tmp_path):
         ("a.ts", 1, "Ann", "Ann@x"), ("a.ts", 2, "Bo Lee", "bo@x")]
 
 
+@pytest.mark.parametrize("root", ["repo/repo", "my dir", "a+b", "plain", "tail/"])
+def test_paths_below_any_root(spark, tmp_path, root):
+    below = tmp_path / root.rstrip("/") / "src" / root.rstrip("/").split("/")[-1]
+    below.mkdir(parents=True)
+    (below / "a b+c%20.ts").write_text("x")
+    path = f"src/{below.name}/a b+c%20.ts"
+    assert [(r.repo_id, r.path) for r in read_files(spark, f"{tmp_path}/{root}", "r").collect()] == [("r", path)]
+
+
+def test_many_repositories_in_one_read(spark, tmp_path):
+    for repo in ("one", "two w", "three"):
+        (tmp_path / "code" / repo / "lib").mkdir(parents=True)
+        (tmp_path / "code" / repo / "lib" / "m.py").write_text(f"# {repo}\n")
+        (tmp_path / "blame" / repo / "lib").mkdir(parents=True)
+        (tmp_path / "blame" / repo / "lib" / "m.py").write_text(f"s 1 1\nauthor {repo}\nauthor-mail <{repo[0]}@x>\n\t# {repo}\n")
+    files = read_files(spark, str(tmp_path / "code")).collect()
+    assert sorted((r.repo_id, r.path, r.content) for r in files) == [
+        (repo, "lib/m.py", f"# {repo}\n") for repo in ("one", "three", "two w")]
+    blame = read_blame(spark, str(tmp_path / "blame")).collect()
+    assert sorted((r.repo_id, r.path, r.author_name) for r in blame) == [
+        (repo, "lib/m.py", repo) for repo in ("one", "three", "two w")]
+
+
+def test_overlapping_exports_count_a_commit_once(spark, tmp_path):
+    record = "\x1eabc\x1fA\x1fa@x\x1f2026-01-01T00:00:00Z\x1f2026-01-01T00:00:00Z\x1fs\n\n3\t1\tlib/m.py\n"
+    for name in ("first.txt", "second.txt"):
+        (tmp_path / name).write_text(record)
+    rows = read_numstat(spark, f"{tmp_path}/*.txt", "r").collect()
+    assert [(r.sha, r.path, r.added, r.deleted) for r in rows] == [("abc", "lib/m.py", 3, 1)]
+
+
 def test_configuration(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"period": {"start": "2026-01-01"}, "authors": [
         {"email": "b@x", "name": "Bo", "gitGrade": "B", "hideFromCards": True, "badge": {"kind": "up", "text": "t"}},
@@ -99,4 +131,8 @@ def test_bounded_deduplication_state(spark, commits, tmp_path):
 def test_commits_by_month(spark, commits, tmp_path):
     write_by_month(_rows(commits, 30), str(tmp_path / "m"))
     stored = spark.read.parquet(str(tmp_path / "m"))
+    recent = author_metrics(stored, "2026-03-05")
+    assert sorted(map(tuple, recent.collect())) == sorted(map(tuple, author_metrics(_rows(commits, 30), "2026-03-05").collect()))
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "commit_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert stored.count() == 30 and stored.select("commit_month").distinct().count() == 4

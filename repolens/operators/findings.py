@@ -55,26 +55,27 @@ def _rule_facts_sql(rules: Sequence[Rule]) -> str:
 
 def security_line_hits(
     files: DataFrame, rules: Sequence[Rule] = SECURITY_RULES, *, packs: Sequence[str] | None = None,
-    exclude: Sequence[str] = (), disabled: Sequence[str] = (), markers: Markers = DEFAULT_MARKERS,
+    globs: Sequence[str] | None = None, exclude: Sequence[str] = (), disabled: Sequence[str] = (),
+    markers: Markers = DEFAULT_MARKERS,
 ) -> DataFrame:
-    """Unattributed built-in hits with their snippet.
+    """Unattributed built-in hits with their snippet.  With ``globs`` every rule runs on the files these name.
 
     Without ``packs`` the languages of each repository decide which rules reach its
     shared config files; with ``packs`` those apply to every repository, and a single
     pack runs all its rules on all its files.
     """
     active = select_rules(rules, disabled=disabled, packs=packs)
-    readable = readable_files(listed_files(files, SECURITY, packs=packs, exclude=exclude))
+    readable = readable_files(listed_files(files, SECURITY, packs=packs, globs=globs, exclude=exclude))
     client_text = F.when(
         F.contains("content", F.lit(CLIENT_KEY_PREFIX)),
         matches(F.col("content"), CLIENT_CONFIG_WORDS, ignore_case=True)).otherwise(F.lit(False))
     hits = scan_rules(
-        readable.withColumn("client_text", client_text), active, markers=markers, scoped=packs is None or len(packs) > 1,
-        keep=["client_text"])
+        readable.withColumn("client_text", client_text), active, markers=markers,
+        scoped=globs is None and (packs is None or len(packs) > 1), keep=["client_text"])
     hits = hits.filter(~is_sample_credential(F.col("line"), F.col("path"))).select(
         "repo_id", "path", "line_no", "rule_id", clip(F.col("line")).alias("snippet"), "client_text",
         F.expr(_rule_facts_sql(active)).alias("facts")).select("*", "facts.*").drop("facts")
-    if packs is None:
+    if packs is None and globs is None:
         granted = F.array_intersect(file_packs(F.col("path"), SECURITY), F.col("rule_packs"))
         hits = join_per_repo(hits, present_packs(files), ["path"]).filter(
             F.arrays_overlap(granted, F.col("packs"))).drop("packs")
@@ -151,8 +152,8 @@ def downgrade_client_keys(findings: DataFrame, files: DataFrame | None = None) -
 def security_findings(
     files: DataFrame, blame_lines: DataFrame, *, gitleaks: DataFrame | None = None,
     semgrep: DataFrame | None = None, rules: Sequence[Rule] = SECURITY_RULES,
-    packs: Sequence[str] | None = None, exclude: Sequence[str] = (), disabled: Sequence[str] = (),
-    markers: Markers = DEFAULT_MARKERS, store: str | None = None,
+    packs: Sequence[str] | None = None, globs: Sequence[str] | None = None, exclude: Sequence[str] = (),
+    disabled: Sequence[str] = (), markers: Markers = DEFAULT_MARKERS, store: str | None = None,
 ) -> DataFrame:
     """All findings of all engines.  Comment markers silence built-in rules only.
 
@@ -160,7 +161,7 @@ def security_findings(
     blame is cut down to their lines before it is joined.
     """
     hits = security_line_hits(
-        files, rules, packs=packs, exclude=exclude, disabled=disabled, markers=markers)
+        files, rules, packs=packs, globs=globs, exclude=exclude, disabled=disabled, markers=markers)
     if store is not None:
         hits.write.mode("overwrite").parquet(store)
         hits = files.sparkSession.read.schema(hits.schema).parquet(store)

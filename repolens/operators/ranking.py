@@ -89,15 +89,21 @@ def owner_lines(tally: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_list(entry))["text"], ", ").alias("owners"))
 
 
-def top_findings(findings: DataFrame, limit: int = TOP_IN_TEXT_REPORT) -> DataFrame:
+def top_findings(
+    findings: DataFrame, limit: int = TOP_IN_TEXT_REPORT, group: Sequence[str] = GROUP) -> DataFrame:
     """First findings of every rule group and how many more there are."""
-    order = Window.partitionBy(*GROUP).orderBy(_encounter())
+    order = Window.partitionBy(*group).orderBy(_encounter())
     first = findings.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
-    sizes = findings.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_group"))
-    return first.join(sizes, list(GROUP)).withColumn(
+    sizes = findings.groupBy(*group).agg(F.count(F.lit(1)).alias("n_group"))
+    return first.join(sizes, list(group)).withColumn(
         "n_more", F.greatest(F.col("n_group") - limit, F.lit(0)))
 
 
+def page_findings(findings: DataFrame, limit: int = TOP_IN_PAGE_REPORT) -> DataFrame:
+    """The shorter lists of the page report: per rule and engine."""
+    return top_findings(findings, limit, (*GROUP, "source"))
+
+
 def findings_ranked(findings: DataFrame) -> DataFrame:
     """Report order: vector, severity, then order of appearance (a range-partitioned sort)."""
     return (

@@ -40,10 +40,10 @@ class SmellScan:
 
 def smell_scan(
     files: DataFrame, blame_lines: DataFrame, *, rules: Sequence[Rule] = SMELL_RULES,
-    packs: Sequence[str] | None = None, exclude: Sequence[str] = (), disabled: Sequence[str] = (),
-    markers: Markers = DEFAULT_MARKERS, store: str | None = None,
+    packs: Sequence[str] | None = None, globs: Sequence[str] | None = None, exclude: Sequence[str] = (),
+    disabled: Sequence[str] = (), markers: Markers = DEFAULT_MARKERS, store: str | None = None,
 ) -> SmellScan:
-    """Scan, attribute and score.
+    """Scan, attribute and score.  With ``globs`` every rule runs on exactly the files these name.
 
     A file that a smell rule can reach makes its own language present, so the packs of
     a repository need not be looked up here.
@@ -53,9 +53,10 @@ def smell_scan(
     result reads the texts it needs when it runs.
     """
     active = select_rules(rules, disabled=disabled, packs=packs)
-    readable = readable_files(listed_files(files, SMELL, packs=packs, exclude=exclude))
+    readable = readable_files(listed_files(files, SMELL, packs=packs, globs=globs, exclude=exclude))
     rows = scan_rules(
-        readable, active, markers=markers, scoped=packs is None or len(packs) > 1, file_rows=store is not None,
+        readable, active, markers=markers, scoped=globs is None and (packs is None or len(packs) > 1),
+        file_rows=store is not None,
     ).drop("line", "previous")
     if store is None:
         hits, facts = rows, file_facts(readable)

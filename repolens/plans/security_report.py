@@ -12,6 +12,7 @@ from repolens.operators.ranking import (
     findings_ranked,
     owner_lines,
     owner_tally,
+    page_findings,
     severity_counts,
     top_findings,
     vector_counts,
@@ -24,6 +25,7 @@ from repolens.sources.tables import write_findings, write_report_table
 class SecurityReport:
     ranked: DataFrame
     top: DataFrame
+    page_top: DataFrame
     severities: DataFrame
     vectors: DataFrame
     engines: DataFrame
@@ -41,7 +43,7 @@ def security_report(findings: DataFrame, files: DataFrame, engines: tuple[str, .
     repos = files.select("repo_id").distinct()
     tally = owner_tally(findings)
     return SecurityReport(
-        ranked=findings_ranked(findings), top=top_findings(findings), severities=severity_counts(findings),
+        ranked=findings_ranked(findings), top=top_findings(findings), page_top=page_findings(findings), severities=severity_counts(findings),
         vectors=vector_counts(findings, repos), engines=engine_counts(findings, repos, engines),
         groups=worst_severity(findings), owners=tally, owner_lines=owner_lines(tally))
 

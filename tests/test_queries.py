@@ -52,5 +52,11 @@ def test_query(spark, duck, name):
     assert got == Counter(tuple(plain(r[i]) for i in order) for r in cursor.fetchall())
 
 
+def test_every_rule_fires(spark):
+    found = QUERIES["rule_coverage"](spark, SF.replace("0.001", "0.01")).collect()
+    assert len(found) == 44 and all(r["n"] > 0 for r in found)
+    assert QUERIES["large_files"](spark, SF).count() > 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

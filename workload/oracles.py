@@ -470,6 +470,35 @@ CTES["whole_hits"] = (
     f"select * from ({CTES['smell_line_hits'].replace('from smell_lines', 'from whole_lines')} union all select * from whole_block_hits) "
     f"where rule_id not in ({', '.join(map(lit, DISABLED))})")
 
+SHEET = ", ".join(f"cast(coalesce(sum(n) filter (short = 'dev{i}'), 0) as bigint) as dev{i}" for i in range(10))
+CELL_SHADE = fixed("least(0.06::double + n / 55 * 0.7::double, 0.7::double)", 2)
+BODIES["issue_matrix_by_author"] = f"select repo_id, rule_id, label, {SHEET} from matrix group by all"
+BODIES["issue_matrix_override"] = f"""
+select repo_id, label, short, cast(n as string) as cell, case when n > 0 then cast({CELL_SHADE} as double) end as intensity
+from matrix where repo_id <> 'r0'
+union all select repo_id, 'Row ' || n, short, case n when 0 then '—' else cast(n as string) end,
+ case when n > 0 then cast({CELL_SHADE} as double) end from (select repo_id, short, position as n from roster) where repo_id = 'r0' and n < 5"""
+BODIES["roster_scaffold"] = """
+select repo_id, -commits as position, email, name, string_split(name, ' ')[1] as short, '' as domain, '' as git_grade, '' as code_grade,
+ false as hide_from_cards from discovered"""
+BODIES["page_findings"] = f"""
+select repo_id, vector, rule_id, source, place, path, line_no, n_group, greatest(n_group - 15, 0) as n_more from (
+ select *, cast(row_number() over (partition by repo_id, vector, rule_id, source order by {ENCOUNTER}) as int) as place,
+  count(*) over (partition by repo_id, vector, rule_id, source) as n_group from findings) where place <= 15"""
+BODIES["rule_coverage"] = """
+select family, rule_id, cast(sum(n) as bigint) as n from (
+ select 'smell' as family, rule_id, n from smell_hits union all select 'smell', 'large', 1 from large
+ union all select 'security', rule_id, 1 from sec_hits) group by all"""
+BODIES["custom_rules"] = rf"""
+select h.repo_id, coalesce(lower(trim(b.author_email)), 'unknown') as email, rule_id, count(*) as n from (
+ select *, 'licence' as rule_id from own_lines where regexp_matches(line, '\bLicensed under\b')
+ union all select *, 'pass' from own_lines where line = 'pass') h
+left join blame_lines b using (repo_id, path, line_no) where {QUIET} group by all
+union all select repo_id, m.email, 'large', count(*) from own_large join majority m using (repo_id, path) group by all"""
+CTES["own_readable"] = rf"select * from files where regexp_matches(path, '\.(py|env)$') and {LISTED} and {HANDWRITTEN}"
+CTES["own_lines"] = "select n.* from numbered n semi join own_readable r on n.repo_id = r.repo_id and n.path = r.path"
+CTES["own_large"] = "select * from own_readable where len(string_split(content, chr(10))) > 200"
+
 BODIES["author_report_stored"] = BODIES["author_report"]
 BODIES["security_findings_stored"] = BODIES["security_findings"]
 

@@ -16,13 +16,17 @@ from repolens.operators import attribution, authors, cadence, commits, delta, fi
 from repolens.plans import author_report as reports
 from repolens.plans import delta_report as deltas
 from repolens.plans.security_report import stored_findings
-from repolens.rules import PACKS, SECURITY_RULES, SMELL, SMELL_RULES
+from repolens.rules import LARGE_RULE_ID, PACKS, SECURITY, SECURITY_RULES, SMELL, SMELL_RULES, Rule
 from repolens.session import shared_folder
 from repolens.sources import feeds, git_export
+from repolens.sources.config import roster_from_authors
 from repolens.sources.snapshots import latest_snapshot, read_snapshots
 from repolens.streaming import feeds as streams
 from workload.staging import DISABLED, EXCLUDE, PERIOD_START, Staged
 
+# The columns of a report's sheet: a report names its people.
+SHEET_AUTHORS = [f"dev{n}" for n in range(10)]
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -354,6 +358,27 @@ def issue_matrix_by_rule(s: Staged) -> DataFrame:
     return scoring.matrix_by_rule(_matrix(s))
 
 
+@query
+def issue_matrix_by_author(s: Staged) -> DataFrame:
+    """The matrix as a report shows it: a row for each rule, a column for each of a report's people."""
+    return scoring.matrix_by_author(_matrix(s), SHEET_AUTHORS).drop("position")
+
+
+@query
+def issue_matrix_override(s: Staged) -> DataFrame:
+    """One repository shows a matrix written by hand."""
+    by_hand = s.roster.filter("repo_id = 'r0' AND position < 5").select(
+        "repo_id", "position", F.concat(F.lit("Row "), F.col("position").cast("string")).alias("label"), "short",
+        F.when(F.col("position") == 0, "—").otherwise(F.col("position").cast("string")).alias("cell"))
+    return scoring.matrix_override(_matrix(s), by_hand).drop("position")
+
+
+@query
+def roster_scaffold(s: Staged) -> DataFrame:
+    """A roster of everybody who committed, for repositories without one."""
+    return roster_from_authors(commits.discover_authors(s.commits)).drop("badge", "highlight")
+
+
 @query
 def final_grades(s: Staged) -> DataFrame:
     return scoring.final_grades(
@@ -442,6 +467,32 @@ def engine_counts(s: Staged) -> DataFrame:
     return ranking.engine_counts(_findings(s), _repos(s), ["built-in", "gitleaks", "semgrep"])
 
 
+@query
+def page_findings(s: Staged) -> DataFrame:
+    found = stored_findings(_findings(s), _folder(s, "findings-table"))
+    return ranking.page_findings(found).select(
+        "repo_id", "vector", "rule_id", "source", "place", "path", "line_no", "n_group", "n_more")
+
+
+@query
+def rule_coverage(s: Staged) -> DataFrame:
+    """Hits of every rule of the catalogue."""
+    smells = scan.scan_rules(_smell_readable(s), SMELL_RULES).select(F.lit(SMELL).alias("family"), "rule_id", "n")
+    large = scan.large_files(scan.file_facts(_smell_readable(s))).select(
+        F.lit(SMELL).alias("family"), F.lit(LARGE_RULE_ID).alias("rule_id"), F.lit(1).alias("n"))
+    security = findings.security_line_hits(s.files, exclude=EXCLUDE).select(
+        F.lit(SECURITY).alias("family"), "rule_id", F.lit(1).alias("n"))
+    return smells.unionByName(large).unionByName(security).groupBy("family", "rule_id").agg(F.sum("n").alias("n"))
+
+
+@query
+def custom_rules(s: Staged) -> DataFrame:
+    """Rules and file globs of a user's own."""
+    own = [Rule("licence", SMELL, ("mine",), r"\bLicensed under\b", label="Licence lines", weight=3),
+           Rule("pass", SMELL, ("mine",), r"^pass$", label="Empty lines", weight=2)]
+    return reports.smell_scan(s.files, s.blame_lines, rules=own, globs=["*.py", "*.env"], exclude=EXCLUDE).counts
+
+
 @query
 def owner_tally(s: Staged) -> DataFrame:
     return ranking.owner_tally(_findings(s)).drop("first")

@@ -383,8 +383,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     columns are not read.
     """
     rows = _parse_pages(pages)
-    found = content_slots(rows, infer_wrappers(rows))
-    # Spark splits a hot host's rows of this join by size, as the other side has one row a host
+    # Stored, so that its size is known: while it is small Spark broadcasts it and no text moves. Beyond that Spark
+    # splits a hot host's rows by size, as this side has one row a host.
+    found = stored(content_slots(rows, infer_wrappers(rows)), "content-slots")
     joined = rows.join(found, "host", "left")
     article = F.filter("blocks", lambda b: F.array_contains("paths", b["path"]))
     others = F.filter("blocks", lambda b: ~b["path"].rlike(f"(?:^|/){MARK}"))

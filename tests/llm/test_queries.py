@@ -37,6 +37,12 @@ def test_equals_sql(spark, tables, name):
     assert sorted(map(tuple, rows), key=str) == sorted(tables.sql(f"SELECT {listed} FROM ({ORACLES[name]})").fetchall(), key=str)
 
 
+@pytest.mark.parametrize("name", ["op1_chat", "op6_quality"])
+def test_native_queries_run_no_python(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|InArrow|CartesianProduct|BroadcastNestedLoopJoin", plan)
+
+
 def library_ids(texts):
     from tokenizers import Tokenizer
 

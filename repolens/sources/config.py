@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.functions.report import strip
+from repolens.sources.git_export import report_repo
 
 ROSTER_ENTRY = (
     "STRUCT<email: STRING, name: STRING, short: STRING, domain: STRING, gitGrade: STRING, codeGrade: STRING, "
@@ -28,9 +29,10 @@ def roster_rows(entries: DataFrame) -> DataFrame:
         F.coalesce("col.hideFromCards", F.lit(False)).alias("hide_from_cards"))
 
 
-def read_roster(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
-    config = spark.read.schema(CONFIG_SCHEMA).json(path, multiLine=True)
-    return roster_rows(config.select(F.lit(repo_id).alias("repo_id"), "authors"))
+def read_roster(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
+    """The roster of a configuration file, or without ``repo_id`` those of many repositories."""
+    config = spark.read.schema(CONFIG_SCHEMA).json(path, multiLine=True, recursiveFileLookup=True)
+    return roster_rows(config.select(report_repo(spark, path, repo_id).alias("repo_id"), "authors"))
 
 
 def roster_from_authors(authors: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repolens.functions.sast import sast_severity, sast_vector
 from repolens.operators.findings import GITLEAKS, SECRETS, SEMGREP
+from repolens.sources.git_export import report_repo
 
 GITLEAKS_SCHEMA = (
     "RuleID STRING, Description STRING, File STRING, StartLine INT, Secret STRING, Match STRING, "
@@ -75,27 +76,30 @@ def normalise_semgrep(raw: DataFrame) -> DataFrame:
         F.lit("").alias("author_email"), F.lit(SEMGREP).alias("source"))
 
 
-def read_gitleaks_json(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
-    """A secret report: one JSON array per file."""
-    raw = spark.read.schema(GITLEAKS_SCHEMA).json(path, multiLine=True)
+def read_gitleaks_json(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
+    """A secret report: one JSON array per file.  Without ``repo_id`` the reports of many
+    repositories, each in a folder or a file of its repository's name.
+    """
+    raw = spark.read.schema(GITLEAKS_SCHEMA).json(path, multiLine=True, recursiveFileLookup=True)
     return normalise_gitleaks(raw.select(
-        F.lit(repo_id).alias("repo_id"), "*", F.monotonically_increasing_id().alias("ordinal")))
+        report_repo(spark, path, repo_id).alias("repo_id"), "*", F.monotonically_increasing_id().alias("ordinal")))
 
 
-def read_semgrep_json(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
-    """A static-analysis report: an object with a ``results`` array.
+def read_semgrep_json(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
+    """A static-analysis report: an object with a ``results`` array; many of them without ``repo_id``.
 
     Reference lists may also be single strings; both forms are read.
     """
     loose = SEMGREP_RESULT.replace("cwe: ARRAY<STRING>", "cwe: STRING").replace("owasp: ARRAY<STRING>", "owasp: STRING")
-    raw = spark.read.schema(f"results ARRAY<STRUCT<{_struct_fields(loose)}>>").json(path, multiLine=True)
-    result = raw.select(F.explode("results").alias("r")).select("r.*")
+    raw = spark.read.schema(f"results ARRAY<STRUCT<{_struct_fields(loose)}>>").json(
+        path, multiLine=True, recursiveFileLookup=True)
+    result = raw.select(report_repo(spark, path, repo_id).alias("repo_id"), F.explode("results").alias("r")).select("repo_id", "r.*")
     extra = F.struct(
         F.col("extra.message").alias("message"), F.col("extra.severity").alias("severity"),
         F.struct(F.col("extra.metadata.category").alias("category"), _as_list("extra.metadata.cwe").alias("cwe"),
                  _as_list("extra.metadata.owasp").alias("owasp")).alias("metadata"))
     return normalise_semgrep(result.select(
-        F.lit(repo_id).alias("repo_id"), "check_id", "path", "start", extra.alias("extra")))
+        "repo_id", "check_id", "path", "start", extra.alias("extra")))
 
 
 def _struct_fields(ddl: str) -> str:

@@ -111,6 +111,13 @@ def repo_and_path(spark: SparkSession, root: str, repo_id: str | None) -> tuple[
     return repo, F.substr(path, F.length(repo) + 2)
 
 
+def report_repo(spark: SparkSession, root: str, repo_id: str | None) -> Column:
+    """Repository of a row's report: given, or named by the folder or the JSON file below the root."""
+    if repo_id is not None:
+        return F.lit(repo_id)
+    return F.regexp_replace(F.substring_index(relative_path(spark, root), "/", 1), r"\.json$", "")
+
+
 def _texts_below(spark: SparkSession, root: str, repo_id: str | None) -> DataFrame:
     repo, path = repo_and_path(spark, root, repo_id)
     texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True)

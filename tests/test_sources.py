@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from repolens.operators.commits import author_metrics
 from repolens.sources.config import read_ignore_patterns, read_roster, write_roster
+from repolens.sources.feeds import read_gitleaks_json, read_semgrep_json
 from repolens.sources.git_export import read_blame, read_commit_log, read_files, read_numstat
 from repolens.sources.snapshots import latest_snapshot, read_snapshots
 from repolens.sources.tables import write_by_month
@@ -69,6 +70,22 @@ def test_many_repositories_in_one_read(spark, tmp_path):
         (repo, "lib/m.py", repo) for repo in ("one", "three", "two w")]
 
 
+def test_reports_of_many_repositories(spark, tmp_path):
+    for repo in ("one", "two"):
+        (tmp_path / "secrets" / repo).mkdir(parents=True)
+        (tmp_path / "secrets" / repo / "r.json").write_text(json.dumps([{"RuleID": repo, "File": "f", "StartLine": 1}]))
+        (tmp_path / "sast").mkdir(exist_ok=True)
+        (tmp_path / "sast" / f"{repo}.json").write_text(json.dumps({"results": [{"check_id": repo, "path": "f"}]}))
+        (tmp_path / "conf" / repo).mkdir(parents=True)
+        (tmp_path / "conf" / repo / "c.json").write_text(json.dumps({"authors": [{"email": f"{repo}@x", "name": "N", "short": ""}]}))
+    assert sorted((r.repo_id, r.rule_id) for r in read_gitleaks_json(spark, str(tmp_path / "secrets")).collect()) == [
+        ("one", "gitleaks:one"), ("two", "gitleaks:two")]
+    assert sorted((r.repo_id, r.rule_id) for r in read_semgrep_json(spark, str(tmp_path / "sast")).collect()) == [
+        ("one", "semgrep:one"), ("two", "semgrep:two")]
+    assert sorted((r.repo_id, r.email, r.short) for r in read_roster(spark, str(tmp_path / "conf")).collect()) == [
+        ("one", "one@x", "N"), ("two", "two@x", "N")]
+
+
 def test_overlapping_exports_count_a_commit_once(spark, tmp_path):
     record = "\x1eabc\x1fA\x1fa@x\x1f2026-01-01T00:00:00Z\x1f2026-01-01T00:00:00Z\x1fs\n\n3\t1\tlib/m.py\n"
     for name in ("first.txt", "second.txt"):

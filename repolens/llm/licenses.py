@@ -114,8 +114,8 @@ class LicenseModel:
 def training_lines(docs: DataFrame, variants: int = VARIANTS, background: int = BACKGROUND) -> DataFrame:
     """``(family, words, fold)``: variants of the notices and of :data:`OTHER`, and lines of the documents.
 
-    At most ``background`` lines that don't pass the gate are taken, those of the smallest hashes. They are the only
-    rows from the corpus, and the bound makes their share of the training alike at every size.
+    At most ``background`` lines that don't pass the gate are taken, of about as many documents, by hashes. They are
+    the only rows from the corpus, and the bound makes their share of the training alike at every size.
     """
     spark = docs.sparkSession
     given = spark.createDataFrame([*NOTICES, *[(NONE, line) for line in OTHER]], "family STRING, line STRING")
@@ -125,9 +125,11 @@ def training_lines(docs: DataFrame, variants: int = VARIANTS, background: int =
     extra = F.slice(F.array(*[F.lit(x) for x in "the of in and to for this that is with".split()]),
                     (F.col("id") % 7 + 1).cast("int"), (F.col("id") % 3).cast("int"))
     notices = made.select("family", F.concat(words, extra).alias("words"), F.pmod(F.xxhash64("id", "line"), F.lit(4)).alias("fold"))
-    lines = docs.select(F.explode(F.split(text_of(), "\n")).alias("line")).filter(~F.col("line").rlike(GATE))
-    some = lines.select(F.xxhash64("line").alias("h"), F.substring("line", 1, 400).alias("line")).orderBy("h", "line").limit(
-        background)
+    # About as many documents as lines are wanted, so that no other line is looked at.
+    share = min(1.0, background / max(1, docs.count()))
+    picked = docs.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("l")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    lines = picked.select(F.explode(F.split(text_of(), "\n")).alias("line")).filter(~F.col("line").rlike(GATE))
+    some = lines.select(F.xxhash64("line").alias("h"), "line").orderBy("h", "line").limit(background)
     plain = some.select(F.lit(NONE).alias("family"), F.slice(line_words(F.col("line")), 1, 60).alias("words"),
                         F.pmod(F.xxhash64("line"), F.lit(4)).alias("fold"))
     return notices.unionByName(plain)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,20 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def in_parts(texts: list[str | None], chars: int) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of about so many characters, one long text aside."""
+    some: list[str | None] = []
+    size = 0
+    for text in texts:
+        some.append(text)
+        size += len(text or "")
+        if size >= chars:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def bind(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body mentions it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolens.llm.base import scratch, text_of, with_fields
+from repolens.llm.base import in_parts, scratch, text_of, with_fields
 from repolens.llm.token_files import filesystem
 
 WINDOW = 10
 #: Benchmark items in one block; a task holds one block of windows at a time.
 BLOCK_ITEMS = 20_000
+#: Texts whose words are held together have about this many characters, one long text aside.
+CHARS_AT_ONCE = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 # A-Z in lower case; digits, letters and bytes beyond ASCII stay, all else divides words.
@@ -153,26 +155,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     text_at = kept.columns.index("text")
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
+    def judged(texts: list[str | None]) -> Iterator[tuple[int, int, list[int], list[dict[str, int]]]]:
+        found = [words(t) for t in texts]
+        items: list[set[int | None]] = [set() for _ in texts]
+        hit: list[np.ndarray | None] = [None] * len(texts)
+        for name in names:
+            block = _block(folder, name)
+            for row, document in enumerate(found):
+                for i, key in block.occurrences(document):
+                    if hit[row] is None:
+                        hit[row] = np.zeros(len(document), bool)
+                    hit[row][i : i + len(key)] = True
+                    items[row] |= block.items[key]
+        for text, document, ids, mask in zip(texts, found, items, hit, strict=True):
+            listed = sorted(i for i in ids if i is not None)
+            yield (len(document), 0, listed, []) if mask is None else (
+                len(document), int(mask.sum()), listed, _character_spans(text, mask))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
-            found = [words(t) for t in texts]
-            items: list[set[int | None]] = [set() for _ in texts]
-            hit: list[np.ndarray | None] = [None] * len(texts)
-            for name in names:
-                block = _block(folder, name)
-                for row, document in enumerate(found):
-                    for i, key in block.occurrences(document):
-                        if hit[row] is None:
-                            hit[row] = np.zeros(len(document), bool)
-                        hit[row][i : i + len(key)] = True
-                        items[row] |= block.items[key]
-            yield pa.RecordBatch.from_arrays([
-                *batch.columns, pa.array(map(len, found), pa.int64(), size=len(found)),
-                pa.array([0 if h is None else int(h.sum()) for h in hit], pa.int64()),
-                pa.array([sorted(x for x in s if x is not None) for s in items], pa.list_(pa.int64())),
-                pa.array([[] if h is None else _character_spans(t, h) for t, h in zip(texts, hit, strict=True)], spans),
-            ], [*batch.schema.names, "n_words", "n_hit", "item_ids", "hits"])
+            rows = [row for some in in_parts(texts, CHARS_AT_ONCE) for row in judged(some)]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), spans)
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                [*batch.schema.names, "n_words", "n_hit", "item_ids", "hits"])
 
     return kept.mapInArrow(run, with_fields(kept.schema, RESULT))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repolens.llm.base import text_of
+from repolens.llm.base import in_parts, text_of
 
 #: Closes each document.
 END_ID = 0
@@ -28,7 +28,7 @@ KEPT_PARTS = 400_000
 #: A longer part is encoded anew each time, so that what is kept stays small.
 KEPT_LENGTH = 64
 #: Texts encoded together hold about this many characters, one long text aside.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 3_000_000
 
 _TWO_SPACES = re.compile(r"\s\s")
 _SPACE = re.compile(r"\s")
@@ -157,15 +157,8 @@ def encoder(path: str) -> Encoder:
 
 def encoded(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Ids of the texts, a bounded number of characters at a time."""
-    some: list[str | None] = []
-    size = 0
-    for text in texts:
-        some.append(text)
-        size += len(text or "")
-        if size >= CHARS_AT_ONCE:
-            yield from encoder(path).encode(some)
-            some, size = [], 0
-    yield from encoder(path).encode(some)
+    for some in in_parts(texts, CHARS_AT_ONCE):
+        yield from encoder(path).encode(some)
 
 
 def with_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, key: Column | None = None) -> DataFrame:

@@ -140,7 +140,7 @@ def train(docs: DataFrame, variants: int = VARIANTS, background: int = BACKGROUN
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer
 
-    rows = stored(training_lines(docs, variants, background).withColumn("grams", grams(F.col("words"))), "license-lines")
+    rows = stored(training_lines(docs, variants, background).withColumn("grams", grams(F.col("words"))), "license-lines").coalesce(4)
     families = tuple(sorted({f for f, _ in NOTICES} | {NONE}))
     number = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
     rows = rows.withColumn("label", number)

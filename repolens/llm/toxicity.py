@@ -1,17 +1,19 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Training compares token counts of toxic and other labelled documents. A token's score is its log-odds
-ratio under Dirichlet priors shaped like all the counts; tokens whose ratio is not clearly above zero
-count as background and score below zero, so that chance segments stay short. One pass over a
-text finds all maximal-scoring segments. Under chance the best segment of n tokens follows an extreme
-value law, fitted on documents without the label; it gives each segment an expected number of
-chance hits. The significant ones are added up and a logistic curve turns the sum into a score.
+Training compares token counts of toxic and other labelled documents. Every token scores its log-odds ratio,
+shrunk towards zero by a Dirichlet prior, less a drift that keeps chance segments short; no token is left out for
+being rare, so a language with few labels has its words too. One pass over a text finds all maximal-scoring segments.
+Under chance the best segment of n tokens follows an extreme value law, fitted on documents without the label; it
+gives each segment an expected number of chance hits. The significant ones are added up and a logistic curve turns
+the sum into a score. Law and curve are fitted on scores that leave out the document's own label.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,12 @@ from repolens.llm.base import stored, text_of, with_fields
 
 #: At most about this many labelled documents are used for training, chosen by a hash of their id.
 MAX_LABELLED = 20_000
-#: At most this many token scores; they go to every worker.
-MAX_TOKENS = 50_000
-#: A token is kept if its log-odds ratio is this many standard deviations above zero.
-MIN_Z = 4.0
-#: Pseudo-counts of the prior in all, as a multiple of the toxic documents' tokens, divided among tokens as in
-#: all training documents: a token unseen in one kind isn't taken for one that is certain.
-PRIOR = 1.0
+#: Pseudo-count of the prior of each token in documents, divided among the kinds as all counts are.
+PRIOR = 10.0
+#: The drift lies so many standard deviations above the mean score of a token in a document without the label.
+DRIFT = 4.0
+#: Smallest drift.
+MIN_DRIFT = 0.1
 #: Segments with at most this many expected chance hits in their text are significant.
 MAX_EXPECTED = 0.5
 #: Bound of the extreme value law's rate.
@@ -54,8 +55,8 @@ def token_column(text: Column) -> Column:
 def maximal_segments(scores: list[tuple[int, float]], background: float) -> list[tuple[int, int, float]]:
     """``(start, end, score)`` of all maximal-scoring segments (Ruzzo and Tompa), ``end`` exclusive.
 
-    ``scores`` has the positions and scores of the tokens above zero; every other token scores
-    ``background`` below zero. Linear in the number of positive tokens, as each is put on the list once
+    ``scores`` has the positions and scores of the known tokens, above zero or not; every other token scores
+    ``background`` below zero. Linear in the number of known tokens, as each is put on the list at most once
     and each merge takes one off.
     """
     found: list[tuple[int, int, float, float, int]] = []  # start, end, total before it and with it, link
@@ -63,6 +64,9 @@ def maximal_segments(scores: list[tuple[int, float]], background: float) -> list
     for position, score in scores:
         total += background * (position - last)
         last = position + 1
+        if score <= 0:
+            total += score
+            continue
         start, before, total = position, total, total + score
         k = len(found) - 1
         while True:
@@ -79,17 +83,22 @@ def maximal_segments(scores: list[tuple[int, float]], background: float) -> list
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    scores: dict[bytes, float]
-    background: float
+    known: dict[bytes, float]  # the score of each token of the training documents
+    background: float  # of all others
     rate: float  # of the extreme value law
     scale: float  # expected chance hits of score 0 or more in one token
     weight: float  # of the logistic curve
     bias: float
 
+    @property
+    def scores(self) -> dict[bytes, float]:
+        """The tokens that score above zero, each a sign of toxic text by itself."""
+        return {token: score for token, score in self.known.items() if score > 0}
+
     def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float, float]]]:
         """The number of tokens and the segments with their expected chance hits, significant or not."""
         words = tokens(text)
-        get = self.scores.get
+        get = self.known.get
         hits = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
         n = max(len(words), 1)
         return len(words), [
@@ -104,26 +113,48 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-(self.weight * evidence + self.bias))))
 
 
-def _token_scores(labelled: DataFrame, prior: float, min_z: float, max_tokens: int) -> dict[bytes, float]:
-    """Log-odds ratios of the tokens clearly commoner in toxic texts.
+def _token_counts(labelled: DataFrame) -> dict[bytes, tuple[int, int]]:
+    """How many toxic and other documents each token is in.
 
     A token counts once a document, so that a text that repeats one word over and over has no say.
     """
     words = labelled.select("toxic", F.explode(F.array_distinct(token_column(F.col("text")))).alias("token"))
     toxic = F.count(F.when(F.col("toxic") == 1, True))
-    counts = stored(words.groupBy("token").agg(toxic.alias("t"), (F.count("toxic") - toxic).alias("c")), "token-counts")
-    total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
-    n_t, n_c = float(total["t"] or 0), float(total["c"] or 0)
-    if not n_t or not n_c:
-        return {}
-    t, c = F.col("t"), F.col("c")
-    prior *= n_t
-    share = F.lit(prior) * (t + c) / F.lit(n_t + n_c)
-    ratio = F.log((t + share) / (F.lit(n_t + prior) - t - share)) - F.log((c + share) / (F.lit(n_c + prior) - c - share))
-    deviation = F.sqrt(1 / (t + share) + 1 / (c + share))
-    kept = counts.select("token", ratio.alias("ratio"), (ratio / deviation).alias("z")).filter(F.col("z") >= min_z)
+    rows = words.groupBy("token").agg(toxic.alias("t"), (F.count("toxic") - toxic).alias("c")).toArrow()
+    pairs: dict[tuple[int, int], tuple[int, int]] = {}  # equal pairs are one object
     return {
-        row["token"].encode(): float(row["ratio"]) for row in kept.orderBy(F.desc("z"), "token").limit(max_tokens).collect()}
+        token.encode(): pairs.setdefault(pair, pair)
+        for token, *counts in zip(rows["token"].to_pylist(), rows["t"].to_pylist(), rows["c"].to_pylist(), strict=True)
+        for pair in [tuple(counts)]}
+
+
+@dataclass(frozen=True)
+class _Odds:
+    """Scores of tokens by their counts."""
+
+    share: float  # of toxic documents in all counts
+    prior: float
+    drift: float = 0.0
+
+    def score(self, t: int, c: int) -> float:
+        """The shrunk log-odds ratio of a token in t toxic and c other documents, less the drift."""
+        return log((t + self.prior * self.share) / (c + self.prior * (1 - self.share)) * (1 - self.share) / self.share) - self.drift
+
+
+def _odds(counts: dict[bytes, tuple[int, int]], prior: float, drift: float) -> _Odds | None:
+    """None where one kind of documents has no token.
+
+    The drift is taken from the scores of the tokens of documents without the label, each without that document.
+    """
+    n_t, n_c = (sum(pair[k] for pair in counts.values()) for k in (0, 1))
+    if not n_t or not n_c:
+        return None
+    plain = _Odds(n_t / (n_t + n_c), prior)
+    groups = Counter(counts.values())
+    scores = [(n * c, plain.score(t, c - 1)) for (t, c), n in groups.items() if c]
+    mean = sum(n * s for n, s in scores) / n_c
+    spread = sqrt(sum(n * (s - mean) ** 2 for n, s in scores) / n_c)
+    return _Odds(plain.share, prior, max(MIN_DRIFT, mean + drift * spread))
 
 
 def _law(best: np.ndarray, lengths: np.ndarray) -> tuple[float, float]:
@@ -154,8 +185,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, prior: float = PRIOR, min_z: float = MIN_Z,
-    max_tokens: int = MAX_TOKENS,
+    docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, prior: float = PRIOR, drift: float = DRIFT,
 ) -> ToxicityModel:
     """A model from ``(doc_id, text)`` and ``(doc_id, toxic)`` rows.
 
@@ -168,16 +198,26 @@ def train(
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
     labelled = stored(
         docs.select(F.col("doc_id"), text_of().alias("text")).join(chosen, "doc_id").select("text", "toxic"), "labelled")
-    scores = _token_scores(labelled, prior, min_z, max_tokens)
-    background = -float(np.median(list(scores.values()))) / 4 if scores else -1.0
-    model = ToxicityModel(scores, background, 1.0, 1e-3, 0.0, 0.0)
+    counts = _token_counts(labelled)
+    odds = _odds(counts, prior, drift)
+    by_pair = {pair: odds.score(*pair) for pair in set(counts.values())} if odds else {}
+    scores = {token: by_pair[pair] for token, pair in counts.items()} if odds else {}
+    background = odds.score(0, 0) if odds else -1.0
+
+    def without_itself(text: str | None, toxic: int) -> tuple[int, list[float]]:
+        """The number of tokens and the scores of the segments if the document had no label."""
+        words = tokens(text)
+        own = (1, 0) if toxic == 1 else (0, 1)
+        hits = [(i, odds.score(pair[0] - own[0], pair[1] - own[1])) for i, pair in enumerate(map(counts.get, words))
+                if pair is not None] if odds else []
+        return len(words), [float(s) for _, _, s in maximal_segments(hits, background)]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.segments(text) for text in batch.column(0).to_pylist()]
+            found = [without_itself(text, toxic) for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([n for n, _ in found]), pa.array(
-                    [[float(s) for _, _, s, _ in segments] for _, segments in found], pa.list_(pa.float64()))],
+                [batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array(
+                    [segments for _, segments in found], pa.list_(pa.float64()))],
                 ["toxic", "n", "scores"])
 
     rows = labelled.mapInArrow(best, "toxic INT, n LONG, scores ARRAY<DOUBLE>").collect()
@@ -228,3 +268,13 @@ def training_rows(labels: DataFrame) -> DataFrame:
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document is kept out of training."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def held_out_recall(scored: DataFrame, labels: DataFrame, by: str, threshold: float = 0.5) -> DataFrame:
+    """``(by, n_toxic, n_caught, n_clean, n_false)`` of the held-out labelled rows of :func:`with_toxicity` by a column."""
+    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("is_toxic"))
+    rows = scored.filter(held_out()).select("doc_id", by, "toxic_score").join(known, "doc_id")
+    toxic, high = F.col("is_toxic") == 1, F.col("toxic_score") >= threshold
+    return rows.groupBy(by).agg(*[
+        F.count(F.when(condition, True)).alias(name) for name, condition in (
+            ("n_toxic", toxic), ("n_caught", toxic & high), ("n_clean", ~toxic), ("n_false", ~toxic & high))])

@@ -3,7 +3,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from repolens.llm.toxicity import held_out, maximal_segments, token_column, tokens, train, training_rows, with_toxicity
+from repolens.llm.toxicity import (
+    held_out,
+    held_out_recall,
+    maximal_segments,
+    token_column,
+    tokens,
+    train,
+    training_rows,
+    with_toxicity,
+)
 
 
 def plain_segments(scores):
@@ -92,3 +101,21 @@ def test_without_labels_and_rows(spark, labelled):
     assert with_toxicity(docs.limit(0), model).count() == 0
     known = spark.createDataFrame([(1, None), (None, 1), (2, 0), (2, 0)], "doc_id LONG, toxic INT")
     assert all(r["toxic_score"] < 0.5 for r in with_toxicity(docs.limit(3), train(docs, known)).collect())
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_segments_with_scores_of_their_own_below_zero(seed):
+    rnd = random.Random(seed)
+    for _ in range(30):
+        scores = [rnd.choice([rnd.uniform(0.1, 3), -rnd.uniform(0.1, 2), -0.9371]) for _ in range(rnd.randint(0, 14))]
+        found = maximal_segments([(i, s) for i, s in enumerate(scores) if s != -0.9371], -0.9371)
+        assert [(a, b) for a, b, _ in found] == plain_segments(scores)
+
+
+def test_a_language_with_few_labels_has_its_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    found = held_out_recall(with_toxicity(docs, train(docs, training_rows(labels))), labels, "lang").collect()
+    assert {r["lang"] for r in found} == {"en", "de", "fr", "es"}
+    for r in found:
+        assert r["n_caught"] >= 0.85 * r["n_toxic"] and r["n_false"] <= 0.02 * r["n_clean"], r

@@ -83,7 +83,10 @@ def _described(tag: str, attributes: str, in_article: bool) -> str:
 
 
 def parsed(page: str | None) -> tuple[list[str], list[tuple[str, str]]]:
-    """``(stream, blocks)`` of a page: tags and slots (``#``), and the text of each block with its path."""
+    """``(stream, blocks)`` of a page: tags and slots, and the text of each block with its path.
+
+    A slot is ``#/`` and its path, so that only slots of one path are aligned and each path of a wrapper is a page's.
+    """
     stream: list[str] = []
     blocks: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []
@@ -93,8 +96,9 @@ def parsed(page: str | None) -> tuple[list[str], list[tuple[str, str]]]:
         text = " ".join(entities.unescape("".join(words)).split())
         words.clear()
         if text:
-            stream.append("#")
-            blocks.append(("/".join(step for _, step in stack), text))
+            path = "/".join(step for _, step in stack)
+            stream.append("#/" + path)
+            blocks.append((path, text))
 
     def pop(k: int) -> None:
         while len(stack) > k:
@@ -282,7 +286,10 @@ def wrapper_of(streams: list[list]) -> list:
 
 
 def slots(wrapper: list) -> list[str]:
-    """The distinct paths of the text slots of a wrapper, in order."""
+    """The distinct paths of the text slots of a wrapper, in order.
+
+    A plain ``#`` lies where the tags before it say. That holds only without optional groups of unbalanced tags.
+    """
     found: dict[str, None] = {}
 
     def walk(nodes: list, stack: list[str]) -> list[str]:
@@ -291,6 +298,8 @@ def slots(wrapper: list) -> list[str]:
                 stack = walk(node[1], stack)
             elif node == "#":
                 found["/".join(stack)] = None
+            elif node.startswith("#/"):
+                found[node[2:]] = None
             elif node.startswith("/"):
                 at = next((k for k in range(len(stack) - 1, -1, -1) if _tag(stack[k]) == node[1:]), None)
                 stack = stack[:at] if at is not None else stack

@@ -77,3 +77,16 @@ def test_wrappers_of_hosts(spark):
 
 def test_empty_table(spark):
     assert main_text(spark.createDataFrame([], "page_id LONG, url STRING, html STRING")).count() == 0
+
+
+@pytest.mark.parametrize("holder", ["div", "article", "section"])
+def test_containers_whose_classes_differ(spark, holder):
+    rows = [(k, f"https://c.example/{k}", page(
+        f"<h1>t{k}</h1><{holder} class='cat {kind}'><p>first {k}<p>second {k}</{holder}><footer>f</footer>"))
+        for k, kind in enumerate(["news", "sport", "news", "arts"] * 4)]
+    wrapper = wrapper_of([parsed(html)[0] for _, _, html in rows])
+    assert set(slots(wrapper)) == {path for _, _, html in rows for path, _ in parsed(html)[1]}
+    pages = spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING")
+    for r in main_text(pages).collect():
+        k = r["page_id"]
+        assert r["text"] == ("" if holder == "article" else f"t{k} ") + f"first {k} second {k}"

@@ -40,7 +40,9 @@ DROPPED_NAMES = frozenset(
     "sponsored subscribe subscription toolbar widget".split())
 ARTICLE = ("article", "main")
 
-#: A text that at least so many pages of a host have in a slot, and this share of them, is the host's, not a page's.
+#: Elements are left out by their names only while these leave out no larger share of a page's text.
+MOST = 0.8
+#: A text that at least so many distinct pages of a host have in a slot, and this share of them, is the host's, not a page's.
 CONSTANT_PAGES, CONSTANT_SHARE = 10, 0.5
 #: Alignments of longer streams than this many pairs of tokens keep their ends only.
 MAX_PAIRS = 1_000_000
@@ -60,6 +62,7 @@ _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.IGNORECA
 
 PAGE = "page_id LONG, url STRING, host STRING, stream STRING, blocks ARRAY<STRUCT<path: STRING, text: STRING>>"
 MARK = "!"  # before an element whose texts are not the article's
+NAMED = "~"  # the same by its class or id only, while a page is read
 
 
 def _described(tag: str, attributes: str, in_article: bool) -> str:
@@ -76,10 +79,49 @@ def _described(tag: str, attributes: str, in_article: bool) -> str:
             dropped |= "display:none" in value.replace(" ", "")
         else:
             dropped |= key == "hidden" or value == "true"
-    found = names & DROPPED_NAMES
+    found = names & DROPPED_NAMES if tag not in ("html", "body") else set()
     if found == {"header"} and names & {"article", "entry", "post", "title"}:
         found = set()
-    return (MARK if dropped or found else "") + ".".join([tag, *sorted(names)])
+    return (MARK if dropped else NAMED if found else "") + ".".join([tag, *sorted(names)])
+
+
+def _settled(stream: list[str], blocks: list[tuple[str, str]]) -> tuple[list[str], list[tuple[str, str]]]:
+    """The page with its elements marked by name either left out or not.
+
+    While they leave out more than :data:`MOST` of the text outside other left-out elements, the name that leaves out
+    most isn't a mark on this page: it stands at a wrapper or at the text itself.
+    """
+    total = lost = 0
+    holders: dict[str, list[int]] = {}  # the blocks in each element marked by name
+    sizes, marks = [len(text) for _, text in blocks], [0] * len(blocks)
+    for k, (path_, _) in enumerate(blocks):
+        steps = set(path_.split("/"))
+        if any(s.startswith(MARK) for s in steps):
+            continue
+        named = [s for s in steps if s.startswith(NAMED)]
+        total += sizes[k]
+        lost += sizes[k] if named else 0
+        marks[k] = len(named)
+        for s in named:
+            holders.setdefault(s, []).append(k)
+    held = {s: sum(sizes[k] for k in found) for s, found in holders.items()}
+    freed: set[str] = set()
+    for s in sorted(held, key=lambda s: (-held[s], s)):
+        if lost <= MOST * total:
+            break
+        freed.add(s)
+        for k in holders[s]:
+            marks[k] -= 1
+            lost -= 0 if marks[k] else sizes[k]
+
+    def step(s: str) -> str:
+        return s if not s.startswith(NAMED) else s[1:] if s in freed else MARK + s[1:]
+
+    def path(p: str) -> str:
+        return "/".join(map(step, p.split("/"))) if NAMED in p else p
+
+    return [
+        "#/" + path(s[2:]) if s.startswith("#/") else step(s) for s in stream], [(path(p), text) for p, text in blocks]
 
 
 def parsed(page: str | None) -> tuple[list[str], list[tuple[str, str]]]:
@@ -127,7 +169,7 @@ def parsed(page: str | None) -> tuple[list[str], list[tuple[str, str]]]:
             continue
         step = _described(tag, m["attributes"], any(t in ARTICLE for t, _ in stack)) if block or m["attributes"] else tag
         inside = stack and stack[-1][0] not in BLOCKS
-        if not block and not (step.startswith(MARK) or inside and stack[-1][0] == tag) or tag in VOID and tag != "br":
+        if not block and not (step.startswith((MARK, NAMED)) or inside and stack[-1][0] == tag) or tag in VOID and tag != "br":
             if tag in ("hr", "img", "input"):
                 words.append(" ") if tag != "hr" else end_block()
             continue
@@ -140,7 +182,8 @@ def parsed(page: str | None) -> tuple[list[str], list[tuple[str, str]]]:
         if block:
             stream.append(step)
     end_block()
-    return stream, blocks
+    return _settled(stream, blocks) if any(NAMED in path for path, _ in blocks) or any(
+        s.startswith(NAMED) for s in stream) else (stream, blocks)
 
 
 # A wrapper is a list of tokens (strings), ["+", nodes] for a repeated group and ["?", nodes] for an optional one.
@@ -358,7 +401,7 @@ def content_slots(parsed_pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """``(host, paths)``: the wrapper's slots that hold the article.
 
     Slots inside left-out elements never do. If the wrapper has an article or main element, the slots inside it do;
-    else all others but those whose text is the same on most of the host's pages.
+    else all others but those whose text is the same on most of the host's pages, exact copies of a page counted once.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,8 +417,9 @@ def content_slots(parsed_pages: DataFrame, wrappers: DataFrame) -> DataFrame:
                 ["host", "path", "in_article"])
 
     candidates = wrappers.select("host", "wrapper").mapInArrow(walk, "host STRING, path STRING, in_article BOOLEAN")
-    texts = parsed_pages.select("host", F.explode("blocks").alias("b")).groupBy(
-        "host", F.col("b.path").alias("path"), F.xxhash64("b.text").alias("text_hash")).count()
+    blocks = parsed_pages.select("host", F.xxhash64("blocks").alias("page"), F.explode("blocks").alias("b"))
+    in_pages = blocks.select("host", F.col("b.path").alias("path"), F.xxhash64("b.text").alias("text_hash"), "page").distinct()
+    texts = in_pages.groupBy("host", "path", "text_hash").count()
     constant = texts.groupBy("host", "path").agg(F.sum("count").alias("n"), F.max("count").alias("most")).filter(
         (F.col("most") >= CONSTANT_PAGES) & (F.col("most") >= CONSTANT_SHARE * F.col("n"))).select(
         "host", "path", F.lit(True).alias("constant"))

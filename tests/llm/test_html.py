@@ -90,3 +90,24 @@ def test_containers_whose_classes_differ(spark, holder):
     for r in main_text(pages).collect():
         k = r["page_id"]
         assert r["text"] == ("" if holder == "article" else f"t{k} ") + f"first {k} second {k}"
+
+
+@pytest.mark.parametrize("html, texts", [
+    ("<body class='has-sidebar'><p>body text<div class=sidebar>s</div></body>", ["body text"]),
+    ("<body><div id='page' class='nav-open'><p>body text of the page<div class=sidebar>s</div></div></body>",
+     ["body text of the page"]),
+    ("<body><div class='elementor-widget-text'>one part</div><div class='elementor-widget-text'>two part</div></body>",
+     ["one part", "two part"]),
+    ("<div class=nav-open><div class=sidebar-left>all of it</div></div>", ["all of it"]),
+    ("<nav class=menu>a long list of links that is no article</nav><p>text", ["text"])])
+def test_names_do_not_empty_a_page(html, texts):
+    assert text_of(html) == texts
+
+
+def test_copies_of_a_page_are_not_constant_text(spark):
+    rows = [(k, "https://d.example/copy", page("<h1>Copied headline</h1><div><p>same words</p></div>")) for k in range(20)]
+    rows += [(100 + k, f"https://d.example/{k}", page(f"<h1>own {k}</h1><div><p>words {k}</p></div>")) for k in range(15)]
+    found = {r["page_id"]: r["text"] for r in main_text(
+        spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING")).collect()}
+    assert all(found[k] == "Copied headline same words" for k in range(20))
+    assert all(found[100 + k] == f"own {k} words {k}" for k in range(15))

@@ -1,8 +1,9 @@
 """Quality rules: plain counts of a text, and a log-likelihood ratio of hashed n-grams.
 
-Two multinomials over hashed n-grams are counted, one over trusted documents and one over the whole
-corpus. A document's score is its mean log ratio of the two, and one threshold decides on every document. Only
-DataFrame functions: the arrays of a text stay in its row, and counts are combined before the shuffle.
+Two multinomials over hashed words and word pairs are counted, one over all trusted documents and one over the
+whole corpus, in a table whose number of buckets grows with the corpus. A document's score is its mean log ratio of
+the two, and one threshold, set on all labels, decides on every document. Only DataFrame functions: n-grams meet the
+table where they are read while it fits a broadcast, and counts are combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from pyspark.sql import functions as F
 
 from repolens.llm.base import bind, stored, text_of
 
-#: Buckets of each order of n-grams; the counts of all come to the driver.
-BUCKETS = 4_096
+#: Buckets of each order of n-grams: the power of two from this times the root of the corpus' characters, and at least so many.
+BUCKETS_PER_ROOT, LEAST_BUCKETS = 8, 4_096
+#: Tables of at most so many rows are broadcast; beyond that Spark decides.
+BROADCAST_ROWS = 1 << 22
 #: Pseudo-count of each bucket.
 SMOOTHING = 1.0
-#: At most about this many labelled documents are used, chosen by a hash of their id; they fit a broadcast.
-MAX_LABELLED = 20_000
+#: Scores of labelled documents are counted to this many decimals for the threshold.
+DECIMALS = 4
 #: At most this share of the trusted documents may fall below the threshold.
 MAX_LOST = 0.005
 
@@ -92,90 +95,105 @@ def with_rules(docs: DataFrame) -> DataFrame:
     ).withColumn("base_failed", failed)
 
 
-def _buckets(words: Column, word: Column, i: Column) -> tuple[Column, Column]:
-    """The n-grams at a word: its last two characters, and the word with the next one."""
-    ending = F.pmod(F.xxhash64(F.substring(word, -2, 2)), F.lit(BUCKETS)).cast("int")
-    pair = F.pmod(F.xxhash64(word, F.coalesce(F.get(words, i + 1), F.lit(""))), F.lit(BUCKETS)).cast("int") + BUCKETS
-    return ending, pair
+def _bucket_count(docs: DataFrame) -> int:
+    chars = docs.agg(F.sum(F.length(text_of()).cast("long")).alias("n")).first()["n"] or 0
+    wanted = max(LEAST_BUCKETS, int(BUCKETS_PER_ROOT * math.sqrt(chars)))
+    return 1 << (wanted - 1).bit_length()
+
+
+def _ngrams(text: Column, buckets: int) -> Column:
+    """The buckets of a text's words, and of each word with the next one (after those of single words)."""
+    def of_words(words: Column) -> Column:
+        single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)))
+        pairs = F.transform(words, lambda w, i: F.pmod(
+            F.xxhash64(w, F.coalesce(F.get(words, i + 1), F.lit(""))), F.lit(buckets)) + buckets)
+        return F.concat(single, pairs)
+
+    return bind(words_of(text), of_words)
 
 
 @dataclass(frozen=True)
 class QualityModel:
-    ratios: tuple[float, ...]
+    ratios: DataFrame | None  # (bucket, ratio) of the buckets of the corpus; without one every ratio is zero
+    buckets: int
+    unseen: tuple[float, float]  # the ratio of other buckets of words and of pairs
     threshold: float
 
-    def score(self, text: Column) -> Column:
-        """Mean log ratio over the text's n-grams; 0 without words."""
-        table = F.expr("array(" + ",".join(f"{r!r}D" for r in self.ratios) + ")")
-
-        def total(words: Column) -> Column:
-            each = F.transform(words, lambda w, i: sum(F.get(table, b) for b in _buckets(words, w, i)))
-            return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / (2 * F.greatest(F.size(words), F.lit(1)))
+    def scores(self, docs: DataFrame) -> DataFrame:
+        """``(quality_key, quality_score)`` of ``(quality_key, text)`` rows with words: mean log ratio over the n-grams.
 
-        return bind(words_of(text), total)
+        Rows of one key have one text. The n-grams of a row are summed before they are shuffled.
+        """
+        grams = docs.select("quality_key", F.explode(_ngrams(text_of(), self.buckets)).alias("bucket"))
+        if self.ratios is None:
+            return grams.groupBy("quality_key").agg(F.lit(0.0).alias("quality_score"))
+        table = F.broadcast(self.ratios) if 2 * self.buckets <= BROADCAST_ROWS else self.ratios
+        ratio = F.coalesce("ratio", F.when(F.col("bucket") < self.buckets, self.unseen[0]).otherwise(self.unseen[1]))
+        return grams.join(table, "bucket", "left").groupBy("quality_key").agg(F.avg(ratio).alias("quality_score"))
 
 
-def _labelled(labels: DataFrame, max_labelled: int) -> DataFrame:
-    """``(labelled_id, quality)`` of at most about so many documents; the larger label counts."""
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("labelled_id")).agg(
-        F.max(F.col("quality").cast("int")).alias("quality"))
-    share = min(1.0, max_labelled / max(1, known.count()))
-    return stored(known.filter(
-        (F.pmod(F.xxhash64("labelled_id", F.lit("q")), F.lit(1 << 20)) < int(share * (1 << 20))) | F.lit(share == 1.0)),
-        "quality-labels")
+def _key() -> Column:
+    """Equal for rows of equal id and text only; copies of a text under many ids don't share one."""
+    return F.struct(F.xxhash64("doc_id", text_of()).alias("a"), F.xxhash64(text_of(), F.lit("q"), "doc_id").alias("b"))
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_lost: float = MAX_LOST
-) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, max_lost: float = MAX_LOST) -> QualityModel:
     """Count the n-grams of all ``docs`` and of those with label 1, and set the threshold.
 
-    ``labels`` has ``doc_id`` and ``quality``; the labelled ids used are bounded by ``max_labelled`` and are
-    the one thing broadcast. The threshold parts the labels best among those that lose at most ``max_lost`` of the
-    trusted documents. Without trusted documents every ratio is zero and every document passes.
+    ``labels`` has ``doc_id`` and ``quality``; all are used, and the larger label of an id counts. The threshold parts
+    the labels best among those that lose at most ``max_lost`` of the trusted documents; scores are counted to
+    :data:`DECIMALS` decimals for it. Without trusted documents every ratio is zero and every document passes.
     """
-    known = F.broadcast(_labelled(labels, max_labelled))
-    marked = docs.select(F.col("doc_id"), text_of().alias("text")).join(
-        known, F.col("doc_id") == F.col("labelled_id"), "left")
-    grams = bind(words_of(F.col("text")), lambda words: F.flatten(F.transform(
-        words, lambda w, i: F.array(*_buckets(words, w, i)))))
-    counts = marked.select((F.col("quality") == 1).alias("trusted"), F.explode(grams).alias("bucket")).groupBy("bucket").agg(
-        F.count("bucket").alias("raw"), F.count(F.when(F.col("trusted"), True)).alias("trusted"))
-    raw, trusted = [0] * (2 * BUCKETS), [0] * (2 * BUCKETS)
-    for row in counts.collect():
-        raw[row["bucket"]], trusted[row["bucket"]] = row["raw"], row["trusted"]
-    ratios: list[float] = []
-    for first in (0, BUCKETS):
-        n_raw = sum(raw[first : first + BUCKETS]) + SMOOTHING * BUCKETS
-        n_trusted = sum(trusted[first : first + BUCKETS]) + SMOOTHING * BUCKETS
-        ratios += [
-            math.log((trusted[b] + SMOOTHING) / n_trusted) - math.log((raw[b] + SMOOTHING) / n_raw)
-            for b in range(first, first + BUCKETS)]
-    if not any(trusted):
-        return QualityModel((0.0,) * (2 * BUCKETS), -math.inf)
-    model = QualityModel(tuple(ratios), -math.inf)
-    scored = docs.join(known, F.col("doc_id") == F.col("labelled_id")).select(
-        model.score(text_of()).alias("score"), "quality").collect()
-    ranked = sorted((r["score"], r["quality"]) for r in scored)
-    good = sum(y for _, y in ranked)
-    bad = len(ranked) - good
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
+        F.max(F.col("quality").cast("int")).alias("quality"))
+    texts = docs.select("doc_id", text_of().alias("text"))
+    size = _bucket_count(docs)
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.explode(_ngrams(F.col("text"), size)).alias("bucket")).groupBy("bucket").agg(
+            F.count("bucket").alias(name))
+
+    trusted = counted(texts.join(known.filter("quality = 1"), "doc_id"), "trusted")
+    counts = stored(counted(texts, "raw").join(trusted, "bucket", "left").select(
+        "bucket", "raw", F.coalesce("trusted", F.lit(0)).alias("trusted")), "quality-counts")
+    order = (F.col("bucket") >= size).cast("int")
+    sums = {r["k"]: (r["raw"] + SMOOTHING * size, r["trusted"] + SMOOTHING * size, r["trusted"]) for r in counts.groupBy(
+        order.alias("k")).agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).collect()}
+    if not any(n for *_, n in sums.values()):
+        return QualityModel(None, size, (0.0, 0.0), -math.inf)
+    unseen = tuple(math.log(sums[k][0]) - math.log(sums[k][1]) for k in (0, 1))
+    ratio = F.log(F.col("trusted") + SMOOTHING) - F.log(F.col("raw") + SMOOTHING) + F.when(
+        order == 0, unseen[0]).otherwise(unseen[1])
+    model = QualityModel(stored(counts.select("bucket", ratio.alias("ratio")), "quality-ratios"), size, unseen, -math.inf)
+    marked = texts.join(known, "doc_id").withColumn("quality_key", _key())
+    lone = _scored(marked, model).groupBy(F.round("quality_score", DECIMALS).alias("score")).agg(
+        F.count(F.when(F.col("quality") == 1, True)).alias("good"), F.count("quality").alias("n"))
+    ranked = sorted((r["score"], r["good"], r["n"] - r["good"]) for r in lone.collect())
+    good, bad = sum(g for _, g, _ in ranked), sum(b for *_, b in ranked)
     best, threshold, lost, caught = 0.0, -math.inf, 0, 0
-    for k, (score, label) in enumerate(ranked):
-        lost, caught = lost + label, caught + (1 - label)
+    for k, (score, n_good, n_bad) in enumerate(ranked):
+        lost, caught = lost + n_good, caught + n_bad
         if lost > max_lost * good:
             break
         gain = caught / max(bad, 1) - lost / max(good, 1)
-        if gain > best and (k + 1 == len(ranked) or ranked[k + 1][0] > score):
+        if gain > best:
             best, threshold = gain, (score + ranked[k + 1][0]) / 2 if k + 1 < len(ranked) else score + 1.0
-    return QualityModel(model.ratios, threshold)
+    return QualityModel(model.ratios, size, unseen, threshold)
+
+
+def _scored(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """The rows with ``quality_score``, by their ``quality_key``; 0 without words."""
+    scores = model.scores(docs.select("quality_key", "text"))  # the mean is the same however often a row is repeated
+    return docs.join(scores, "quality_key", "left").drop("quality_key").withColumn(
+        "quality_score", F.coalesce("quality_score", F.lit(0.0)))
 
 
 def with_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The rows with :data:`RULES`, ``quality_score`` and ``kept`` (columns of these names are replaced).
 
-    One narrow pass. A document is kept if it passes the plain rules and scores at least the threshold. Null text is
+    Texts stay where they are read; the scores are joined by a hash of id and text. A document is kept if it passes the plain rules and scores at least the threshold. Null text is
     empty and fails; repeated rows and null ids stay.
     """
-    ruled = with_rules(docs.drop("quality_score", "kept"))
-    scored = ruled.withColumn("quality_score", model.score(text_of()))
+    ruled = with_rules(docs.drop("quality_score", "kept", "quality_key"))
+    scored = _scored(ruled.withColumn("quality_key", _key()), model)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality_score") >= F.lit(model.threshold)))

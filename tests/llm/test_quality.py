@@ -2,7 +2,9 @@ import collections
 import random
 import re
 
-from repolens.llm.quality import train, with_quality, with_rules
+from pyspark.sql import functions as F
+
+from repolens.llm.quality import _ngrams, train, with_quality, with_rules
 
 
 def plain(text):
@@ -55,3 +57,25 @@ def test_nulls_repeats_and_empty_tables(spark):
     unlabelled = train(docs, labels.limit(0))
     assert with_quality(docs, unlabelled).filter("kept").count() == with_rules(docs).filter("NOT base_failed").count()
     assert with_quality(docs.limit(0), train(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_all_labels_and_whole_words_count(spark):
+    docs, labels = corpus(spark)
+    # 25,000 labelled documents: the words of each are its own but for their endings
+    many = spark.range(1_000, 26_000).selectExpr("id AS doc_id", "concat('w', id, 'en v', id, 'en') AS text", "1 AS quality")
+    model = train(docs.unionByName(many.select("doc_id", "text")), labels.unionByName(many.select("doc_id", "quality")))
+    counts = model.ratios.filter(f"bucket < {model.buckets}").count()
+    assert counts > 0.9 * model.buckets and model.buckets > 4_096
+    known = {r["bucket"]: r["ratio"] for r in model.ratios.collect()}
+    seen = {b for r in many.select(_ngrams(F.col("text"), model.buckets).alias("b")).collect() for b in r["b"][:2]}
+    assert len(seen) > 0.9 * model.buckets  # endings alone would share one bucket
+    # where no junk falls into a bucket, all of its words are trusted ones: none of the labels was left out
+    assert sum(abs(known[b] - model.unseen[0]) < 1e-9 for b in seen) > 0.8 * len(seen)
+
+
+def test_score_is_the_mean_log_ratio(spark):
+    docs, labels = corpus(spark)
+    model = train(docs, labels)
+    known = {r["bucket"]: r["ratio"] for r in model.ratios.collect()}
+    for r in with_quality(docs, model).join(docs.select("doc_id", _ngrams(F.col("text"), model.buckets).alias("b")), "doc_id").collect():
+        assert abs(r["quality_score"] - sum(known[b] for b in r["b"]) / len(r["b"])) < 1e-9

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repolens.llm.base import stored
 from repolens.llm.chat import BEGIN, CONTROL, END, digest, format_conversations, messages_as_events
 from repolens.llm.decontamination import contamination, items_digest
 from repolens.llm.html import main_text
@@ -15,11 +16,15 @@ from repolens.llm.licenses import with_licenses
 from repolens.llm.packing import pack
 from repolens.llm.pii import KINDS, spans_text, with_pii
 from repolens.llm.pii import train as train_pii
+from repolens.llm.pivot_index import near_duplicates as near_vectors
+from repolens.llm.prefix_trie import sequences, trie, with_heads
 from repolens.llm.quality import train as train_quality
 from repolens.llm.quality import with_quality
 from repolens.llm.simhash import near_duplicates
 from repolens.llm.token_files import token_files
 from repolens.llm.toxicity import held_out, train, training_rows, with_toxicity
+from repolens.llm.whitening import fit as fit_whitening
+from repolens.llm.whitening import identity_error, with_whitened
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +109,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = fit_whitening(rows)
+    if model is None:
+        return spark.createDataFrame(
+            [], "vec_id LONG, component INT, n LONG, deviation LONG, whitened DOUBLE, explained DOUBLE, identity_error DOUBLE")
+    white = stored(with_whitened(rows, model).drop("embedding"), "whitened")
+    error = identity_error(white, len(model.values))
+    explained = F.array(*[F.lit(float(v / model.trace)) for v in model.values])
+    return white.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "value")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation",
+        F.col("value").alias("whitened"), explained[F.col("at")].alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = stored(sequences(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), "sequences")
+    conv = F.col("conv_id")
+    turns = F.crc32(conv.cast("string").cast("binary")) % 9
+    return trie(with_heads(own, conv - conv % 5, turns, 8))
+
+
+def op13_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_licenses": op2_licenses,
@@ -115,6 +146,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_html": op9_html,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_pivot_index": op13_pivot_index,
 }
 # The escaped length: a backslash is doubled, a control string gets one more.
 _ESCAPED = "(" + " + ".join(
@@ -160,4 +194,57 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES: dict[str, str] = {"op1_chat": _OP1, "op5_decontamination": _OP5}
+# The checksum of a number's digits, bit by bit: SQL has no crc32.
+_CRC = """
+xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length({0}) + 1),
+  lambda p: ascii(substr({0}, p, 1))::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+_OP12 = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t,
+    sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+    octet_length(encode(coalesce(text, ''))) AS size
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(struct_pack(k := k, size := size) ORDER BY t) AS turns FROM turns GROUP BY conv_id),
+cut AS (SELECT conv_id, turns, CAST({_CRC.format("conv_id::VARCHAR")} % 9 AS BIGINT) AS h FROM own),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+  FROM cut c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+paths AS (
+  SELECT conv_id, len(turns) AS n_turns, d, sha256(array_to_string(list_transform(turns[1:d], lambda x: x.k), '')) AS node,
+    CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(turns[1:d - 1], lambda x: x.k), '')) END AS parent,
+    CASE WHEN d > 0 THEN turns[d].size ELSE 0 END AS size
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT node, d, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n_turns), '')) AS ends
+  FROM paths GROUP BY node, d),
+children AS (SELECT parent, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT a.node, a.d, sum(n.saved) AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+  FROM nodes n JOIN paths a ON a.conv_id = n.conv_id AND a.d <= n.d
+  LEFT JOIN children k ON k.parent = n.node AND k.d = n.d GROUP BY a.node, a.d)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, b.leaves AS n_leaves,
+  CAST(b.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN below b USING (node, d) LEFT JOIN children k ON k.parent = n.node AND k.d = n.d
+LEFT JOIN nodes p ON p.node = n.parent AND p.d = n.d - 1
+"""
+
+# Every pair of a label: right for small tables.
+_OP13 = """
+WITH RECURSIVE given AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+good AS (
+  SELECT * FROM given WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: isfinite(x))) = len(v)
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reached(u, w) AS (SELECT vec_id, vec_id FROM given UNION SELECT r.u, l.w FROM reached r JOIN links l ON l.u = r.w),
+least AS (SELECT u, min(w) AS component_id FROM reached GROUP BY u)
+SELECT g.vec_id, (SELECT count(*) FROM links l WHERE l.u = g.vec_id) AS n_links, component_id, component_id = g.vec_id AS kept
+FROM given g JOIN least ON least.u = g.vec_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_chat": _OP1, "op5_decontamination": _OP5, "op12_prefix_trie": _OP12, "op13_pivot_index": _OP13}

@@ -18,8 +18,7 @@ from repolens.llm.pii import KINDS, spans_text, with_pii
 from repolens.llm.pii import train as train_pii
 from repolens.llm.pivot_index import near_duplicates as near_vectors
 from repolens.llm.prefix_trie import sequences, trie, with_heads
-from repolens.llm.quality import train as train_quality
-from repolens.llm.quality import with_quality
+from repolens.llm.quality import count, kept, threshold, with_scores
 from repolens.llm.simhash import near_duplicates
 from repolens.llm.token_files import token_files
 from repolens.llm.toxicity import held_out, train, training_rows, with_toxicity
@@ -72,10 +71,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train_quality(docs, _table(spark, sf_dir, "labels"))
-    return with_quality(docs, model).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "quality_score")
+    labels = _table(spark, sf_dir, "labels")
+    # Texts are scored once; the threshold and the verdicts come from the stored scores.
+    scored = stored(with_scores(docs, count(docs, labels), held=True).drop("text"), "quality-scores")
+    return scored.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        kept(threshold(scored, labels)).alias("kept"), "quality_score")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolens.llm.base import stored
+from repolens.llm.base import stored, with_fields
 from repolens.llm.components import components
 
 #: Rows that pivots are chosen from, and pivots at most: what fitting takes to the driver.
@@ -40,7 +40,7 @@ BLOCK, TILE = 2048, 512
 #: Cosines that decide whether a vector is in a ball, or out of its reach, are taken this much on the safe side.
 SAFE = 1e-9
 
-INDEXED = "uid LONG, label STRING, size INT, vec ARRAY<DOUBLE>, code ARRAY<INT>, ball INT, reach ARRAY<INT>"
+ADDED = "code ARRAY<INT>, ball INT, reach ARRAY<INT>"
 
 
 def normalised(rows: np.ndarray) -> np.ndarray:
@@ -53,6 +53,11 @@ def normalised(rows: np.ndarray) -> np.ndarray:
         return scaled / np.where(norm > 0, norm, 1.0)[:, None]
 
 
+def _vectors(column: pa.Array, d: int) -> np.ndarray:
+    """Normalised rows in double precision of a list column of single or double precision."""
+    return normalised(column.flatten().to_numpy().reshape(-1, d).astype(np.float64))
+
+
 def choose_pivots(sample: np.ndarray, wanted: int, cosine: float) -> np.ndarray:
     """Sampled vectors of which none links to an earlier one, each moved to the middle of all sampled vectors that link to it."""
     chosen: list[int] = []
@@ -103,7 +108,7 @@ def indexed(rows: DataFrame, pivots: dict[int, np.ndarray], cosine: float) -> Da
             sizes = batch.column("size").to_numpy()
             for d in np.unique(sizes):
                 some = batch.filter(pa.array(sizes == d))
-                x = normalised(some.column("vec").flatten().to_numpy().reshape(-1, d))
+                x = _vectors(some.column("vec"), d)
                 points = pivots.get(int(d), np.zeros((1, d)))
                 near = np.empty((len(x), min(NEAREST, len(points))), dtype=np.int32)
                 ball, reach = np.full(len(x), -1, dtype=np.int32), []
@@ -116,12 +121,12 @@ def indexed(rows: DataFrame, pivots: dict[int, np.ndarray], cosine: float) -> Da
                     ball[at:at + TILE] = np.where(cos[np.arange(len(cos)), first] >= inside, first, -1)
                     reach += [np.flatnonzero(r).astype(np.int32) for r in cos >= within]
                 yield pa.RecordBatch.from_arrays(
-                    [*some.columns[:3], _lists(x.reshape(-1), np.full(len(x), d)),
-                     _lists(near.reshape(-1), np.full(len(x), near.shape[1])), pa.array(ball),
+                    [*some.columns, _lists(near.reshape(-1), np.full(len(x), near.shape[1])), pa.array(ball),
                      _lists(np.concatenate([np.zeros(0, np.int32), *reach]), [len(r) for r in reach])],
                     ["uid", "label", "size", "vec", "code", "ball", "reach"])
 
-    return rows.select("uid", "label", "size", "vec").mapInArrow(describe, INDEXED)
+    rows = rows.select("uid", "label", "size", "vec")
+    return rows.mapInArrow(describe, with_fields(rows.schema, ADDED))
 
 
 def roots_of(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +142,8 @@ def roots_of(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row = new
 
 
-def _matrix(rows: pa.Table, name: str, width: int) -> np.ndarray:
-    return rows.column(name).combine_chunks().flatten().to_numpy().reshape(-1, width)
+def _codes(rows: pa.Table, width: int) -> np.ndarray:
+    return rows.column("code").combine_chunks().flatten().to_numpy().reshape(-1, width)
 
 
 def compare(cell: pa.Table, cosine: float) -> pa.Table:
@@ -156,11 +161,11 @@ def compare(cell: pa.Table, cosine: float) -> pa.Table:
     if not left.num_rows or not right.num_rows:
         return schema.empty_table()
     d, pivot = cell.column("size")[0].as_py(), cell.column("pivot")[0].as_py()
-    x, y = _matrix(left, "vec", d), _matrix(right, "vec", d)
+    x, y = (_vectors(t.column("vec").combine_chunks(), d) for t in (left, right))
     uids = [t.column("uid").to_numpy() for t in (left, right)]
     if not cell.column("ball")[0].as_py():
         width = len(left.column("code")[0])
-        codes = [_matrix(t, "code", width) for t in (left, right)]
+        codes = [_codes(t, width) for t in (left, right)]
         points = np.unique(np.concatenate([c.ravel() for c in codes]))
         member = [np.zeros((len(c), len(points)), dtype=np.float32) for c in codes]
         # Lists that come before this one: a pair that shares one was judged there.
@@ -230,7 +235,10 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     added = "n_links", "component_id", "kept"
     rows = df.drop(*added).select(F.struct("*").alias("row"))
     rows = stored(rows.withColumn("uid", F.monotonically_increasing_id()), "vectors")  # written: a number stays a row's
-    v = F.col(f"row.`{vector}`").cast("array<double>")
+    # Single precision is half of what lists move; anything else is taken as double.
+    v = F.col(f"row.`{vector}`")
+    if df.schema[vector].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")
     finite = F.forall("vec", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     usable = rows.select(
         "uid", F.col(f"row.`{key}`").cast("string").alias("label"), F.size(v).alias("size"), v.alias("vec")).filter(

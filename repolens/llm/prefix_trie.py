@@ -271,7 +271,7 @@ def trie(convs: DataFrame) -> DataFrame:
     ends = stored(blocks.groupBy("block").agg(F.min("seq").alias("low"), F.max("seq").alias("high")), "trie-ends")
     filled = sorted(r["block"] for r in ends.select("block").collect())  # a number for each block, nothing of the rows
     beside = spark.createDataFrame(
-        list(zip(filled, [None, *filled[:-1]], [*filled[1:], None], strict=True)), "block INT, previous INT, next INT")
+        list(zip(filled, [None, *filled], [*filled[1:], None], strict=False)), "block INT, previous INT, next INT")
     halo = beside.join(ends.select(F.col("block").alias("previous"), F.col("high").alias("before")), "previous", "left").join(
         ends.select(F.col("block").alias("next"), F.col("low").alias("after")), "next", "left").select("block", "before", "after")
 

@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ KEPT_LENGTH = 64
 #: Texts encoded together hold about this many characters, one long text aside.
 CHARS_AT_ONCE = 3_000_000
 
+#: Stands before each cut while texts are cut; a text that holds it is cut another way.
+_CUT = "\x01"
 _TWO_SPACES = re.compile(r"\s\s")
 _SPACE = re.compile(r"\s")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -60,15 +63,6 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    @staticmethod
-    def _parts(text: str) -> list[list[str]]:
-        """Lines of parts. A single space between words starts a pre-token, a single newline is one
-        by itself. Longer runs of white space are divided by what follows them and stay in a part.
-        """
-        if _TWO_SPACES.search(text) is None:
-            return [line.split(" ") for line in text.split("\n")]
-        return [_SINGLE_SPACE.split(text)]
-
     def _together(self, parts: list[str], before: str) -> dict[str, bytes]:
         """Ids of ``before + part`` for parts without white space; a few hundred parts a call are quickest."""
         found: dict[str, bytes] = {}
@@ -120,33 +114,61 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null and empty have none."""
-        out: list[list[bytes | None]] = []
-        unknown: dict[str, list[tuple[list, int, str]]] = {" ": [], "\n": []}  # places to fill and their parts
-        firsts: list[tuple[list, str]] = []
-        after_space, after_break = self._kept[" "].get, self._kept["\n"].get
-        for text in texts:
-            ids: list[bytes | None] = []
-            out.append(ids)
-            for number, line in enumerate(self._parts(text) if text else ()):
-                start = line[0]
-                if number:
-                    ids.append(after_break(start))
-                    if ids[-1] is None:
-                        unknown["\n"].append((ids, len(ids) - 1, start))
-                else:
-                    ids.append(None)
-                    firsts.append((ids, start))
-                at = len(ids) - 1
-                ids.extend(map(after_space, line[1:]))
-                if None in ids[at + 1 :]:
-                    unknown[" "] += [(ids, at + k, line[k]) for k in range(1, len(line)) if ids[at + k] is None]
-        for before, places in unknown.items():
-            new = self._learn(Counter(part for _, _, part in places), before)
-            for ids, k, part in places:
-                ids[k] = new[part]
-        for ids, part in firsts:
-            ids[0] = self._ids(part)
-        return [b"".join(x) for x in out]
+        texts = list(texts)
+        out = [b""] * len(texts)
+        plain, spaced = [], []
+        for i, text in enumerate(texts):
+            if text:
+                (spaced if _CUT in text or _TWO_SPACES.search(text) else plain).append(i)
+        # A part is looked up with the space or newline before it; the first one has none.
+        cut = pa.array([texts[i] for i in plain], pa.large_string())
+        for mark in " \n":
+            cut = pc.replace_substring(cut, mark, _CUT + mark)
+        parts = pc.split_pattern(cut, _CUT)
+        self._fill(out, plain, parts.flatten(), np.asarray(parts.offsets))
+        divided = [_SINGLE_SPACE.split(texts[i]) for i in spaced]
+        flat = pa.array([" " * (k > 0) + part for x in divided for k, part in enumerate(x)], pa.large_string())
+        self._fill(out, spaced, flat, np.cumsum([0, *map(len, divided)]), first_may_be_spaced=True)
+        return out
+
+    def _fill(self, out: list[bytes], places: list[int], parts: pa.Array, offsets: np.ndarray, first_may_be_spaced: bool = False) -> None:
+        """The ids of each text, whose parts are ``offsets[i]:offsets[i + 1]``, at its place. Python sees each distinct part once."""
+        if not places:
+            return
+        coded = parts.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        words, times = coded.dictionary.to_pylist(), np.bincount(codes, minlength=len(coded.dictionary)).tolist()
+        begins = np.zeros(len(words), bool)
+        begins[codes[offsets[1:-1]]] = begins[codes[:1]] = True
+        firsts: dict[int, bytes] = {}
+        ids: list[bytes | None] = [None] * len(words)
+        unknown: dict[str, dict[str, int]] = {" ": {}, "\n": {}}
+        for k, word in enumerate(words):
+            before = word[:1]
+            if before not in unknown or (first_may_be_spaced and begins[k]):
+                firsts[k] = self._ids(word)
+            if before in unknown:
+                ids[k] = self._kept[before].get(word[1:])
+                if ids[k] is None:
+                    unknown[before][word[1:]] = times[k]
+            else:
+                ids[k] = firsts[k]
+        for before, new in unknown.items():
+            found = self._learn(Counter(new), before)
+            for k, word in enumerate(words):
+                if ids[k] is None and word[:1] == before:
+                    ids[k] = found[word[1:]]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        whole = np.frombuffer(b"".join(ids), "<u4")
+        starts = np.cumsum(lens) - lens
+        taken = lens[codes]
+        ends = np.cumsum(taken)
+        flat = whole[np.repeat(starts[codes] - (ends - taken), taken) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], ends])[offsets].tolist()
+        for i, at, a, b in zip(places, offsets.tolist(), bounds, bounds[1:], strict=False):
+            out[i] = flat[a:b].tobytes()
+            if first_may_be_spaced and codes[at] in firsts:
+                out[i] = firsts[codes[at]] + out[i][4 * int(taken[at]):]
 
 
 @functools.cache

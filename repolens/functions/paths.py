@@ -54,6 +54,25 @@ def globs_to_regex(globs: Iterable[str], folders: bool = True) -> str | None:
     return "|".join(regexes) if regexes else None
 
 
+def globs_column_to_regex(globs: Column) -> Column:
+    """:func:`globs_to_regex` for a column of glob lists: one alternation a row, null for no globs.
+
+    Each repository has its own list, so the regex is data: it is made where the list is read.
+    """
+    def literal(text: Column) -> Column:
+        escaped = F.regexp_replace(text, r"([.+^${}()|\[\]])", r"\\$1")
+        return F.replace(F.replace(escaped, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
+
+    def regex(glob: Column) -> Column:
+        bare = F.regexp_replace(F.translate(F.regexp_replace(glob, r"^\s+|\s+$", ""), "\\", "/"), r"^\./", "")
+        whole = F.when(bare.endswith("/"), F.concat(bare, F.lit("**"))).otherwise(bare)
+        stretches = F.transform(F.split(whole, r"\*\*", -1), literal)
+        return F.when(bare != "", F.concat(F.lit("(^|/)"), F.array_join(stretches, ".*"), F.lit("($|/)")))
+
+    each = F.array_distinct(F.array_compact(F.transform(F.array_compact(globs), regex)))
+    return F.when(F.size(each) > 0, F.array_join(each, "|"))
+
+
 def normalise_path(path: Column) -> Column:
     """Forward slashes, no leading ``./``; the usual path passes two cheap tests only."""
     unusual = F.contains(path, F.lit("\\")) | path.startswith("./")

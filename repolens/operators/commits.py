@@ -23,6 +23,7 @@ from repolens.functions.commits import (
     percentage,
 )
 from repolens.functions.paths import path_matches
+from repolens.operators.settings import drop_excluded
 from repolens.operators.skew import join_per_repo
 
 
@@ -40,6 +41,11 @@ def with_email(commits: DataFrame) -> DataFrame:
     return commits.withColumn("email", email_key(F.col("author_email")))
 
 
+def churn_by_repo(commits: DataFrame, commit_files: DataFrame, settings: DataFrame) -> DataFrame:
+    """:func:`line_churn` with each repository's own excluded paths; ``commits`` are those of its period."""
+    return line_churn(commits, drop_excluded(commit_files, settings))
+
+
 def discover_authors(commits: DataFrame) -> DataFrame:
     """Authors by e-mail, named by their most frequent spelling, with commit counts."""
     spelled = (

@@ -14,6 +14,7 @@ from repolens.functions.suppression import DEFAULT_MARKERS, Markers, is_sample_c
 from repolens.operators.attribution import attribute_hits
 from repolens.operators.languages import present_packs
 from repolens.operators.scan import file_packs, listed_files, readable_files, scan_rules
+from repolens.operators.settings import allowed_hits, granted_packs
 from repolens.operators.skew import join_per_repo
 from repolens.rules import SECURITY, SECURITY_RULES, Rule, select_rules
 
@@ -56,10 +57,12 @@ def _rule_facts_sql(rules: Sequence[Rule]) -> str:
 def security_line_hits(
     files: DataFrame, rules: Sequence[Rule] = SECURITY_RULES, *, packs: Sequence[str] | None = None,
     globs: Sequence[str] | None = None, exclude: Sequence[str] = (), disabled: Sequence[str] = (),
-    markers: Markers = DEFAULT_MARKERS,
+    markers: Markers = DEFAULT_MARKERS, settings: DataFrame | None = None,
 ) -> DataFrame:
     """Unattributed built-in hits with their snippet.  With ``globs`` every rule runs on the files these name.
 
+    ``settings`` are those of each repository (``operators.settings``), applied to the hits.
+
     Without ``packs`` the languages of each repository decide which rules reach its
     shared config files; with ``packs`` those apply to every repository, and a single
     pack runs all its rules on all its files.
@@ -77,8 +80,10 @@ def security_line_hits(
         F.expr(_rule_facts_sql(active)).alias("facts")).select("*", "facts.*").drop("facts")
     if packs is None and globs is None:
         granted = F.array_intersect(file_packs(F.col("path"), SECURITY), F.col("rule_packs"))
-        hits = join_per_repo(hits, present_packs(files), ["path"]).filter(
-            F.arrays_overlap(granted, F.col("packs"))).drop("packs")
+        present = present_packs(files) if settings is None else granted_packs(files, settings)
+        hits = join_per_repo(hits, present, ["path"]).filter(F.arrays_overlap(granted, F.col("packs"))).drop("packs")
+    if settings is not None:
+        hits = allowed_hits(hits, settings, active, SECURITY)
     return hits.drop("rule_packs")
 
 

@@ -94,12 +94,21 @@ def matrix_by_rule(matrix: DataFrame, rules: Sequence[Rule] = SMELL_RULES, *, di
     return matrix.groupBy("repo_id", "email", "short").pivot("rule_id", ids).agg(F.first("n"))
 
 
-def matrix_by_author(matrix: DataFrame, authors: Sequence[str]) -> DataFrame:
-    """Rules as rows, the named authors as columns: the sheet of one report."""
-    return (
-        matrix.groupBy("repo_id", "position", "rule_id", "label").pivot("short", list(authors))
-        .agg(F.sum("n")).na.fill(0, list(authors))
-    )
+def matrix_by_author(matrix: DataFrame, people: DataFrame, width: int) -> DataFrame:
+    """Rules as rows, people as columns: sheets of ``width`` people each, as many as it takes to show everybody.
+
+    ``people`` has ``repo_id, email`` and the person's number ``place_no`` in the repository, from 1 (:func:`.numbering.numbered`). Column
+    ``p0`` is the first person of the sheet and so on; places after the last person are null. ``people`` lists the sheet's names.
+    """
+    number = F.col("place_no") - 1
+    sheet, place = F.floor(number / width).cast("int"), F.pmod(number, F.lit(width)).cast("int")
+    placed = people.select("repo_id", "email", sheet.alias("sheet"), place.alias("place"))
+    cells = matrix.join(placed, ["repo_id", "email"])
+    names = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("place", "short"))), lambda p: p["short"]), ", ")
+    key = ["repo_id", "sheet", "position", "rule_id", "label"]
+    wide = cells.groupBy(*key).agg(
+        names.alias("people"), *[F.sum(F.when(F.col("place") == p, F.col("n"))).alias(f"p{p}") for p in range(width)])
+    return wide
 
 
 def matrix_override(matrix: DataFrame, by_hand: DataFrame | None) -> DataFrame:

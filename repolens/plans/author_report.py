@@ -15,6 +15,7 @@ from repolens.functions.suppression import DEFAULT_MARKERS, Markers
 from repolens.operators.attribution import blame_by_file, lines_owned, smell_counts
 from repolens.operators.authors import active_authors, dedupe_roster, visible_authors
 from repolens.operators.commits import author_metrics, line_churn, with_git_grade
+from repolens.operators.numbering import numbered
 from repolens.operators.scan import (
     FILE_ROW,
     facts_from_rows,
@@ -24,7 +25,8 @@ from repolens.operators.scan import (
     readable_files,
     scan_rules,
 )
-from repolens.operators.scoring import code_grades, issue_matrix
+from repolens.operators.scoring import code_grades, issue_matrix, matrix_by_author
+from repolens.operators.settings import allowed_hits, drop_disabled
 from repolens.rules import LARGE_RULE_ID, SMELL, SMELL_RULES, Rule, select_rules
 
 
@@ -71,6 +73,24 @@ def smell_scan(
     return SmellScan(hits, counts, owned, code_grades(counts, owned, rules))
 
 
+def smell_scan_by_repo(
+    files: DataFrame, blame_lines: DataFrame, settings: DataFrame, store: str, *, rules: Sequence[Rule] = SMELL_RULES,
+    markers: Markers = DEFAULT_MARKERS,
+) -> SmellScan:
+    """:func:`smell_scan` of many repositories, each with its own excluded paths, disabled rules and language.
+
+    Texts are read once, by all rules; what they leave in ``store`` meets the settings.
+    """
+    found = scan_rules(readable_files(listed_files(files, SMELL)), rules, markers=markers, file_rows=True).drop("line", "previous")
+    found.write.mode("overwrite").parquet(store)
+    rows = allowed_hits(files.sparkSession.read.schema(found.schema).parquet(store), settings, rules, SMELL)
+    hits, facts = rows.filter(F.col("rule_id") != FILE_ROW), facts_from_rows(rows)
+    by_file = blame_by_file(blame_lines)
+    counts = smell_counts(hits, blame_lines, drop_disabled(large_files(facts), settings, LARGE_RULE_ID), by_file, stored=True)
+    owned = lines_owned(by_file, facts)
+    return SmellScan(hits, counts, owned, code_grades(counts, owned, rules))
+
+
 def author_report(
     commits: DataFrame, commit_files: DataFrame, roster: DataFrame, files: DataFrame | None = None,
     blame_lines: DataFrame | None = None, *, since: date | str | None = None, exclude: Sequence[str] = (),
@@ -119,11 +139,26 @@ def author_cards(roster: DataFrame, metrics: DataFrame, churn: DataFrame, grades
         F.coalesce("hide_from_cards", F.lit(False)).alias("hide_from_cards"))
 
 
+def matrix_people(commits: DataFrame, roster: DataFrame, *, since: date | str | None = None) -> DataFrame:
+    """The visible authors with commits, one row each."""
+    active = active_authors(author_metrics(commits, since)).select("repo_id", "email")
+    cards = visible_authors(dedupe_roster(roster)).join(active, ["repo_id", "email"], "left_semi")
+    return cards.withColumn("short", F.coalesce(F.nullif("short", F.lit("")), "name"))
+
+
 def matrix_report(
     commits: DataFrame, roster: DataFrame, scan: SmellScan, *, since: date | str | None = None,
     rules: Sequence[Rule] = SMELL_RULES, disabled: Sequence[str] = (),
 ) -> DataFrame:
     """Issue matrix of the visible authors with commits."""
-    active = active_authors(author_metrics(commits, since)).select("repo_id", "email")
-    cards = visible_authors(dedupe_roster(roster)).join(active, ["repo_id", "email"], "left_semi")
-    return issue_matrix(scan.counts, cards.withColumn("short", F.coalesce(F.nullif("short", F.lit("")), "name")), rules, disabled=disabled)
+    return issue_matrix(scan.counts, matrix_people(commits, roster, since=since), rules, disabled=disabled)
+
+
+def matrix_sheets(
+    commits: DataFrame, roster: DataFrame, scan: SmellScan, store: str, *, width: int = 10, since: date | str | None = None,
+    rules: Sequence[Rule] = SMELL_RULES, disabled: Sequence[str] = (),
+) -> DataFrame:
+    """The issue matrix in sheets of ``width`` people, ordered by short name and address, until all are shown."""
+    people = matrix_people(commits, roster, since=since).select("repo_id", "email", "short")
+    matrix = issue_matrix(scan.counts, people, rules, disabled=disabled)
+    return matrix_by_author(matrix, numbered(people, "repo_id", ["short", "email"], store, "place_no"), width)

@@ -1,8 +1,10 @@
-"""Report configuration: roster and path exclusions."""
+"""Report configuration: roster and settings of each repository."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.functions.report import strip
@@ -58,3 +60,55 @@ def read_ignore_patterns(spark: SparkSession, path: str) -> list[str]:
     """
     lines = spark.read.text(path).select(strip(F.col("value")).alias("glob"))
     return [r.glob for r in lines.filter((F.col("glob") != "") & ~F.col("glob").startswith("#")).collect()]
+
+
+def settings_rows(config: DataFrame) -> DataFrame:
+    """Settings from ``repo_id`` and configuration columns: ``since, exclude, disabled, language``.
+
+    One row per repository. A start that is no day is none; lists are never null.
+    """
+    nothing = F.array().cast("array<string>")
+    return config.select(
+        "repo_id", F.to_date(F.try_to_timestamp(F.substring("period.start", 1, 10), F.lit("yyyy-MM-dd"))).alias("since"),
+        F.coalesce("excludePaths", nothing).alias("exclude"), F.coalesce("disabledRules", nothing).alias("disabled"),
+        F.nullif(strip(F.coalesce("language", F.lit(""))), F.lit("")).alias("language"))
+
+
+def read_settings(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
+    """The settings of a configuration file, or without ``repo_id`` those of many repositories."""
+    config = spark.read.schema(CONFIG_SCHEMA).json(path, multiLine=True, recursiveFileLookup=True)
+    return settings_rows(config.withColumn("repo_id", report_repo(spark, path, repo_id)))
+
+
+def ignore_rows(lines: DataFrame) -> DataFrame:
+    """``(repo_id, globs)`` from ``(repo_id, value)`` lines of ignore files: trimmed, without blanks and ``#`` comments."""
+    globs = lines.select("repo_id", strip(F.col("value")).alias("glob")).filter(
+        (F.col("glob") != "") & ~F.col("glob").startswith("#"))
+    return globs.groupBy("repo_id").agg(F.array_sort(F.collect_set("glob")).alias("globs"))
+
+
+def read_ignore_files(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
+    """The globs of an ignore file, or without ``repo_id`` of one for each of many repositories."""
+    lines = spark.read.text(path, recursiveFileLookup=True)
+    return ignore_rows(lines.withColumn("repo_id", report_repo(spark, path, repo_id)))
+
+
+def merged_settings(
+    repos: DataFrame, settings: DataFrame, ignored: DataFrame | None = None, *, exclude: Sequence[str] = (),
+    disabled: Sequence[str] = (),
+) -> DataFrame:
+    """One row for each of ``repos``: its settings, its ignore file's globs and what the caller adds for all, without repeats.
+
+    Repositories without a configuration have only what the caller adds.
+    """
+    def listed(values: Sequence[str]) -> Column:
+        return F.array(*map(F.lit, values)).cast("array<string>")
+
+    out = repos.select("repo_id").distinct().join(settings, "repo_id", "left")
+    if ignored is not None:
+        out = out.join(ignored, "repo_id", "left")
+    parts = ["exclude", *["globs"] * (ignored is not None)]
+    paths = F.concat(*[F.coalesce(c, listed(())) for c in parts], listed(exclude))
+    return out.select(
+        "repo_id", "since", F.array_distinct(F.array_compact(paths)).alias("exclude"),
+        F.array_distinct(F.array_compact(F.concat(F.coalesce("disabled", listed(())), listed(disabled)))).alias("disabled"), "language")

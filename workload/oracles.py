@@ -470,9 +470,16 @@ CTES["whole_hits"] = (
     f"select * from ({CTES['smell_line_hits'].replace('from smell_lines', 'from whole_lines')} union all select * from whole_block_hits) "
     f"where rule_id not in ({', '.join(map(lit, DISABLED))})")
 
-SHEET = ", ".join(f"cast(coalesce(sum(n) filter (short = 'dev{i}'), 0) as bigint) as dev{i}" for i in range(10))
+PLACES = ", ".join(f"cast(sum(n) filter (place % 10 = {i}) as bigint) as p{i}" for i in range(10))
 CELL_SHADE = fixed("least(0.06::double + n / 55 * 0.7::double, 0.7::double)", 2)
-BODIES["issue_matrix_by_author"] = f"select repo_id, rule_id, label, {SHEET} from matrix group by all"
+CTES["placed"] = """
+select *, cast(dense_rank() over (partition by repo_id order by short, email) - 1 as int) as place from matrix"""
+CTES["sheet_people"] = """
+select repo_id, place // 10 as sheet, string_agg(short, ', ' order by place) as people
+from (select distinct repo_id, place, short from placed) group by all"""
+BODIES["issue_matrix_by_author"] = f"""
+select m.repo_id, cast(sheet as int) as sheet, rule_id, label, any_value(people) as people, {PLACES}
+from placed m join sheet_people s on s.repo_id = m.repo_id and s.sheet = m.place // 10 group by m.repo_id, sheet, rule_id, label"""
 BODIES["issue_matrix_override"] = f"""
 select repo_id, label, short, cast(n as string) as cell, case when n > 0 then cast({CELL_SHADE} as double) end as intensity
 from matrix where repo_id <> 'r0'
@@ -502,4 +509,100 @@ CTES["own_large"] = "select * from own_readable where len(string_split(content,
 BODIES["author_report_stored"] = BODIES["author_report"]
 BODIES["security_findings_stored"] = BODIES["security_findings"]
 
+# --- settings of each repository: the globs' patterns are written out by hand -------------------------
+
+CTES["own_settings"] = """
+select repo_id, try_cast(left(start, 10) as date) as since, nullif(trim(coalesce(language, '')), '') as language,
+ list_distinct(list_concat(string_split(disabled, '|'), ['ignore'])) as disabled, case repo_id
+ when 'r0' then '(^|/)(legacy/.*|docs/.*|package-lock\\.json|[^/]*\\.snap|vendor/[^/]*)($|/)'
+ when 'r1' then '(^|/)(vendor/[^/]*|src/[^/]*/d1[^/]\\.[^/]*|[^/]*\\.snap)($|/)'
+ when 'r2' then '(^|/)(legacy/.*|package-lock\\.json|[^/]*\\.snap|vendor/[^/]*)($|/)'
+ when 'r3' then '(^|/)(scripts/.*|[^/]*\\.snap|vendor/[^/]*)($|/)' end as excluded
+from settings_raw""".replace("\\\\", "\\")
+BODIES["repo_settings"] = """
+select repo_id, try_cast(left(start, 10) as date) as since, nullif(trim(coalesce(language, '')), '') as language,
+ array_to_string(list_sort(list_distinct([x for x in list_concat(string_split(disabled, '|'), ['ignore']) if x <> ''])), '|') as disabled,
+ array_to_string(list_sort(list_distinct([x for x in list_concat(string_split(exclude, '|'), coalesce(globs, []), ['*.snap', 'vendor/*']) if x <> ''])), '|') as exclude
+from settings_raw left join (
+ select repo_id, list(trim(value)) as globs from ignore_lines where trim(value) <> '' and value not like '#%' group by 1) using (repo_id)"""
+CTES["own_commits"] = "select c.* from commits c join own_settings s on s.repo_id = c.repo_id and (since is null or commit_ts >= since)"
+BODIES["period_by_repo"] = metrics().replace("from commits", "from own_commits")
+BODIES["settings_churn"] = churn("true").replace("from commits c", "from own_commits c").replace(
+    "select * from commit_files where true",
+    f"select f.* from commit_files f join own_settings s on s.repo_id = f.repo_id and not regexp_matches({NORMAL_PATH}, excluded)")
+CTES["every_hit"] = f"{CTES['smell_line_hits'].replace('from smell_lines', 'from whole_lines')} union all select * from whole_block_hits"
+
+
+def in_named_pack(paths, rules=None) -> str:
+    """No pack is named, or the named one takes in the path (and the rule is its own)."""
+    parts = []
+    for pack, pattern in paths.items():
+        own = "" if rules is None else " and rule_id in ('', " + ", ".join(lit(r.rule_id) for r in rules if pack in r.packs) + ")"
+        parts.append(f"(language = '{pack}' and regexp_matches(path, {lit(pattern)}){own})")
+    return f"(language is null or language not in ({', '.join(map(lit, paths))}) or " + " or ".join(parts) + ")"
+
+
+CTES["own_smell_hits"] = f"""
+select h.* from every_hit h join own_settings s on s.repo_id = h.repo_id and not regexp_matches({NORMAL_PATH}, excluded)
+ and not list_contains(disabled, rule_id) and {in_named_pack(SMELL_PATHS, SMELL_RULES)}"""
+CTES["own_smell_files"] = f"""
+select h.*, disabled from whole_readable h join own_settings s on s.repo_id = h.repo_id and not regexp_matches({NORMAL_PATH}, excluded)
+ and {in_named_pack(SMELL_PATHS)}"""
+BODIES["settings_smell_counts"] = """
+select repo_id, email, rule_id, cast(sum(n) as bigint) as n from (
+ select h.repo_id, coalesce(lower(trim(b.author_email)), 'unknown') as email, h.rule_id, h.n
+ from own_smell_hits h left join blame_lines b using (repo_id, path, line_no)
+ union all select repo_id, m.email, 'large', 1 from own_smell_files join majority m using (repo_id, path)
+ where len(string_split(content, chr(10))) > 200 and not list_contains(disabled, 'large')) group by all"""
+BODIES["settings_lines_owned"] = CTES["lines_owned"].replace("smell_readable", "own_smell_files")
+CTES["whole_sec_readable"] = CTES["sec_listed"].replace(LISTED, f"not regexp_matches(path, {lit(GENERATED)}, 'i')") + f" and {HANDWRITTEN}"
+CTES["whole_sec_lines"] = CTES["sec_lines"].replace("sec_readable", "whole_sec_readable")
+
+
+def own_presence(rule) -> str:
+    named = " or ".join(f"(language = '{p}' and regexp_matches(path, {lit(SECURITY_PATHS[p])}))" for p in rule.packs)
+    unnamed = f"(language is null or language not in ({', '.join(map(lit, SECURITY_PATHS))})) and ({present_test(rule).replace('repo_id in', 'l.repo_id in')})"
+    return f"({named} or {unnamed})".replace("select repo_id from repo_languages where language", "select x.repo_id from repo_languages x where x.language")
+
+
+BODIES["settings_security_hits"] = " union all ".join(
+    f"select l.repo_id, path, '{r.rule_id}' as rule_id, line_no, '{r.severity}' as severity from whole_sec_lines l join own_settings s on s.repo_id = l.repo_id "
+    f"and not regexp_matches({NORMAL_PATH}, excluded) and not list_contains(disabled, '{r.rule_id}') "
+    f"where {line_test(r)} and {path_test(r, SECURITY_PATHS)} and {QUIET} and not {SAMPLE.format('line')} and {own_presence(r)}"
+    for r in SECURITY_RULES)
+
+# --- own block rules, run-length blame -------------------------------------------------------------
+
+
+def own_block(rule_id: str, pattern: str, paths: str = "") -> str:
+    """Lines in which matches begin, by the same marks as the built-in block rules' check."""
+    return f"""
+select repo_id, path, '{rule_id}' as rule_id, line_no, n from (
+ select repo_id, path, unnest(range(1, len(ls) + 1)) as line_no, unnest([length(x) - length(replace(x, chr(57344), '')) for x in ls]) as n from (
+  select repo_id, path, string_split(regexp_replace(content, {lit('(' + pattern + ')')}, chr(57344) || '\\1', 'g'), chr(10)) as ls
+  from smell_readable where true {paths})) where n > 0"""
+
+
+# Without a back reference: the same quote at both ends, written out for each.
+BODIES["custom_block_rules"] = f"""
+select h.repo_id, h.path, rule_id, cast(line_no as int) as line_no, cast(n as int) as n, false as failed from (
+ {own_block('runs', r'(a|e|n|r|t|h| )*\.')}
+ union all {own_block('braces', r'\{([^{}]|\s)*\}')}
+ union all {own_block('quoted', r'"[^"\n]*"\s*[;)]|' + r"'[^'\n]*'\s*[;)]", r"and regexp_matches(path, '\.(ts|java)$')")}) h
+join numbered using (repo_id, path, line_no) where {QUIET}
+union all select repo_id, path, 'broken', null, 0, true from smell_readable where path like '%.dart'"""
+
+CTES["blame_stretches"] = """
+select repo_id, path, line_no, 'Dev ' || cast((length(path) * 7 + (line_no - 1) // 8) % 37 as string) as author_name,
+ 'dev' || cast((length(path) * 7 + (line_no - 1) // 8) % 37 as string) || '@ex.com' as author_email
+from (select *, max(line_no) over (partition by repo_id, path) as last_no from numbered)
+where (line_no - 1) // 8 % 9 <> 5 and not (line = '' and line_no = last_no)"""
+BODIES["blame_run_lengths"] = """
+select repo_id, path, cast(min(line_no) as int) as first_line, cast(max(line_no) as int) as last_line, author_name, author_email
+from blame_stretches group by repo_id, path, (line_no - 1) // 8, author_name, author_email"""
+CTES["stretch_files"] = CTES["blame_files"].replace("blame_lines", "blame_stretches")
+BODIES["attributed_hits_runs"] = BODIES["attributed_hits"].replace("blame_lines", "blame_stretches")
+BODIES["lines_owned_runs"] = CTES["lines_owned"].replace("blame_files", "stretch_files")
+BODIES["file_majority_owner_runs"] = CTES["majority"].replace("blame_files", "stretch_files")
+
 ORACLES: dict[str, str] = {name: sql(body) for name, body in BODIES.items()}

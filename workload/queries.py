@@ -5,14 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.functions.commits import has_ticket, is_conventional, percentage
 from repolens.functions.paths import is_generated, normalise_path, path_matches, repo_name
 from repolens.functions.report import cell_intensity
 from repolens.functions.suppression import is_sample_credential, is_suppressed
-from repolens.operators import attribution, authors, cadence, commits, delta, findings, languages, ranking, scan, scoring
+from repolens.operators import attribution, authors, blame_runs, cadence, commits, delta, findings, languages, ranking, scan, scoring
+from repolens.operators.blocks import scan_blocks
+from repolens.operators.settings import in_own_period
 from repolens.plans import author_report as reports
 from repolens.plans import delta_report as deltas
 from repolens.plans.security_report import stored_findings
@@ -24,9 +26,6 @@ from repolens.sources.snapshots import latest_snapshot, read_snapshots
 from repolens.streaming import feeds as streams
 from workload.staging import DISABLED, EXCLUDE, PERIOD_START, Staged
 
-# The columns of a report's sheet: a report names its people.
-SHEET_AUTHORS = [f"dev{n}" for n in range(10)]
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -360,8 +359,8 @@ def issue_matrix_by_rule(s: Staged) -> DataFrame:
 
 @query
 def issue_matrix_by_author(s: Staged) -> DataFrame:
-    """The matrix as a report shows it: a row for each rule, a column for each of a report's people."""
-    return scoring.matrix_by_author(_matrix(s), SHEET_AUTHORS).drop("position")
+    """The matrix as reports show it: a row for each rule, ten people a sheet, as many sheets as show everybody."""
+    return reports.matrix_sheets(s.commits, s.roster, _smells(s), _folder(s, "sheets")).drop("position")
 
 
 @query
@@ -522,6 +521,99 @@ def findings_ranked(s: Staged) -> DataFrame:
         "repo_id", "vector", "vector_rank", "severity", "severity_rank", "rule_id", "path", "line_no", "source")
 
 
+# --- settings of each repository ----------------------------------------------------
+
+
+@query
+def repo_settings(s: Staged) -> DataFrame:
+    def text(name: str) -> Column:
+        return F.array_join(F.array_sort(name), "|").alias(name)
+
+    return s.settings.select("repo_id", "since", text("exclude"), text("disabled"), "language")
+
+
+def _stored_by_month(s: Staged) -> DataFrame:
+    """The commits as a table stored by month."""
+    path = _folder(s, "commits-by-month")
+    rows = s.commits.withColumn("commit_month", F.date_format("commit_ts", "yyyy-MM"))
+    rows.write.partitionBy("commit_month").parquet(path)
+    return s.spark.read.schema(rows.schema).parquet(path)
+
+
+@query
+def period_by_repo(s: Staged) -> DataFrame:
+    return commits.author_metrics(in_own_period(_stored_by_month(s), s.settings))
+
+
+@query
+def settings_churn(s: Staged) -> DataFrame:
+    return commits.churn_by_repo(in_own_period(s.commits, s.settings), s.commit_files, s.settings)
+
+
+def _own_scan(s: Staged) -> reports.SmellScan:
+    return reports.smell_scan_by_repo(s.files, s.blame_lines, s.settings, _folder(s, "own-scan"))
+
+
+@query
+def settings_smell_counts(s: Staged) -> DataFrame:
+    return _own_scan(s).counts
+
+
+@query
+def settings_lines_owned(s: Staged) -> DataFrame:
+    return _own_scan(s).owned
+
+
+@query
+def settings_security_hits(s: Staged) -> DataFrame:
+    return findings.security_line_hits(s.files, settings=s.settings).select("repo_id", "path", "rule_id", "line_no", "severity")
+
+
+# --- own block rules, run-length blame ------------------------------------------------
+
+# Patterns that would run long or deep in a backtracking engine.
+OWN_BLOCKS = [
+    Rule("runs", SMELL, ("mine",), r"(a|e|n|r|t|h| )*\.", block=True, label="Long runs"),
+    Rule("braces", SMELL, ("mine",), r"\{([^{}]|\s)*\}", guards=("{",), block=True, label="Blocks in braces"),
+    Rule("quoted", SMELL, ("mine",), r"([\"'])(?:(?!\1)[^\n])*\1\s*[;)]", block=True, path_include=r"\.(ts|java)$", label="Quoted ends"),
+    Rule("broken", SMELL, ("mine",), r"(unclosed", block=True, path_include=r"\.dart$", label="Not a pattern"),
+]
+
+
+@query
+def custom_block_rules(s: Staged) -> DataFrame:
+    """Block rules of a user's own: one with a back reference, and one that is no pattern at all."""
+    return scan_blocks(_smell_readable(s), OWN_BLOCKS).select(
+        "repo_id", "path", "rule_id", "line_no", "n", F.col("error").isNotNull().alias("failed"))
+
+
+def _runs(s: Staged) -> DataFrame:
+    path = _folder(s, "blame-runs")
+    blame_runs.runs_of_lines(s.blame_stretches).write.parquet(path)
+    return s.spark.read.parquet(path)
+
+
+@query
+def blame_run_lengths(s: Staged) -> DataFrame:
+    return blame_runs.runs_of_lines(s.blame_stretches)
+
+
+@query
+def attributed_hits_runs(s: Staged) -> DataFrame:
+    hits = scan.scan_rules(_smell_readable(s), SMELL_RULES).drop("line", "previous")
+    return blame_runs.attribute_hits(hits, _runs(s))
+
+
+@query
+def lines_owned_runs(s: Staged) -> DataFrame:
+    return attribution.lines_owned(blame_runs.blame_by_file(_runs(s)), _smell_readable(s))
+
+
+@query
+def file_majority_owner_runs(s: Staged) -> DataFrame:
+    return attribution.majority_owner(blame_runs.blame_by_file(_runs(s)))
+
+
 # --- delta ------------------------------------------------------------------------
 
 

@@ -10,16 +10,20 @@ from __future__ import annotations
 import os
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.sources.config import roster_rows
+from repolens.sources.config import ignore_rows, merged_settings, roster_rows, settings_rows
 
 EXCLUDE = ["legacy/**", "vendor/*", "package-lock.json"]
 DISABLED = ["nonnull", "xss-eval", "large"]
 PERIOD_START = "1998-01-01"
 SNAPSHOT_DATE = "2000-01-01"
 
+# What is left out in every repository, beside its own settings.
+EXCLUDE_EVERYWHERE = ["*.snap", "vendor/*"]
+DISABLED_EVERYWHERE = ["ignore"]
+
 SHARED_SQL = {
     "commits": """
 select 'r' || cast(o_custkey % 3 as string) as repo_id, cast(o_orderkey as string) as sha,
@@ -109,6 +113,17 @@ select repo_id, path, cast(1 + doc_id % 5 as int) as line_no,
  case when doc_id % 7 = 4 then 'dos' end as category,
  case when doc_id % 7 = 6 then 'CWE-79: Cross-site Scripting' end as cwe
 from file_base""",
+    # One configuration and one ignore file for each repository; lists are joined by bars.
+    "repo_list": "select distinct repo_id from file_base union select distinct repo_id from commits",
+    "settings_raw": """
+select repo_id, case repo_id when 'r0' then '1998-01-01' when 'r1' then '1995-06-15T00:00:00Z' when 'r2' then 'soon' end as start,
+ case repo_id when 'r0' then 'legacy/**|docs/' when 'r1' then './vendor/*|src/*/d1?.*| ' when 'r3' then 'scripts/' else '' end as exclude,
+ case repo_id when 'r0' then 'nonnull|xss-eval|large' when 'r2' then 'any|secret-assign' when 'r3' then 'print' else '' end as disabled,
+ case repo_id when 'r1' then 'java' when 'r2' then 'cobol' when 'r3' then ' generic ' end as language
+from repo_list""",
+    "ignore_lines": """
+select repo_id, case n when 0 then 'legacy/**' when 1 then '# vendored' when 2 then '' else '  package-lock.json ' end as value
+from repo_list, (select 0 as n union all select 1 union all select 2 union all select 3) t where repo_id in ('r0', 'r2')""",
     "repos": """
 select cast(page_id as string) as repo_id, case when page_id % 2 = 0 then url || '.git' else url end as remote_url from pages""",
 }
@@ -119,6 +134,13 @@ select repo_id, path, pos + 1 as line_no, 'Dev ' || cast((length(path) * 7 + pos
 from files lateral view posexplode(split(content, '\\n', -1)) l as pos, line
 where (pos + 1) % 50 <> 0 and not (line = '' and pos + 1 = size(split(content, '\\n', -1)))"""
 
+# Blame in stretches of eight lines by one author; a stretch of each file has none.
+SPARK_STRETCHES = """
+select repo_id, path, pos + 1 as line_no, 'Dev ' || cast((length(path) * 7 + floor(pos / 8)) % 37 as string) as author_name,
+ 'dev' || cast((length(path) * 7 + floor(pos / 8)) % 37 as string) || '@ex.com' as author_email
+from files lateral view posexplode(split(content, '\\n', -1)) l as pos, line
+where floor(pos / 8) % 9 <> 5 and not (line = '' and pos + 1 = size(split(content, '\\n', -1)))"""
+
 # Base table of each staged table that reads one directly.
 BASE = {
     "commits": "orders", "people": "orders", "commit_files": "lineitem", "file_base": "documents", "repos": "pages",
@@ -159,6 +181,26 @@ class Staged:
         self.files
         return self.spark.sql(SPARK_BLAME)
 
+    @cached_property
+    def blame_stretches(self) -> DataFrame:
+        self.files
+        return self.spark.sql(SPARK_STRETCHES)
+
+    def _lists(self, text: str) -> Column:
+        return F.filter(F.split(text, r"\|"), lambda x: x != "")
+
+    @cached_property
+    def settings(self) -> DataFrame:
+        """The settings of all repositories, as read from their files."""
+        self.commits, self.files
+        self._sql("repo_list")
+        config = self._sql("settings_raw").select(
+            "repo_id", F.struct("start").alias("period"), self._lists("exclude").alias("excludePaths"),
+            self._lists("disabled").alias("disabledRules"), "language")
+        return merged_settings(
+            self.spark.table("repo_list"), settings_rows(config), ignore_rows(self._sql("ignore_lines")),
+            exclude=EXCLUDE_EVERYWHERE, disabled=DISABLED_EVERYWHERE)
+
     @cached_property
     def roster(self) -> DataFrame:
         self._sql("people")

@@ -11,7 +11,6 @@ import functools
 import os
 import re
 import string
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -57,7 +56,7 @@ class Encoder:
         for before, mark in (" ", "Ġ"), ("\n", "Ċ"):  # the marks of these bytes in the vocabulary
             self._begins[before][[i for token, i in vocabulary.items() if token.startswith(mark)]] = True
         self._newline = self._ids("\n")
-        self._kept: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}  # by what stands before a part
+        self._kept: dict[str, bytes] = {}  # by the part and what stands before it
         self._tails: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
@@ -78,11 +77,9 @@ class Encoder:
             found.update((x, raw[4 * a : 4 * b]) for x, a, b in zip(some, cuts, [*cuts[1:], len(ids)], strict=True))
         return found
 
-    def _learn(self, parts: Counter[str], before: str) -> dict[str, bytes]:
+    def _learn(self, parts: dict[str, int], before: str) -> dict[str, bytes]:
         """Ids of ``before + part`` for unknown parts; those seen twice are kept."""
-        if len(self._kept[before]) > KEPT_PARTS:
-            self._kept[before].clear()
-        known, tails = self._kept[before], self._tails
+        known, tails = self._kept, self._tails
         ended: dict[str, str] = {}  # parts that end in a run of punctuation after letters: different pre-tokens
         alone: set[str] = set()
         for part in parts:
@@ -93,12 +90,12 @@ class Encoder:
             if stem != part and stem and stem[-1].isalpha() and "<" not in part:
                 ended[part] = stem
                 part = stem
-            if part and part not in known and _SPACE.search(part) is None:
+            if part and before + part not in known and _SPACE.search(part) is None:
                 alone.add(part)
         found = self._together(list(alone), before)
         for part, stem in ended.items():
             tail = part[len(stem):]
-            begin = found.get(stem) or known.get(stem)
+            begin = found.get(stem) or known.get(before + stem)
             if begin is not None:
                 if tail not in tails:
                     tails[tail] = self._ids(tail)
@@ -107,7 +104,7 @@ class Encoder:
             if part not in found:
                 found[part] = self._ids(before + part)
             if times > 1 and len(part) <= KEPT_LENGTH:
-                known[part] = found[part]
+                known[before + part] = found[part]
         if len(tails) > KEPT_PARTS:
             tails.clear()
         return found
@@ -138,26 +135,23 @@ class Encoder:
         coded = parts.dictionary_encode()
         codes = coded.indices.to_numpy()
         words, times = coded.dictionary.to_pylist(), np.bincount(codes, minlength=len(coded.dictionary)).tolist()
-        begins = np.zeros(len(words), bool)
-        begins[codes[offsets[1:-1]]] = begins[codes[:1]] = True
-        firsts: dict[int, bytes] = {}
-        ids: list[bytes | None] = [None] * len(words)
+        if len(self._kept) > KEPT_PARTS:
+            self._kept.clear()
+        ids: list[bytes | None] = list(map(self._kept.get, words))
         unknown: dict[str, dict[str, int]] = {" ": {}, "\n": {}}
-        for k, word in enumerate(words):
-            before = word[:1]
-            if before not in unknown or (first_may_be_spaced and begins[k]):
-                firsts[k] = self._ids(word)
-            if before in unknown:
-                ids[k] = self._kept[before].get(word[1:])
-                if ids[k] is None:
-                    unknown[before][word[1:]] = times[k]
+        for k in [k for k, found in enumerate(ids) if found is None]:
+            word = words[k]
+            if word[:1] in unknown:
+                unknown[word[0]][word[1:]] = k
             else:
-                ids[k] = firsts[k]
+                ids[k] = self._ids(word)
         for before, new in unknown.items():
-            found = self._learn(Counter(new), before)
-            for k, word in enumerate(words):
-                if ids[k] is None and word[:1] == before:
-                    ids[k] = found[word[1:]]
+            found = self._learn({part: times[k] for part, k in new.items()}, before)
+            for part, k in new.items():
+                ids[k] = found[part]
+        firsts: dict[int, bytes] = {}
+        if first_may_be_spaced:  # a space that begins a text has nothing before it
+            firsts = {k: self._ids(words[k]) for k in set(codes[offsets[:-1]].tolist()) if words[k][:1] in unknown}
         lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         whole = np.frombuffer(b"".join(ids), "<u4")
         starts = np.cumsum(lens) - lens

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from repolens.llm.pii import checked_spans, luhn, proposed_spans, redacted, scan, train, with_pii
+from repolens.llm.pii import best_of_overlapping, groups, checked_spans, luhn, proposed_spans, redacted, scan, train, with_pii
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -70,6 +70,52 @@ def test_model_tells_candidates_apart(spark, model):
     assert not any(found[t] for t in left), found
 
 
+# Two numbers in a row, dates and addresses beside numbers, accounts, spelled-out addresses, dates of birth: the text and what goes.
+LINES = {
+    "call order 12345678 555-867-5309 now": ["555-867-5309"],
+    "on 2024-01-31 555-867-5309": ["555-867-5309"],
+    "2024-01-31 10.0.0.1": [],
+    "iban DE89 3704 0044 0532 0130 00 please": ["DE89 3704 0044 0532 0130 00"],
+    "mail john (AT) acme (DOT) com": ["john (AT) acme (DOT) com"],
+    "she was born 1984-03-12 in": ["1984-03-12"],
+    "released on 2014-03-12 in": [],
+    "phone (555) 867-5309 or": ["(555) 867-5309"],
+    "card 4111 1111 1111 1234 and": ["4111 1111 1111 1234"],
+}
+
+
+@pytest.mark.parametrize("line", LINES)
+def test_overlapping_candidates(spark, model, line):
+    row = spark.createDataFrame([(line,)], "text STRING").select("text", proposed_spans(F.col("text"), model).alias("s")).first()
+    covered = set().union(*[range(s["start"], s["end"]) for s in row["s"]])
+    want = set().union(*[range(line.index(v), line.index(v) + len(v)) for v in LINES[line]])
+    assert covered == want, row["s"]
+
+
+def test_groups_of_numbers(spark):
+    def of(value):
+        match = F.struct(F.lit(value).alias("value"), F.lit(5).alias("start"), F.lit(5 + len(value)).alias("end"))
+        return [(g["start"] - 5, g["value"]) for g in spark.range(1).select(groups(match).alias("g")).first()["g"]]
+
+    assert of("12 3456 78901") == [(0, "12 3456 78901"), (3, "3456 78901")]
+    assert of("2024-01-31 555-867-5309") == [(11, "555-867-5309")] and of("10.0.0.1 1234567") == [(9, "1234567")]
+    assert of("12345678901234567890 1234567") == [(21, "1234567")]
+    assert len(of(" ".join("1" * 400))) <= 400 * 13
+
+
+def test_the_better_of_two_stays(spark):
+    rows = [(0, 4, 1.0), (2, 6, 2.0), (6, 8, 0.5), (9, 12, 1.0), (9, 14, 1.0)]
+    scored = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(s).alias("above")) for a, b, s in rows])
+    kept = spark.range(1).select(best_of_overlapping(scored).alias("k")).first()["k"]
+    assert [(k["start"], k["end"]) for k in kept] == [(2, 6), (6, 8), (9, 14)]
+
+
+def test_long_rows_of_numbers(spark, model):
+    texts = ["1 " * 3_000, "123 " * 2_000, "call 555-867-5309 " * 500]
+    rows = spark.createDataFrame([(t,) for t in texts], "text STRING").select(proposed_spans(F.col("text"), model).alias("s")).collect()
+    assert len(rows[2]["s"]) == 500
+
+
 def test_redaction(spark, model):
     rows = [
         (1, "é mail x@y.org or +1 (017) 555-7713, ip 10.0.0.1."), (1, None), (None, ""), (2, "clean"), (2, "clean"),

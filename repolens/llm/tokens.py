@@ -24,11 +24,11 @@ from repolens.llm.base import in_parts, text_of
 #: Closes each document.
 END_ID = 0
 #: Parts that one Python worker keeps, about 200 bytes each; beyond that it starts anew.
-KEPT_PARTS = 400_000
+KEPT_PARTS = 300_000
 #: A longer part is encoded anew each time, so that what is kept stays small.
 KEPT_LENGTH = 64
 #: Texts encoded together hold about this many characters, one long text aside.
-CHARS_AT_ONCE = 3_000_000
+CHARS_AT_ONCE = 2_000_000
 
 #: Stands before each cut while texts are cut; a text that holds it is cut another way.
 _CUT = "\x01"
@@ -175,6 +175,7 @@ def encoded(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Ids of the texts, a bounded number of characters at a time."""
     for some in in_parts(texts, CHARS_AT_ONCE):
         yield from encoder(path).encode(some)
+        pa.default_memory_pool().release_unused()  # the worker lives on, and other stages run beside it
 
 
 def with_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, key: Column | None = None) -> DataFrame:

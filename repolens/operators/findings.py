@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolens.functions.paths import is_client_file, path_matches
@@ -13,10 +14,12 @@ from repolens.functions.report import clip
 from repolens.functions.suppression import DEFAULT_MARKERS, Markers, is_sample_credential
 from repolens.operators.attribution import attribute_hits
 from repolens.operators.languages import present_packs
-from repolens.operators.scan import file_packs, listed_files, readable_files, scan_rules
+from repolens.operators.scan import FILE_ROW, file_packs, is_listed, is_readable, scan_rules
 from repolens.operators.settings import allowed_hits, granted_packs
+from repolens.operators.settings import drop_exempt as drop_exempt_by_repo
 from repolens.operators.skew import join_per_repo
 from repolens.rules import SECURITY, SECURITY_RULES, Rule, select_rules
+from repolens.session import shared_folder
 
 FINDING_COLUMNS = (
     "repo_id", "vector", "rule_id", "path", "line_no", "severity", "snippet", "fix", "review",
@@ -67,23 +70,40 @@ def security_line_hits(
     shared config files; with ``packs`` those apply to every repository, and a single
     pack runs all its rules on all its files.
     """
+    return security_scan(
+        files, rules, packs=packs, globs=globs, exclude=exclude, disabled=disabled, markers=markers, settings=settings, mentions=False)
+
+
+def security_scan(
+    files: DataFrame, rules: Sequence[Rule] = SECURITY_RULES, *, packs: Sequence[str] | None = None,
+    globs: Sequence[str] | None = None, exclude: Sequence[str] = (), disabled: Sequence[str] = (),
+    markers: Markers = DEFAULT_MARKERS, settings: DataFrame | None = None, mentions: bool = True,
+) -> DataFrame:
+    """The hits of :func:`security_line_hits`, and with ``mentions`` a row (rule ``FILE_ROW``) for each file of the repository, scanned or not,
+    that mentions a public client configuration: all that later steps need to know of the texts, from one pass over them.
+    """
     active = select_rules(rules, disabled=disabled, packs=packs)
-    readable = readable_files(listed_files(files, SECURITY, packs=packs, globs=globs, exclude=exclude))
-    client_text = F.when(
-        F.contains("content", F.lit(CLIENT_KEY_PREFIX)),
-        matches(F.col("content"), CLIENT_CONFIG_WORDS, ignore_case=True)).otherwise(F.lit(False))
+    scanned = is_listed(SECURITY, packs=packs, globs=globs, exclude=exclude) & is_readable()
+    if mentions:
+        text = F.coalesce(_mentions_client(), F.lit(False))
+        given = files.select("repo_id", "path", F.when(scanned, F.col("content")).alias("content"), text.alias("client_text"))
+        given = given.filter("content IS NOT NULL OR client_text")
+    else:  # only hits on a client key ask for it
+        text = F.when(F.contains("content", F.lit(CLIENT_KEY_PREFIX)), _mentions_client()).otherwise(F.lit(False))
+        given = files.filter(scanned).withColumn("client_text", text)
     hits = scan_rules(
-        readable.withColumn("client_text", client_text), active, markers=markers,
-        scoped=globs is None and (packs is None or len(packs) > 1), keep=["client_text"])
-    hits = hits.filter(~is_sample_credential(F.col("line"), F.col("path"))).select(
+        given, active, markers=markers, scoped=globs is None and (packs is None or len(packs) > 1), keep=["client_text"],
+        file_rows=mentions)
+    is_file = F.col("rule_id") == FILE_ROW
+    hits = hits.filter(F.when(is_file, F.col("client_text")).otherwise(~is_sample_credential(F.col("line"), F.col("path")))).select(
         "repo_id", "path", "line_no", "rule_id", clip(F.col("line")).alias("snippet"), "client_text",
         F.expr(_rule_facts_sql(active)).alias("facts")).select("*", "facts.*").drop("facts")
     if packs is None and globs is None:
         granted = F.array_intersect(file_packs(F.col("path"), SECURITY), F.col("rule_packs"))
         present = present_packs(files) if settings is None else granted_packs(files, settings)
-        hits = join_per_repo(hits, present, ["path"]).filter(F.arrays_overlap(granted, F.col("packs"))).drop("packs")
+        hits = join_per_repo(hits, present, ["path"]).filter(is_file | F.arrays_overlap(granted, F.col("packs"))).drop("packs")
     if settings is not None:
-        hits = allowed_hits(hits, settings, active, SECURITY)
+        hits = allowed_hits(hits.filter(~is_file), settings, active, SECURITY).unionByName(hits.filter(is_file))
     return hits.drop("rule_packs")
 
 
@@ -97,9 +117,13 @@ def built_in_findings(hits: DataFrame, blame_lines: DataFrame, *, stored: bool =
 
 def merge_secret_feed(findings: DataFrame, feed: DataFrame) -> DataFrame:
     """Add a secret feed; it replaces built-in secrets on the same line, nothing else."""
+    return without_taken(findings, feed).unionByName(feed, allowMissingColumns=True)
+
+
+def without_taken(findings: DataFrame, feed: DataFrame) -> DataFrame:
+    """Findings without the secrets on lines that the feed names."""
     taken = feed.select("repo_id", "path", "line_no", F.lit(SECRETS).alias("vector")).distinct()
-    kept = findings.join(taken, ["repo_id", "path", "line_no", "vector"], "left_anti")
-    return kept.select(findings.columns).unionByName(feed, allowMissingColumns=True)
+    return findings.join(taken, ["repo_id", "path", "line_no", "vector"], "left_anti").select(findings.columns)
 
 
 def attribute_feed(feed: DataFrame, blame_lines: DataFrame) -> DataFrame:
@@ -116,13 +140,18 @@ def drop_exempt(findings: DataFrame, *, exclude: Sequence[str] = (), disabled: S
     return findings.filter(kept)
 
 
-def client_config_files(files: DataFrame) -> DataFrame:
-    """Paths of files that mention a public client configuration (plain substring search)."""
+def _mentions_client() -> Column:
+    """Whether ``content`` mentions a public client configuration (plain substring search)."""
     lowered = F.lower("content")
     mentioned = F.lit(False)
     for word in CLIENT_CONFIG_WORDS.split("|"):
         mentioned = mentioned | F.contains(lowered, F.lit(word.lower()))
-    return files.filter(mentioned).select("repo_id", "path")
+    return mentioned
+
+
+def client_config_files(files: DataFrame) -> DataFrame:
+    """Paths of files that mention a public client configuration."""
+    return files.filter(_mentions_client()).select("repo_id", "path")
 
 
 def downgrade_client_keys(findings: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -159,21 +188,36 @@ def security_findings(
     semgrep: DataFrame | None = None, rules: Sequence[Rule] = SECURITY_RULES,
     packs: Sequence[str] | None = None, globs: Sequence[str] | None = None, exclude: Sequence[str] = (),
     disabled: Sequence[str] = (), markers: Markers = DEFAULT_MARKERS, store: str | None = None,
+    settings: DataFrame | None = None,
 ) -> DataFrame:
     """All findings of all engines.  Comment markers silence built-in rules only.
 
-    With ``store``, a folder every executor sees, the hits are written there first, and
-    blame is cut down to their lines before it is joined.
+    Texts are read once: hits and mentions of client configurations are written to ``store``, a folder every executor sees (by
+    default one in the shared folder). Everything else starts from these rows, and blame is joined once, for built-in
+    hits and the SAST feed together, cut down to their lines.
     """
-    hits = security_line_hits(
-        files, rules, packs=packs, globs=globs, exclude=exclude, disabled=disabled, markers=markers)
-    if store is not None:
-        hits.write.mode("overwrite").parquet(store)
-        hits = files.sparkSession.read.schema(hits.schema).parquet(store)
-    findings = built_in_findings(hits, blame_lines, stored=store is not None)
+    spark = files.sparkSession
+    store = store or f"{shared_folder(spark)}/security-hits-{uuid.uuid4().hex}"
+    rows = security_scan(
+        files, rules, packs=packs, globs=globs, exclude=exclude, disabled=disabled, markers=markers, settings=settings)
+    rows.write.mode("overwrite").parquet(store)
+    rows = spark.read.schema(rows.schema).parquet(store)
+    mentions = rows.filter(F.col("rule_id") == FILE_ROW).select("repo_id", "path", F.lit(True).alias("mentioned"))
+    lines = rows.filter(F.col("rule_id") != FILE_ROW).withColumn("source", F.lit(BUILT_IN))
     if gitleaks is not None:
-        findings = merge_secret_feed(findings, gitleaks)
+        lines = without_taken(lines, gitleaks)
     if semgrep is not None:
-        findings = findings.unionByName(attribute_feed(semgrep, blame_lines), allowMissingColumns=True)
+        lines = lines.unionByName(semgrep.drop("author_name", "author_email"), allowMissingColumns=True)
+    findings = attribute_hits(lines, blame_lines, stored=True).withColumn(
+        "author_email", F.when(F.col("source") == BUILT_IN, F.coalesce("author_email", F.lit(""))).otherwise(""))
+    if gitleaks is not None:
+        findings = findings.unionByName(gitleaks, allowMissingColumns=True)
     findings = drop_exempt(findings, exclude=exclude, disabled=disabled)
-    return downgrade_client_keys(findings, files if gitleaks is not None else None).select(*FINDING_COLUMNS)
+    if settings is not None:
+        findings = drop_exempt_by_repo(findings, settings)
+    if gitleaks is not None:  # else a feed's keys are left as they are, as no key of its own was asked for
+        asked = F.when(F.col("vector") == SECRETS, F.col("path"))
+        findings = findings.withColumn("asked", asked).join(
+            mentions.withColumnRenamed("path", "asked"), ["repo_id", "asked"], "left").withColumn(
+            "client_text", F.coalesce("client_text", "mentioned", F.lit(False))).drop("asked", "mentioned")
+    return downgrade_client_keys(findings).select(*FINDING_COLUMNS)

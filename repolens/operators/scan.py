@@ -50,12 +50,16 @@ def listed_files(
     globs: Sequence[str] | None = None, exclude: Sequence[str] = (),
 ) -> DataFrame:
     """Files a scan looks at: in a pack's globs, not generated, not excluded by the user."""
+    return files.filter(is_listed(family, packs=packs, globs=globs, exclude=exclude))
+
+
+def is_listed(
+    family: str, *, packs: Sequence[str] | None = None, globs: Sequence[str] | None = None, exclude: Sequence[str] = (),
+) -> Column:
+    """Whether a scan looks at the row's ``path``."""
     wanted = globs if globs is not None else [g for gs in pack_globs(family, packs).values() for g in gs]
-    return files.filter(
-        path_matches(F.col("path"), wanted, folders=False)
-        & ~is_generated(F.col("path"))
-        & ~path_matches(F.col("path"), exclude)
-    )
+    path = F.col("path")
+    return path_matches(path, wanted, folders=False) & ~is_generated(path) & ~path_matches(path, exclude)
 
 
 def is_minified(content: Column) -> Column:
@@ -66,7 +70,12 @@ def is_minified(content: Column) -> Column:
 
 def readable_files(listed: DataFrame) -> DataFrame:
     """Drop unreadable and minified files."""
-    return listed.filter(F.col("content").isNotNull() & ~is_minified(F.col("content")))
+    return listed.filter(is_readable())
+
+
+def is_readable() -> Column:
+    """Whether the row's ``content`` is there and written by hand."""
+    return F.col("content").isNotNull() & ~is_minified(F.col("content"))
 
 
 def file_packs(path: Column, family: str) -> Column:

@@ -72,6 +72,13 @@ def drop_disabled(rows: DataFrame, settings: DataFrame, rule_id: str) -> DataFra
     return join_per_repo(rows, off, ["path"], "left").filter("_off IS NULL").drop("_off")
 
 
+def drop_exempt(findings: DataFrame, settings: DataFrame) -> DataFrame:
+    """Findings of any source without those on paths or of rules that their repository leaves out."""
+    own = settings.select("repo_id", globs_column_to_regex(F.col("exclude")).alias("_exclude"), F.col("disabled").alias("_disabled"))
+    off = _excluded() | F.coalesce(F.array_contains("_disabled", F.col("rule_id")), F.lit(False))
+    return join_per_repo(findings, own, ["path", "line_no"], "left").filter(~off).drop("_exclude", "_disabled")
+
+
 def repo_months(settings: DataFrame, through: date | str) -> DataFrame:
     """``(repo_id, commit_month, since)``: the months from each repository's start to that of ``through``."""
     last = F.to_date(F.lit(str(through)[:7] + "-01"))

@@ -44,6 +44,7 @@ def smell_scan(
     files: DataFrame, blame_lines: DataFrame, *, rules: Sequence[Rule] = SMELL_RULES,
     packs: Sequence[str] | None = None, globs: Sequence[str] | None = None, exclude: Sequence[str] = (),
     disabled: Sequence[str] = (), markers: Markers = DEFAULT_MARKERS, store: str | None = None,
+    settings: DataFrame | None = None,
 ) -> SmellScan:
     """Scan, attribute and score.  With ``globs`` every rule runs on exactly the files these name.
 
@@ -52,8 +53,10 @@ def smell_scan(
 
     With ``store``, a folder every executor sees, texts are read exactly once: hits and
     line counts are written there and everything else starts from them.  Without it each
-    result reads the texts it needs when it runs.
+    result reads the texts it needs when it runs.  ``settings`` of each repository decide about the stored hits, so they need a store.
     """
+    if settings is not None and store is None:
+        raise ValueError("settings of each repository need a store")
     active = select_rules(rules, disabled=disabled, packs=packs)
     readable = readable_files(listed_files(files, SMELL, packs=packs, globs=globs, exclude=exclude))
     rows = scan_rules(
@@ -65,32 +68,18 @@ def smell_scan(
     else:
         rows.write.mode("overwrite").parquet(store)
         rows = files.sparkSession.read.schema(rows.schema).parquet(store)
+        if settings is not None:
+            rows = allowed_hits(rows, settings, active, SMELL)
         hits, facts = rows.filter(F.col("rule_id") != FILE_ROW), facts_from_rows(rows)
     large = None if LARGE_RULE_ID in disabled else large_files(facts)
+    if settings is not None and large is not None:
+        large = drop_disabled(large, settings, LARGE_RULE_ID)
     by_file = blame_by_file(blame_lines)
     counts = smell_counts(hits, blame_lines, large, by_file, stored=store is not None)
     owned = lines_owned(by_file, facts)
     return SmellScan(hits, counts, owned, code_grades(counts, owned, rules))
 
 
-def smell_scan_by_repo(
-    files: DataFrame, blame_lines: DataFrame, settings: DataFrame, store: str, *, rules: Sequence[Rule] = SMELL_RULES,
-    markers: Markers = DEFAULT_MARKERS,
-) -> SmellScan:
-    """:func:`smell_scan` of many repositories, each with its own excluded paths, disabled rules and language.
-
-    Texts are read once, by all rules; what they leave in ``store`` meets the settings.
-    """
-    found = scan_rules(readable_files(listed_files(files, SMELL)), rules, markers=markers, file_rows=True).drop("line", "previous")
-    found.write.mode("overwrite").parquet(store)
-    rows = allowed_hits(files.sparkSession.read.schema(found.schema).parquet(store), settings, rules, SMELL)
-    hits, facts = rows.filter(F.col("rule_id") != FILE_ROW), facts_from_rows(rows)
-    by_file = blame_by_file(blame_lines)
-    counts = smell_counts(hits, blame_lines, drop_disabled(large_files(facts), settings, LARGE_RULE_ID), by_file, stored=True)
-    owned = lines_owned(by_file, facts)
-    return SmellScan(hits, counts, owned, code_grades(counts, owned, rules))
-
-
 def author_report(
     commits: DataFrame, commit_files: DataFrame, roster: DataFrame, files: DataFrame | None = None,
     blame_lines: DataFrame | None = None, *, since: date | str | None = None, exclude: Sequence[str] = (),
@@ -141,7 +130,11 @@ def author_cards(roster: DataFrame, metrics: DataFrame, churn: DataFrame, grades
 
 def matrix_people(commits: DataFrame, roster: DataFrame, *, since: date | str | None = None) -> DataFrame:
     """The visible authors with commits, one row each."""
-    active = active_authors(author_metrics(commits, since)).select("repo_id", "email")
+    return people_of_matrix(author_metrics(commits, since), roster)
+
+
+def people_of_matrix(metrics: DataFrame, roster: DataFrame) -> DataFrame:
+    active = active_authors(metrics).select("repo_id", "email")
     cards = visible_authors(dedupe_roster(roster)).join(active, ["repo_id", "email"], "left_semi")
     return cards.withColumn("short", F.coalesce(F.nullif("short", F.lit("")), "name"))
 

@@ -23,6 +23,7 @@ from repolens.functions.commits import (
     percentage,
 )
 from repolens.functions.suppression import DEFAULT_MARKERS, Markers
+from repolens.operators.attribution import attribute_hits
 from repolens.operators.findings import security_line_hits
 from repolens.rules import SECURITY_RULES, Rule
 from repolens.sources.snapshots import write_snapshot
@@ -61,28 +62,38 @@ def monthly_metrics(stream: DataFrame) -> DataFrame:
         F.max(activity_key(F.col("commit_ts"), F.col("author_date"))).alias("latest"))
 
 
-def _write_batch(folder: str) -> Callable[[DataFrame, int], None]:
+def _merge_batch(folder: str) -> Callable[[DataFrame, int], None]:
+    """Writes each batch's totals as a whole new generation, over the one before the last.
+
+    A batch updates the months of its own keys and carries all others over, so the folder holds two generations however long the stream
+    runs. A batch that runs again starts from the same generation and writes the same rows; until its write commits, readers see the last one.
+    """
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(folder)
+        spark = batch.sparkSession
+        rows = batch
+        if batch_id:
+            before = spark.read.schema(batch.schema).parquet(f"{folder}/generation={(batch_id - 1) % 2}")
+            rows = before.join(batch.select(*KEY), list(KEY), "left_anti").select(batch.columns).unionByName(batch)
+        rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{folder}/generation={batch_id % 2}")
 
     return write
 
 
-def stream_author_metrics(commits: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep author totals up to date; read them with ``current_metrics``."""
+def stream_author_metrics(commits: DataFrame, folder: str, checkpoint: str, *, within: str | None = None, **trigger) -> StreamingQuery:
+    """Keep author totals up to date; read them with ``current_metrics``. ``within`` bounds the state of :func:`distinct_commits`."""
     return (
-        monthly_metrics(distinct_commits(commits)).writeStream.outputMode("update")
+        monthly_metrics(distinct_commits(commits, within=within)).writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(_write_batch(folder)).start()
+        .foreachBatch(_merge_batch(folder)).start()
     )
 
 
 def current_months(spark: SparkSession, folder: str) -> DataFrame:
-    """Newest version of every author month."""
-    rows = spark.read.parquet(folder)
-    values = [c for c in rows.columns if c not in (*KEY, "batch_id")]
-    return rows.groupBy(*KEY).agg(F.max_by(F.struct(*values), F.col("batch_id")).alias("v")).select(*KEY, "v.*")
+    """The newest generation of all author months."""
+    rows = spark.read.parquet(folder).drop("generation")
+    newest = rows.agg(F.max("batch_id")).first()[0]
+    return rows.filter(F.col("batch_id") == F.lit(newest)).drop("batch_id")
 
 
 def current_metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,13 +109,16 @@ def current_metrics(spark: SparkSession, folder: str) -> DataFrame:
 def stream_findings(
     files: DataFrame, folder: str, checkpoint: str, *, rules: Sequence[Rule] = SECURITY_RULES,
     packs: Sequence[str], exclude: Sequence[str] = (), disabled: Sequence[str] = (),
-    markers: Markers = DEFAULT_MARKERS, **trigger,
+    markers: Markers = DEFAULT_MARKERS, blame_lines: DataFrame | None = None, **trigger,
 ) -> StreamingQuery:
     """Scan new files as they arrive (stateless, append).
 
-    A stream does not know all files of a repository, so the packs are named.
+    A stream does not know all files of a repository, so the packs are named. With ``blame_lines``, a table, each finding has the
+    owner of its line as of the batch that finds it: the table is read anew for every batch.
     """
     hits = security_line_hits(files, rules, packs=packs, exclude=exclude, disabled=disabled, markers=markers)
+    if blame_lines is not None:
+        hits = attribute_hits(hits, blame_lines)
     return (
         hits.drop("client_text").writeStream.outputMode("append").format("parquet").option("path", folder)
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
@@ -112,13 +126,13 @@ def stream_findings(
 
 
 def stream_snapshots(
-    commits: DataFrame, totals: str, snapshots: str, checkpoint: str, **trigger,
+    commits: DataFrame, totals: str, snapshots: str, checkpoint: str, *, within: str | None = None, **trigger,
 ) -> StreamingQuery:
     """After every batch, store the changed totals and a snapshot of all authors so far.
 
     Lines are not part of a commit feed; their totals are 0 here.
     """
-    save_totals = _write_batch(totals)
+    save_totals = _merge_batch(totals)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         save_totals(batch, batch_id)
@@ -131,7 +145,7 @@ def stream_snapshots(
         write_snapshot(rows, snapshots, build=f"batch-{batch_id:012d}")
 
     return (
-        monthly_metrics(distinct_commits(commits)).writeStream.outputMode("update")
+        monthly_metrics(distinct_commits(commits, within=within)).writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
         .foreachBatch(write).start()
     )

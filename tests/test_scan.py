@@ -178,8 +178,9 @@ def test_matrix_shapes(spark, tree):
     people = spark.createDataFrame([("r", "alice@ex.com", "Al"), ("r", "bob@ex.com", "Bo")], "repo_id STRING, email STRING, short STRING")
     matrix = issue_matrix(smell_scan(files, blame).counts, people)
     assert matrix.count() == 44
-    row = matrix_by_author(matrix, ["Al", "Bo"]).filter("rule_id = 'any'").first()
-    assert (row.Al, row.Bo) == (1, 0)
+    places = people.selectExpr("repo_id", "email", "if(short = 'Al', 1, 2) AS place_no")
+    row = matrix_by_author(matrix, places, 2).filter("rule_id = 'any'").first()
+    assert (row.p0, row.p1, row.people) == (1, 0, "Al, Bo")
     assert {r.short: r["any"] for r in matrix_by_rule(matrix).collect()} == {"Al": 1, "Bo": 0}
 
 

@@ -8,7 +8,7 @@ from repolens.functions.paths import globs_column_to_regex, globs_to_regex
 from repolens.operators.commits import author_metrics, churn_by_repo
 from repolens.operators.findings import security_line_hits
 from repolens.operators.settings import allowed_hits, drop_excluded, in_own_period, repo_months
-from repolens.plans.author_report import smell_scan, smell_scan_by_repo
+from repolens.plans.author_report import smell_scan
 from repolens.rules import SMELL, SMELL_RULES
 from repolens.sources.config import merged_settings, read_ignore_files, read_settings
 
@@ -97,7 +97,7 @@ def test_hits_follow_the_settings(spark, tree, tmp_path):
     own = settings(
         spark, ("w", None, ["legacy/"], ["any"], None), ("x", None, [], [], "java"), ("y", None, [], [], "cobol"))
     got = {}
-    for r in smell_scan_by_repo(files, blame, own, str(tmp_path / "scan")).hits.collect():
+    for r in smell_scan(files, blame, settings=own, store=str(tmp_path / "scan")).hits.collect():
         got.setdefault(r["repo_id"], set()).add((r["path"], r["rule_id"]))
     every = {("src/a.ts", k) for k in ("any", "console", "todo")} | {("legacy/b.ts", k) for k in ("any", "console", "todo")} | {
         ("C.java", "todo"), ("C.java", "stacktrace"), ("d.py", "todo")}
@@ -109,7 +109,7 @@ def test_hits_follow_the_settings(spark, tree, tmp_path):
 def test_one_list_for_all_is_the_scan_with_that_list(spark, tree, tmp_path):
     files, blame = tree({"src/a.ts": CODE * 90, "legacy/b.ts": CODE, "C.java": "// TODO\n", "t.html": "<img src='a'>\n"})
     own = settings(spark, ("r", None, ["legacy/**"], ["nonnull", "large"], None))
-    a = smell_scan_by_repo(files, blame, own, str(tmp_path / "own"))
+    a = smell_scan(files, blame, settings=own, store=str(tmp_path / "own"))
     b = smell_scan(files, blame, exclude=["legacy/**"], disabled=["nonnull", "large"])
     for name in "counts", "owned", "grades":
         assert sorted(map(str, getattr(a, name).collect())) == sorted(map(str, getattr(b, name).collect())), name

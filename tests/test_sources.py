@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolens.operators.commits import author_metrics
+from repolens.sources.files import read_file_bytes, readable
 from repolens.sources.config import read_ignore_patterns, read_roster, write_roster
 from repolens.sources.feeds import read_gitleaks_json, read_semgrep_json
 from repolens.sources.git_export import read_blame, read_commit_log, read_files, read_numstat
@@ -153,3 +154,30 @@ def test_commits_by_month(spark, commits, tmp_path):
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "commit_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert stored.count() == 30 and stored.select("commit_month").distinct().count() == 4
+
+
+def test_a_long_stream_keeps_two_generations(spark, commits, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    sizes = []
+    for k in range(10):
+        _rows(commits, 40).coalesce(1).write.mode("append").parquet(source)  # the same commits again and again
+        stream_author_metrics(
+            read_commit_stream(spark, source, files_per_batch=1), out, state).awaitTermination()
+        sizes.append(sum(f.stat().st_size for f in (tmp_path / "out").rglob("*.parquet")))
+    assert max(sizes) <= 2.5 * sizes[0]
+    got = current_metrics(spark, out)
+    want = author_metrics(_rows(commits, 40)).select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_files_that_are_no_text_leave_with_a_reason(spark, tmp_path):
+    texts = {"one/a.py": "x é\n".encode(), "one/bad.py": b"caf\xe9", "two/lib/empty.py": b"\n", "two/big.py": b"y" * 50, "three/nul.py": b"a\x00b"}
+    for name, data in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    rows = read_file_bytes(spark, str(tmp_path), most_bytes=40)
+    assert sorted((r.repo_id, r.path, r.n_bytes, r.content, r.problem) for r in rows.collect() if r.problem is None) == [
+        ("one", "a.py", 5, "x é\n", None), ("three", "nul.py", 3, "a\x00b", None), ("two", "lib/empty.py", 1, "\n", None)]
+    assert sorted((r.repo_id, r.path, r.n_bytes, r.content, r.problem) for r in rows.collect() if r.problem) == [
+        ("one", "bad.py", 4, None, "not UTF-8"), ("two", "big.py", 50, None, "too large")]
+    assert readable(rows).columns == ["repo_id", "path", "content"] and readable(rows).count() == 3

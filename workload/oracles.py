@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from repolens.rules import SECURITY_RULES, SMELL_RULES
-from workload.staging import DISABLED, PERIOD_START, SHARED_SQL, SNAPSHOT_DATE
+from workload.staging import DISABLED, NOT_A_TEXT, PERIOD_START, SHARED_SQL, SNAPSHOT_DATE
 
 CTES: dict[str, str] = {name: text.strip() for name, text in SHARED_SQL.items()}
 
@@ -456,7 +456,8 @@ select m.repo_id, m.email, m.commits, s.commits as previous_commits, m.commits -
  case when r.git_grade <> '' then r.git_grade else derived_git_grade || '*' end || '/' || case when r.code_grade <> '' then r.code_grade else '—' end as grades
 from metrics m join people_clean r using (repo_id, email) left join snapshots s using (repo_id, email) join git_grades using (repo_id, email)""",
     "stream_author_metrics": "select * from metrics",
-    "stream_findings": "select repo_id, path, rule_id, line_no, snippet, severity, vector from sec_hits_all_packs",
+    "stream_findings": "select h.repo_id, h.path, rule_id, h.line_no, snippet, severity, vector, coalesce(b.author_name, 'unknown') as author_name, b.author_email "
+    "from sec_hits_all_packs h left join blame_lines b using (repo_id, path, line_no)",
     "stream_snapshots": "select repo_id, email, commits, last_active, max(last_active) over (partition by repo_id) as compiled_date from metrics",
 }
 BODIES["disabled_rules"] = (
@@ -472,14 +473,14 @@ CTES["whole_hits"] = (
 
 PLACES = ", ".join(f"cast(sum(n) filter (place % 10 = {i}) as bigint) as p{i}" for i in range(10))
 CELL_SHADE = fixed("least(0.06::double + n / 55 * 0.7::double, 0.7::double)", 2)
-CTES["placed"] = """
+CTES["seated"] = """
 select *, cast(dense_rank() over (partition by repo_id order by short, email) - 1 as int) as place from matrix"""
 CTES["sheet_people"] = """
 select repo_id, place // 10 as sheet, string_agg(short, ', ' order by place) as people
-from (select distinct repo_id, place, short from placed) group by all"""
+from (select distinct repo_id, place, short from seated) group by all"""
 BODIES["issue_matrix_by_author"] = f"""
 select m.repo_id, cast(sheet as int) as sheet, rule_id, label, any_value(people) as people, {PLACES}
-from placed m join sheet_people s on s.repo_id = m.repo_id and s.sheet = m.place // 10 group by m.repo_id, sheet, rule_id, label"""
+from seated m join sheet_people s on s.repo_id = m.repo_id and s.sheet = m.place // 10 group by m.repo_id, sheet, rule_id, label"""
 BODIES["issue_matrix_override"] = f"""
 select repo_id, label, short, cast(n as string) as cell, case when n > 0 then cast({CELL_SHADE} as double) end as intensity
 from matrix where repo_id <> 'r0'
@@ -509,6 +510,10 @@ CTES["own_large"] = "select * from own_readable where len(string_split(content,
 BODIES["author_report_stored"] = BODIES["author_report"]
 BODIES["security_findings_stored"] = BODIES["security_findings"]
 
+BODIES["src_files"] = f"""
+select repo_id, path, octet_length(encode(content)) as n_bytes, sha256(content) as sha256, null as problem from files
+union all select repo_id, '{NOT_A_TEXT}', 6, null, 'not UTF-8' from repo_ids"""
+
 # --- settings of each repository: the globs' patterns are written out by hand -------------------------
 
 CTES["own_settings"] = """
@@ -565,11 +570,20 @@ def own_presence(rule) -> str:
     return f"({named} or {unnamed})".replace("select repo_id from repo_languages where language", "select x.repo_id from repo_languages x where x.language")
 
 
-BODIES["settings_security_hits"] = " union all ".join(
-    f"select l.repo_id, path, '{r.rule_id}' as rule_id, line_no, '{r.severity}' as severity from whole_sec_lines l join own_settings s on s.repo_id = l.repo_id "
+CTES["own_sec_hits"] = " union all ".join(
+    f"select l.repo_id, path, '{r.rule_id}' as rule_id, line_no, {SNIPPET} as snippet, '{r.severity}' as severity, '{r.vector}' as vector, "
+    f"{lit(r.fix)} as fix, {str(r.review).lower()} as review, {i} as rule_position from whole_sec_lines l join own_settings s on s.repo_id = l.repo_id "
     f"and not regexp_matches({NORMAL_PATH}, excluded) and not list_contains(disabled, '{r.rule_id}') "
     f"where {line_test(r)} and {path_test(r, SECURITY_PATHS)} and {QUIET} and not {SAMPLE.format('line')} and {own_presence(r)}"
-    for r in SECURITY_RULES)
+    for i, r in enumerate(SECURITY_RULES))
+BODIES["settings_security_hits"] = "select repo_id, path, rule_id, line_no, severity from own_sec_hits"
+CTES["own_built_in"] = CTES["built_in"].replace("from sec_hits", "from own_sec_hits")
+CTES["own_merged"] = CTES["merged"].replace("from built_in", "from own_built_in")
+CTES["own_all"] = CTES["all_findings"].replace("select * from (", "select f.* from (").replace("select * from merged", "select * from own_merged").replace(
+    f"where not regexp_matches({NORMAL_PATH}, {lit(EXCLUDED)}) and",
+    f"f join own_settings s on s.repo_id = f.repo_id where not regexp_matches({NORMAL_PATH}, excluded) and not list_contains(disabled, rule_id) and")
+CTES["own_findings"] = CTES["findings"].replace("from all_findings", "from own_all")
+BODIES["settings_findings"] = "select repo_id, path, rule_id, line_no, severity, source from own_findings"
 
 # --- own block rules, run-length blame -------------------------------------------------------------
 

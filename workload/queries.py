@@ -22,9 +22,10 @@ from repolens.rules import LARGE_RULE_ID, PACKS, SECURITY, SECURITY_RULES, SMELL
 from repolens.session import shared_folder
 from repolens.sources import feeds, git_export
 from repolens.sources.config import roster_from_authors
+from repolens.sources.files import read_file_bytes
 from repolens.sources.snapshots import latest_snapshot, read_snapshots
 from repolens.streaming import feeds as streams
-from workload.staging import DISABLED, EXCLUDE, PERIOD_START, Staged
+from workload.staging import DISABLED, EXCLUDE, PERIOD_START, Staged, export_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +70,14 @@ def src_roster(s: Staged) -> DataFrame:
     return s.roster_from_config().drop("badge", "highlight")
 
 
+@query
+def src_files(s: Staged) -> DataFrame:
+    """The texts written as files of several repositories and read back as bytes; each repository has a file that is no text."""
+    folder = _folder(s, "exported-files")
+    export_files(s.files, folder)
+    return read_file_bytes(s.spark, folder).select("repo_id", "path", "n_bytes", F.sha2("content", 256).alias("sha256"), "problem")
+
+
 # --- filters and scalar functions -------------------------------------------
 
 
@@ -551,7 +560,7 @@ def settings_churn(s: Staged) -> DataFrame:
 
 
 def _own_scan(s: Staged) -> reports.SmellScan:
-    return reports.smell_scan_by_repo(s.files, s.blame_lines, s.settings, _folder(s, "own-scan"))
+    return reports.smell_scan(s.files, s.blame_lines, settings=s.settings, store=_folder(s, "own-scan"))
 
 
 @query
@@ -569,6 +578,15 @@ def settings_security_hits(s: Staged) -> DataFrame:
     return findings.security_line_hits(s.files, settings=s.settings).select("repo_id", "path", "rule_id", "line_no", "severity")
 
 
+@query
+def settings_findings(s: Staged) -> DataFrame:
+    """Findings of all engines by the settings of each repository."""
+    found = findings.security_findings(
+        s.files, s.blame_lines, gitleaks=feeds.normalise_gitleaks(s.gitleaks_raw), semgrep=feeds.normalise_semgrep(s.semgrep_raw),
+        settings=s.settings)
+    return found.select("repo_id", "path", "rule_id", "line_no", "severity", "source")
+
+
 # --- own block rules, run-length blame ------------------------------------------------
 
 # Patterns that would run long or deep in a backtracking engine.
@@ -654,8 +672,9 @@ def stream_findings(s: Staged) -> DataFrame:
     s.files.write.parquet(f"{base}/in")
     streams.stream_findings(
         streams.read_file_stream(s.spark, f"{base}/in"), f"{base}/out", f"{base}/state", packs=list(PACKS),
-        exclude=EXCLUDE).awaitTermination()
-    return s.spark.read.parquet(f"{base}/out").select("repo_id", "path", "rule_id", "line_no", "snippet", "severity", "vector")
+        exclude=EXCLUDE, blame_lines=s.blame_lines).awaitTermination()
+    return s.spark.read.parquet(f"{base}/out").select(
+        "repo_id", "path", "rule_id", "line_no", "snippet", "severity", "vector", "author_name", "author_email")
 
 
 @query

@@ -8,8 +8,11 @@ choose values, they never drop rows.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import cached_property
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,7 @@ SNAPSHOT_DATE = "2000-01-01"
 # What is left out in every repository, beside its own settings.
 EXCLUDE_EVERYWHERE = ["*.snap", "vendor/*"]
 DISABLED_EVERYWHERE = ["ignore"]
+NOT_A_TEXT = "src/not-a-text.py"
 
 SHARED_SQL = {
     "commits": """
@@ -268,3 +272,21 @@ select repo_id, path, array_join(transform(
 
     def roster_from_config(self) -> DataFrame:
         return roster_rows(self.config)
+
+
+def export_files(files: DataFrame, folder: str) -> None:
+    """Each text as a file of its own below its repository's folder, and in each repository one file that is no text."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = (fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder))
+        n = 0
+        for batch in batches:
+            for repo, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for name, data in ((path, content.encode()), (NOT_A_TEXT, b"caf\xe9 \xff")):
+                    store.create_dir(f"{base}/{repo}/{name.rpartition('/')[0]}", recursive=True)
+                    with store.open_output_stream(f"{base}/{repo}/{name}") as out:
+                        out.write(data)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    files.select("repo_id", "path", "content").mapInArrow(write, "n LONG").agg(F.sum("n")).collect()

@@ -1,14 +1,19 @@
 """The queries against DuckDB or brute force on the smallest tables, and the pipeline's stages."""
 
 import collections
+import hashlib
 import html
 import re
 import zlib
 
 import duckdb
 import pytest
+import xxhash
+from test_pii import plain_spans
+from test_quality import plain
 
 import corpus_pipeline
+from repolens.llm.pii import KINDS
 from repolens.llm.queries import ORACLES, QUERIES
 from repolens.llm.tokens import tokenizer_path
 
@@ -19,7 +24,7 @@ TOXIC = re.compile("idiot|clown|moron|pathetic|worthless|loser|scum|trash|stupid
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
-    for name in "documents", "pages", "benchmark", "labels", "conversations":
+    for name in "documents", "pages", "benchmark", "labels", "conversations", "embeddings":
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
@@ -37,12 +42,48 @@ def test_equals_sql(spark, tables, name):
     assert sorted(map(tuple, rows), key=str) == sorted(tables.sql(f"SELECT {listed} FROM ({ORACLES[name]})").fetchall(), key=str)
 
 
-@pytest.mark.parametrize("name", ["op1_chat", "op6_quality"])
+@pytest.mark.parametrize("name", ["op1_chat", "op2_licenses", "op6_quality", "op8_pii"])
 def test_native_queries_run_no_python(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|InArrow|CartesianProduct|BroadcastNestedLoopJoin", plan)
 
 
+def test_base_spans_of_the_whole_table(spark, texts):
+    rows = QUERIES["op8_pii"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        spans = plain_spans(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in KINDS] == [sum(s[0] == k for s in spans) for k in KINDS], r["doc_id"]
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and r["spans"].startswith(joined)
+
+
+def test_base_rules_of_the_whole_table(spark, texts):
+    names = "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
+    rows = QUERIES["op6_quality"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert tuple(r[n] for n in names) == plain(texts[r["doc_id"]]) and not (r["kept"] and r["base_failed"])
+
+
+def test_fingerprints_and_components_of_the_whole_table(spark, texts):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    prints = {}
+    for d, text in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", text.translate(lower))
+        shingles = [" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+        prints[d] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    least = {d: d for d in prints}
+    while True:
+        new = {d: min(least[e] for e in prints if (prints[d] ^ prints[e]).bit_count() <= 3) for d in prints}
+        if new == least:
+            break
+        least = new
+    found = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in QUERIES["op3_simhash"](spark, SF).collect()}
+    assert found == {d: (f"{p:016x}", least[d]) for d, p in prints.items()}
+
+
 def library_ids(texts):
     from tokenizers import Tokenizer
 

@@ -3,8 +3,9 @@
 Each page becomes a stream of block tags and text slots, in which repeated groups are folded. The distinct
 streams of a host are aligned one after another: what matches stays, a mismatch becomes an optional group, or a
 repeated one where it repeats what stands before it. The result is a union-free regular expression, the host's
-wrapper. Its text slots are judged by the elements around them and by how constant their texts are, and each page
-gives the texts of the slots that hold the article.
+wrapper. Each page is matched against the wrapper of its host, which numbers its texts by their place in it: two
+slots below equal elements stay two. A place inside the article holds the article; on hosts without such an element
+all other places do, but for texts that are constant at their place.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +47,12 @@ ARTICLE = ("article", "main")
 
 #: Elements are left out by their names only while these leave out no larger share of a page's text.
 MOST = 0.8
-#: A text that at least so many distinct pages of a host have in a slot, and this share of them, is the host's, not a page's.
+#: A text that at least so many distinct pages of a host have at a place, and this share of those with the place, is the host's.
 CONSTANT_PAGES, CONSTANT_SHARE = 10, 0.5
-#: Alignments of longer streams than this many pairs of tokens keep their ends only.
-MAX_PAIRS = 1_000_000
-#: Distinct streams of a host are aligned in groups by hash first, and then the groups' wrappers.
-SALTS = 16
-LONGEST_GROUP = 12
+#: Distinct streams of a host are aligned in groups of about so many by hash, then these groups' wrappers, until one is left.
+GROUP = 32
+#: Streams of up to so many characters, and how many of them, whose folded form and places a worker keeps.
+KEPT_CHARS, KEPT = 4_000, 4_096
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -60,7 +64,8 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*
 _NAME_PART = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.IGNORECASE)
 
-PAGE = "page_id LONG, url STRING, host STRING, stream STRING, blocks ARRAY<STRUCT<path: STRING, text: STRING>>"
+PAGE = "page_id LONG, url STRING, host STRING, stream STRING, texts ARRAY<STRING>"
+SLOT, IN_ARTICLE, LEFT_OUT = "#", "#a", "#!"  # a text: plain, in an article or main element, in a left-out element
 MARK = "!"  # before an element whose texts are not the article's
 NAMED = "~"  # the same by its class or id only, while a page is read
 
@@ -120,14 +125,13 @@ def _settled(stream: list[str], blocks: list[tuple[str, str]]) -> tuple[list[str
     def path(p: str) -> str:
         return "/".join(map(step, p.split("/"))) if NAMED in p else p
 
-    return [
-        "#/" + path(s[2:]) if s.startswith("#/") else step(s) for s in stream], [(path(p), text) for p, text in blocks]
+    return list(map(step, stream)), [(path(p), text) for p, text in blocks]
 
 
 def parsed(page: str | None) -> tuple[list[str], list[tuple[str, str]]]:
     """``(stream, blocks)`` of a page: tags and slots, and the text of each block with its path.
 
-    A slot is ``#/`` and its path, so that only slots of one path are aligned and each path of a wrapper is a page's.
+    A slot says no more than its role (:data:`SLOT` and the like): what tells slots apart is their place among the tags.
     """
     stream: list[str] = []
     blocks: list[tuple[str, str]] = []
@@ -139,7 +143,7 @@ def parsed(page: str | None) -> tuple[list[str], list[tuple[str, str]]]:
         words.clear()
         if text:
             path = "/".join(step for _, step in stack)
-            stream.append("#/" + path)
+            stream.append(SLOT)
             blocks.append((path, text))
 
     def pop(k: int) -> None:
@@ -182,55 +186,89 @@ def parsed(page: str | None) -> tuple[list[str], list[tuple[str, str]]]:
         if block:
             stream.append(step)
     end_block()
-    return _settled(stream, blocks) if any(NAMED in path for path, _ in blocks) or any(
-        s.startswith(NAMED) for s in stream) else (stream, blocks)
+    if any(NAMED in path for path, _ in blocks) or any(s.startswith(NAMED) for s in stream):
+        stream, blocks = _settled(stream, blocks)
+    roles = iter([_role(path) for path, _ in blocks])
+    return [next(roles) if s == SLOT else s for s in stream], blocks
+
+
+def _role(path: str) -> str:
+    steps = path.split("/")
+    if any(s.startswith(MARK) for s in steps):
+        return LEFT_OUT
+    return IN_ARTICLE if any(s.split(".")[0] in ARTICLE for s in steps) else SLOT
 
 
 # A wrapper is a list of tokens (strings), ["+", nodes] for a repeated group and ["?", nodes] for an optional one.
 
 
+def _codes(nodes: list) -> np.ndarray:
+    """A number for each node, equal for equal nodes."""
+    seen: dict[str, int] = {}
+    return np.array([seen.setdefault(json.dumps(n), len(seen)) for n in nodes], np.int64)
+
+
+def _repeats_at(codes: np.ndarray, size: int) -> bool:
+    """Whether some group of ``size`` nodes stands beside its copy."""
+    same = np.flatnonzero(codes[size:] != codes[:-size])
+    return bool(np.diff(same, prepend=-1, append=len(codes) - size).max() > size)
+
+
 def folded(nodes: list) -> list:
     """Adjacent equal groups as one repeated group, shortest groups first, until nothing changes."""
     changed = True
     while changed:
         changed = False
-        for size in range(1, LONGEST_GROUP + 1):
-            out: list = []
-            i = 0
-            while i < len(nodes):
-                group = nodes[i : i + size]
-                j = i + size
-                while len(group) == size and nodes[j : j + size] == group:
-                    j += size
-                if j > i + size:
-                    out.append(group[0] if size == 1 and isinstance(group[0], list) else ["+", group])
-                    changed = True
-                    i = j
-                else:
-                    out.append(nodes[i])
-                    i += 1
-            nodes = out
-        out = []
-        for node in nodes:  # a group beside its own repetition belongs to it
-            out.append(node)
-            while len(out) > 1:
-                if isinstance(out[-1], list) and out[-1][0] == "+":
-                    inner = out[-1][1]
-                    k = len(inner)
-                    if out[-1 - k : -1] == inner:
-                        del out[-1 - k : -1]
-                        changed = True
-                        continue
-                plus = next((p for p in range(max(0, len(out) - 1 - LONGEST_GROUP), len(out) - 1)
-                             if isinstance(out[p], list) and out[p][0] == "+" and out[p][1] == out[p + 1 :]), None)
-                if plus is None:
-                    break
-                del out[plus + 1 :]
-                changed = True
-        nodes = out
+        codes, size = _codes(nodes), 1
+        while 2 * size <= len(nodes):
+            if _repeats_at(codes, size):
+                nodes, changed = _folded_by(nodes, size), True
+                codes = _codes(nodes)
+            size += 1
+        beside = _absorbed(nodes)
+        changed |= len(beside) < len(nodes)
+        nodes = beside
     return nodes
 
 
+def _folded_by(nodes: list, size: int) -> list:
+    out: list = []
+    i = 0
+    while i < len(nodes):
+        group = nodes[i : i + size]
+        j = i + size
+        while len(group) == size and nodes[j : j + size] == group:
+            j += size
+        out.append(_repeated(group) if j > i + size else nodes[i])
+        i = j if j > i + size else i + 1
+    return out
+
+
+def _repeated(group: list) -> list:
+    """One or more of the group."""
+    if len(group) == 1 and isinstance(group[0], list):
+        sign, inner = group[0]
+        return group[0] if sign == "+" else ["?", [_repeated(inner)]]
+    return ["+", group]
+
+
+def _absorbed(nodes: list) -> list:
+    """Without the plain groups that stand beside their own repetition."""
+    out: list = []
+    i = 0
+    while i < len(nodes):
+        node = nodes[i]
+        i += 1
+        if isinstance(node, list) and node[0] == "+":
+            inner = node[1]
+            while out[-len(inner) :] == inner:
+                del out[-len(inner) :]
+            while nodes[i : i + len(inner)] == inner:
+                i += len(inner)
+        out.append(node)
+    return out
+
+
 def _all_nodes(nodes: list) -> Iterator[list]:
     for node in nodes:
         if isinstance(node, list):
@@ -242,18 +280,20 @@ def _core(node) -> list:
     return _core(node[1][0]) if isinstance(node, list) and len(node[1]) == 1 else (node[1] if isinstance(node, list) else [node])
 
 
+def _signs(node) -> set[str]:
+    """The signs around a node's core."""
+    if not isinstance(node, list):
+        return set()
+    return {node[0]} | (_signs(node[1][0]) if len(node[1]) == 1 else set())
+
+
 def _unified(a, b):
-    """One node for two that match, or None."""
-    if a == b:
-        return a
-    if not (isinstance(a, list) or isinstance(b, list)) or _core(a) != _core(b):
-        return None
-    signs = {x[0] for x in (a, b) if isinstance(x, list)} | {
-        x[1][0][0] for x in (a, b) if isinstance(x, list) and len(x[1]) == 1 and isinstance(x[1][0], list)}
+    """One node for two of the same core."""
+    signs = _signs(a) | _signs(b)
     node = ["+", _core(a)] if "+" in signs else None
     if "?" in signs:
         return ["?", [node] if node else _core(a)]
-    return node
+    return node or a
 
 
 def _optional(nodes: list) -> list:
@@ -282,41 +322,63 @@ def aligned(a: list, b: list) -> list:
     groups = {json.dumps(n[1]): n[1] for n in _all_nodes(a + b) if n[0] == "+"}
     longest_first = sorted(groups.values(), key=lambda g: (-len(g), json.dumps(g)))
     a, b = _repeats(a, longest_first), _repeats(b, longest_first)
+    keys_a, keys_b = [json.dumps(_core(n)) for n in a], [json.dumps(_core(n)) for n in b]
+    out: list = []
+    i = j = 0
+    for p, q in [*_common(keys_a, keys_b), (len(a), len(b))]:
+        out += _optional(a[i:p]) + _optional(b[j:q])
+        if p < len(a):
+            out.append(_unified(a[p], b[q]))
+        i, j = p + 1, q + 1
+    return folded(out)
+
+
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence; equal ends are matched first.
+
+    A row of the table of lengths is one integer, whose bit ``j`` is 0 where the length grows at ``b[j]``: long streams
+    take a machine word for 64 cells. Every ``sqrt(n)``-th row is kept, the ones between are computed again on the way back.
+    """
     head = 0
-    while head < min(len(a), len(b)) and _unified(a[head], b[head]) is not None:
+    while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
     tail = 0
-    while tail < min(len(a), len(b)) - head and _unified(a[-1 - tail], b[-1 - tail]) is not None:
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    out = [_unified(p, q) for p, q in zip(a[:head], b[:head], strict=True)]
-    if len(x) * len(y) > MAX_PAIRS:
-        out += _optional(x) + _optional(y)
-    else:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = max(
-                    best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if _unified(x[i], y[j]) is not None else 0)
-        i = j = 0
-        only_x: list = []
-        only_y: list = []
-        while i < len(x) or j < len(y):
-            both = _unified(x[i], y[j]) if i < len(x) and j < len(y) else None
-            if both is not None and best[i][j] == best[i + 1][j + 1] + 1:
-                out += _optional(only_x) + _optional(only_y) + [both]
-                only_x, only_y = [], []
-                i, j = i + 1, j + 1
-            elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-                only_x.append(x[i])
-                i += 1
-            else:
-                only_y.append(y[j])
-                j += 1
-        out += _optional(only_x) + _optional(only_y)
-    if tail:
-        out += [_unified(p, q) for p, q in zip(a[-tail:], b[-tail:], strict=True)]
-    return folded(out)
+    where: dict[str, int] = {}
+    for j, key in enumerate(y):
+        where[key] = where.get(key, 0) | 1 << j
+    whole = (1 << len(y)) - 1
+
+    def next_row(row: int, key: str) -> int:
+        hit = row & where.get(key, 0)
+        return (row + hit | row - hit) & whole
+
+    step = isqrt(len(x)) + 1
+    kept, row = [whole], whole
+    for i, key in enumerate(x, 1):
+        row = next_row(row, key)
+        if i % step == 0:
+            kept.append(row)
+    found: list[tuple[int, int]] = []
+    i, j, block, rows = len(x), len(y), -1, [whole]
+    while i and j:
+        if (i - 1) // step != block:
+            block = (i - 1) // step
+            rows = [kept[block]]
+            for key in x[block * step : (block + 1) * step]:
+                rows.append(next_row(rows[-1], key))
+        here = i - block * step
+        if rows[here] >> j - 1 & 1:
+            j -= 1
+        else:
+            i -= 1
+            if rows[here - 1] >> j - 1 & 1:
+                j -= 1
+                found.append((head + i, head + j))
+    ends = [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    return [(k, k) for k in range(head)] + found[::-1] + ends
 
 
 def wrapper_of(streams: list[list]) -> list:
@@ -328,119 +390,210 @@ def wrapper_of(streams: list[list]) -> list:
     return wrapper
 
 
+def program(wrapper: list) -> list[tuple]:
+    """The wrapper as steps: ``(token, place)``, place -1 for tags, or ``(None, first, second)`` for the steps to try next."""
+    steps: list[tuple] = []
+    places = 0
+
+    def add(nodes: list) -> None:
+        nonlocal places
+        for node in nodes:
+            at = len(steps)
+            if isinstance(node, str):
+                is_slot = node in (SLOT, IN_ARTICLE, LEFT_OUT)
+                steps.append((node, places if is_slot else -1))
+                places += is_slot
+            elif node[0] == "?":
+                steps.append(())
+                add(node[1])
+                steps[at] = (None, at + 1, len(steps))
+            else:
+                add(node[1])
+                steps.append((None, at, len(steps) + 1))
+
+    add(wrapper)
+    return steps
+
+
 def slots(wrapper: list) -> list[str]:
-    """The distinct paths of the text slots of a wrapper, in order.
+    """The role of each text slot of a wrapper, by place."""
+    return [step[0] for step in program(wrapper) if step[0] is not None and step[1] >= 0]
+
 
-    A plain ``#`` lies where the tags before it say. That holds only without optional groups of unbalanced tags.
+def places(steps: list[tuple], stream: list[str]) -> list[int] | None:
+    """The place in the wrapper of each text of a stream, or None where the wrapper doesn't take the stream in.
+
+    All ways through the wrapper go on side by side, at most one at each step, so the time is at most the product of the
+    lengths. Of several ways the one stays that takes optional and repeated groups as early and as often as it can.
     """
-    found: dict[str, None] = {}
 
-    def walk(nodes: list, stack: list[str]) -> list[str]:
-        for node in nodes:
-            if isinstance(node, list):
-                stack = walk(node[1], stack)
-            elif node == "#":
-                found["/".join(stack)] = None
-            elif node.startswith("#/"):
-                found[node[2:]] = None
-            elif node.startswith("/"):
-                at = next((k for k in range(len(stack) - 1, -1, -1) if _tag(stack[k]) == node[1:]), None)
-                stack = stack[:at] if at is not None else stack
+    def spread(at: int, trail, found: list, seen: set) -> None:
+        todo = [at]
+        while todo:
+            k = todo.pop()
+            if k in seen:
+                continue
+            seen.add(k)
+            if k < len(steps) and steps[k][0] is None:
+                todo += [steps[k][2], steps[k][1]]
             else:
-                while stack and _tag(node) in CLOSED_BY.get(_tag(stack[-1]), ()):
-                    stack = stack[:-1]
-                stack = [*stack, node]
-        return stack
+                found.append((k, trail))
+
+    ways: list = []
+    spread(0, None, ways, set())
+    for token in stream:
+        after: list = []
+        seen: set[int] = set()
+        for k, trail in ways:
+            if k < len(steps) and steps[k][0] == token:
+                spread(k + 1, trail if steps[k][1] < 0 else (trail, steps[k][1]), after, seen)
+        ways = after
+    trail = next(((t,) for k, t in ways if k == len(steps)), None)
+    if trail is None:
+        return None
+    trail, out = trail[0], []
+    while trail is not None:
+        trail, place = trail
+        out.append(place)
+    return out[::-1]
 
-    walk(wrapper, [])
-    return list(found)
 
+@lru_cache(64)
+def _program_json(wrapper: str) -> tuple[list[tuple], list[str]]:
+    nodes = json.loads(wrapper)
+    return program(nodes), slots(nodes)
 
-def _tag(step: str) -> str:
-    return step.removeprefix(MARK).split(".")[0]
 
+def _fold_json(stream: str) -> str:
+    return json.dumps(folded(json.loads(stream)))
 
-def _parse_pages(pages: DataFrame) -> DataFrame:
-    fields = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
 
+def _match_json(wrapper: str, stream: str) -> tuple[list[int], list[str]]:
+    steps, roles = _program_json(wrapper)
+    tokens = json.loads(stream)
+    found = places(steps, tokens)
+    if found is None:
+        own = [t for t in tokens if t in (SLOT, IN_ARTICLE, LEFT_OUT)]
+        return [-1] * len(own), own
+    return found, [roles[k] for k in found]
+
+
+# Most pages of a host share a stream: the results of short ones are kept.
+_fold_kept, _match_kept = lru_cache(KEPT)(_fold_json), lru_cache(KEPT)(_match_json)
+
+
+def _folded_json(stream: str) -> str:
+    return (_fold_kept if len(stream) <= KEPT_CHARS else _fold_json)(stream)
+
+
+def _places_json(wrapper: str, stream: str) -> tuple[list[int], list[str]]:
+    """Place and role of each text of a page; place -1 for a page that its wrapper doesn't take in."""
+    return (_match_kept if len(wrapper) + len(stream) <= KEPT_CHARS else _match_json)(wrapper, stream)
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _parse_pages(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts = [m[1].lower() if (m := _HOST.match(u or "")) else "" for u in batch.column(1).to_pylist()]
-            streams, blocks = [], []
+            streams, texts = [], []
             for page in batch.column(2).to_pylist():
                 stream, found = parsed(page)
-                streams.append(json.dumps(folded(stream)))
-                blocks.append([{"path": p, "text": t} for p, t in found])
+                streams.append(json.dumps(stream))
+                texts.append([t for _, t in found])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(streams, pa.string()),
-                 pa.array(blocks, fields)], ["page_id", "url", "host", "stream", "blocks"])
+                 pa.array(texts, pa.list_(pa.string()))], ["page_id", "url", "host", "stream", "texts"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html"))
     return stored(rows.mapInArrow(run, PAGE), "pages")
 
 
-def infer_wrappers(streams: DataFrame, salts: int = SALTS) -> DataFrame:
-    """``(host, wrapper)`` from ``(host, stream)`` rows of folded streams as JSON.
+def infer_wrappers(streams: DataFrame, group: int = GROUP) -> DataFrame:
+    """``(host, wrapper)`` from ``(host, stream)`` rows of streams as JSON.
 
-    Equal streams are merged before the shuffle, so a host with a third of all pages brings only its distinct
-    ones; these are aligned in ``salts`` groups, and then the groups' wrappers.
+    Streams are folded where they are read and equal ones merged before the shuffle, so a host with a third of all pages
+    brings only its distinct ones. These are aligned in groups of about ``group``, the wrappers again, until each host has
+    one: no task has more than a group, however many streams a host has.
     """
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(map(_folded_json, batch.column(1).to_pylist()), pa.string())], ["host", "stream"])
+
     def align(rows: pa.Table) -> pa.Table:
         wrapper = wrapper_of([json.loads(s) for s in rows["stream"].to_pylist()])
         return pa.table({"host": rows["host"][:1], "stream": pa.array([json.dumps(wrapper)], pa.string())})
 
-    distinct = streams.select("host", "stream").distinct()
-    salted = distinct.withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(salts)))
-    parts = salted.groupBy("host", "salt").applyInArrow(align, "host STRING, stream STRING")
-    return parts.groupBy("host").applyInArrow(align, "host STRING, stream STRING").withColumnRenamed("stream", "wrapper")
+    schema = "host STRING, stream STRING"
+    left = stored(streams.select("host", "stream").mapInArrow(fold, schema).distinct(), "streams")
+    while True:
+        sizes = left.groupBy("host").count()
+        most = sizes.agg(F.max("count")).first()[0] or 0
+        if most <= 1:
+            return left.withColumnRenamed("stream", "wrapper")
+        dealt = left.join(sizes, "host").withColumn(
+            "part", F.pmod(F.xxhash64("stream"), F.ceil(F.col("count") / group)))
+        left = stored(dealt.select("host", "part", "stream").groupBy("host", "part").applyInArrow(align, schema), "streams")
 
 
-def content_slots(parsed_pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """``(host, paths)``: the wrapper's slots that hold the article.
+def constant_texts(parsed_pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """``(host, constant)``: place and hash of each text that is constant at its place, for hosts without an article element.
 
-    Slots inside left-out elements never do. If the wrapper has an article or main element, the slots inside it do;
-    else all others but those whose text is the same on most of the host's pages, exact copies of a page counted once.
+    Pages are counted where they have the place, exact copies of a page once.
     """
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for host, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                free = [p for p in slots(json.loads(wrapper)) if not any(s.startswith(MARK) for s in p.split("/"))]
-                inner = [p for p in free if any(_tag(s) in ARTICLE for s in p.split("/"))]
-                rows += [(host, path, bool(inner)) for path in inner or free]
-            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            for host, page, wrapper, stream, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, roles = _places_json(wrapper, stream)
+                rows += {(host, page, k, _hash(t)) for k, role, t in zip(at, roles, texts, strict=True) if k >= 0 and role == SLOT}
+            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.bool_()), strict=True)],
-                ["host", "path", "in_article"])
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "page", "place", "text"])
 
-    candidates = wrappers.select("host", "wrapper").mapInArrow(walk, "host STRING, path STRING, in_article BOOLEAN")
-    blocks = parsed_pages.select("host", F.xxhash64("blocks").alias("page"), F.explode("blocks").alias("b"))
-    in_pages = blocks.select("host", F.col("b.path").alias("path"), F.xxhash64("b.text").alias("text_hash"), "page").distinct()
-    texts = in_pages.groupBy("host", "path", "text_hash").count()
-    constant = texts.groupBy("host", "path").agg(F.sum("count").alias("n"), F.max("count").alias("most")).filter(
-        (F.col("most") >= CONSTANT_PAGES) & (F.col("most") >= CONSTANT_SHARE * F.col("n"))).select(
-        "host", "path", F.lit(True).alias("constant"))
-    judged = candidates.join(constant, ["host", "path"], "left").filter("in_article OR constant IS NULL")
-    return judged.groupBy("host").agg(F.collect_set("path").alias("paths"))
+    plain = wrappers.filter(~F.contains("wrapper", F.lit(json.dumps(IN_ARTICLE))))
+    pages = parsed_pages.join(plain, "host").select("host", F.xxhash64("texts").alias("page"), "wrapper", "stream", "texts")
+    found = pages.mapInArrow(run, "host STRING, page LONG, place INT, text LONG").distinct()
+    holders = found.select("host", "place", "page").distinct().groupBy("host", "place").agg(F.count("*").alias("n"))
+    often = found.groupBy("host", "place", "text").count().filter(F.col("count") >= CONSTANT_PAGES)
+    constant = often.join(holders, ["host", "place"]).filter(F.col("count") >= CONSTANT_SHARE * F.col("n"))
+    return constant.groupBy("host").agg(F.collect_list(F.struct("place", "text")).alias("constant"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text)`` of each row of ``(page_id, url, html)``.
 
     Blocks in page order, character references decoded, white space as single spaces, joined by a space; empty
-    where a page has no article. A page without any block in the host's article slots gives all its blocks outside
+    where a page has no article. A page without any text at the host's article places gives all its blocks outside
     left-out elements. Null html is empty; rows with a null or odd url share one wrapper; repeated rows stay; other
     columns are not read.
     """
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for stream, texts, wrapper, constant in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                at, roles = _places_json(wrapper, stream)
+                host_role = IN_ARTICLE if IN_ARTICLE in _program_json(wrapper)[1] else SLOT
+                left_out = {(c["place"], c["text"]) for c in constant or ()}
+                rows = list(zip(at, roles, texts, strict=True))
+                chosen = [t for k, role, t in rows if role == host_role and not (left_out and (k, _hash(t)) in left_out)]
+                out.append(" ".join(chosen or [t for _, role, t in rows if role != LEFT_OUT]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
     rows = _parse_pages(pages)
     # Stored, so that its size is known: while it is small Spark broadcasts it and no text moves. Beyond that Spark
     # splits a hot host's rows by size, as this side has one row a host.
-    found = stored(content_slots(rows, infer_wrappers(rows)), "content-slots")
-    joined = rows.join(found, "host", "left")
-    article = F.filter("blocks", lambda b: F.array_contains("paths", b["path"]))
-    others = F.filter("blocks", lambda b: ~b["path"].rlike(f"(?:^|/){MARK}"))
-    chosen = F.when(F.size(F.coalesce(article, F.array())) > 0, article).otherwise(others)
-    return joined.select("page_id", "url", F.array_join(F.transform(chosen, lambda b: b["text"]), " ").alias("text"))
+    wrappers = infer_wrappers(rows)
+    judged = stored(wrappers.join(constant_texts(rows, wrappers), "host", "left"), "wrappers")
+    joined = rows.join(judged, "host").select("page_id", "url", "stream", "texts", "wrapper", "constant")
+    return joined.mapInArrow(choose, "page_id LONG, url STRING, text STRING")

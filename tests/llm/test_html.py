@@ -1,8 +1,11 @@
 import json
+import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from repolens.llm.html import aligned, folded, infer_wrappers, main_text, parsed, slots, wrapper_of
+from repolens.llm.html import aligned, folded, infer_wrappers, main_text, parsed, places, program, slots, wrapper_of
 
 
 def page(body, title="T"):
@@ -45,7 +48,43 @@ def test_alignment():
     assert aligned(["a"], []) == [["?", ["a"]]]
     streams = [folded(["body", "div", "#", "/div"] + ["p", "#"] * n + end) for n in (1, 2, 9) for end in ([], ["/body"])]
     assert wrapper_of(streams) == ["body", "div", "#", "/div", ["+", ["p", "#"]], ["?", ["/body"]]]
-    assert slots(wrapper_of(streams)) == ["body/div", "body/p"]
+    assert slots(wrapper_of(streams)) == ["#", "#"]
+    assert places(program(wrapper_of(streams)), ["body", "div", "#", "/div", "p", "#", "p", "#"]) == [0, 1, 1]
+
+
+def as_regex(nodes):
+    """The expression for Python's engine, a character a token."""
+    return "".join(re.escape(n) if isinstance(n, str) else f"(?:{as_regex(n[1])}){n[0]}" for n in nodes)
+
+
+STREAMS = st.lists(st.lists(st.sampled_from("ab#"), max_size=9), min_size=1, max_size=5)
+
+
+@settings(max_examples=400, deadline=None)
+@given(STREAMS)
+def test_a_wrapper_takes_in_every_stream(streams):
+    wrapper = wrapper_of([folded(s) for s in streams])
+    steps = program(wrapper)
+    for s in streams:
+        assert re.fullmatch(as_regex(wrapper), "".join(s))
+        found = places(steps, s)
+        assert len(found) == s.count("#") and set(found) <= set(range(len(slots(wrapper))))
+
+
+@settings(max_examples=200, deadline=None)
+@given(STREAMS, st.lists(st.sampled_from("ab#"), max_size=9))
+def test_matching_equals_a_regular_expression(streams, other):
+    wrapper = wrapper_of([folded(s) for s in streams])
+    assert (places(program(wrapper), other) is not None) == bool(re.fullmatch(as_regex(wrapper), "".join(other)))
+
+
+def test_long_streams_are_aligned_whole():
+    a = [f"t{k}" for k in range(3_000)]
+    b = [t for k, t in enumerate(a) if k % 7] + ["end"]
+    wrapper = aligned(a, b)
+    assert [n for n in wrapper if isinstance(n, str)] == [t for k, t in enumerate(a) if k % 7]
+    long_group = [f"g{k}" for k in range(40)]
+    assert folded(["x", *long_group * 3, "y"]) == ["x", ["+", long_group], "y"]
 
 
 def test_articles_of_a_site(spark):
@@ -75,6 +114,14 @@ def test_wrappers_of_hosts(spark):
     assert found == {"h": ["body", ["+", ["p", "#"]]], "g": ["#"]}
 
 
+def test_many_streams_of_a_host_are_aligned_in_rounds(spark):
+    streams = [["body", *(["div", "#"] if k & 1 else []), f"s{k}", *["p", "#"] * (k % 5), "/body"] for k in range(60)]
+    rows = [("h", json.dumps(s)) for s in streams]
+    (found,) = infer_wrappers(spark.createDataFrame(rows, "host STRING, stream STRING"), group=4).collect()
+    steps = program(json.loads(found["wrapper"]))
+    assert all(len(places(steps, s)) == s.count("#") for s in streams)
+
+
 def test_empty_table(spark):
     assert main_text(spark.createDataFrame([], "page_id LONG, url STRING, html STRING")).count() == 0
 
@@ -84,8 +131,9 @@ def test_containers_whose_classes_differ(spark, holder):
     rows = [(k, f"https://c.example/{k}", page(
         f"<h1>t{k}</h1><{holder} class='cat {kind}'><p>first {k}<p>second {k}</{holder}><footer>f</footer>"))
         for k, kind in enumerate(["news", "sport", "news", "arts"] * 4)]
-    wrapper = wrapper_of([parsed(html)[0] for _, _, html in rows])
-    assert set(slots(wrapper)) == {path for _, _, html in rows for path, _ in parsed(html)[1]}
+    streams = [parsed(html)[0] for _, _, html in rows]
+    steps = program(wrapper_of(streams))
+    assert all(len(places(steps, s)) == len(parsed(html)[1]) for s, (_, _, html) in zip(streams, rows, strict=True))
     pages = spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING")
     for r in main_text(pages).collect():
         k = r["page_id"]
@@ -111,3 +159,34 @@ def test_copies_of_a_page_are_not_constant_text(spark):
         spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING")).collect()}
     assert all(found[k] == "Copied headline same words" for k in range(20))
     assert all(found[100 + k] == f"own {k} words {k}" for k in range(15))
+
+
+def texts_of(spark, bodies):
+    rows = [(k, f"https://e.example/{k}", page(b)) for k, b in enumerate(bodies)]
+    found = main_text(spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING")).collect()
+    return [r["text"] for r in sorted(found, key=lambda r: r["page_id"])]
+
+
+def test_slots_of_one_path_are_told_apart_by_their_place(spark):
+    # A teaser and the body have one path, and some bodies quote the teaser: only its place tells it from them.
+    def body(k):
+        quoted = "<p>read our paper" if k < 3 else ""
+        return f"<div><p>read our paper</p></div><h1>t{k}</h1><div><p>one {k}{quoted}<p>two {k}</p></div>"
+
+    found = texts_of(spark, [body(k) for k in range(24)])
+    assert found == [f"t{k} one {k}" + (" read our paper" if k < 3 else "") + f" two {k}" for k in range(24)]
+
+
+def test_an_optional_notice_is_counted_where_it_can_stand(spark):
+    # A notice on a third of the pages is no constant of its path, but the only text at its place.
+    def body(k):
+        notice = "<div><p>this page is old</p></div>" if k % 3 == 0 else ""
+        return f"<h1>t{k}</h1><div><p>one {k}<p>two {k}</p></div>{notice}<div><ul><li>end {k}</ul></div>"
+
+    assert texts_of(spark, [body(k) for k in range(45)]) == [f"t{k} one {k} two {k} end {k}" for k in range(45)]
+
+
+def test_a_page_of_constant_texts_alone_keeps_them(spark):
+    rows = ["<p>closed</p>" + "<br>x" * (k % 2) + f"<i>{k}</i>" * (k > 11) for k in range(24)]
+    found = texts_of(spark, rows)
+    assert found[0] == "closed" and all(f.endswith(str(k)) for k, f in enumerate(found) if k > 11)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from repolens.functions.sast import sast_severity, sast_vector
 from repolens.operators.findings import GITLEAKS, SECRETS, SEMGREP
 from repolens.sources.git_export import report_repo
+from repolens.sources.json_objects import read_json_objects
 
 GITLEAKS_SCHEMA = (
     "RuleID STRING, Description STRING, File STRING, StartLine INT, Secret STRING, Match STRING, "
@@ -77,23 +78,23 @@ def normalise_semgrep(raw: DataFrame) -> DataFrame:
 
 
 def read_gitleaks_json(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
-    """A secret report: one JSON array per file.  Without ``repo_id`` the reports of many
+    """A secret report: one JSON array per file, of any length.  Without ``repo_id`` the reports of many
     repositories, each in a folder or a file of its repository's name.
     """
-    raw = spark.read.schema(GITLEAKS_SCHEMA).json(path, multiLine=True, recursiveFileLookup=True)
-    return normalise_gitleaks(raw.select(
-        report_repo(spark, path, repo_id).alias("repo_id"), "*", F.monotonically_increasing_id().alias("ordinal")))
+    objects = read_json_objects(spark, path, report_repo(spark, path, repo_id))
+    return normalise_gitleaks(objects.select(
+        "repo_id", F.struct("file", "object").alias("ordinal"), F.from_json("json", GITLEAKS_SCHEMA).alias("r")).select(
+        "repo_id", "ordinal", "r.*"))
 
 
 def read_semgrep_json(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
     """A static-analysis report: an object with a ``results`` array; many of them without ``repo_id``.
 
-    Reference lists may also be single strings; both forms are read.
+    A report of any length is read by byte ranges, and a result is a row as soon as it is found. Reference lists may also be single strings; both forms are read.
     """
     loose = SEMGREP_RESULT.replace("cwe: ARRAY<STRING>", "cwe: STRING").replace("owasp: ARRAY<STRING>", "owasp: STRING")
-    raw = spark.read.schema(f"results ARRAY<STRUCT<{_struct_fields(loose)}>>").json(
-        path, multiLine=True, recursiveFileLookup=True)
-    result = raw.select(report_repo(spark, path, repo_id).alias("repo_id"), F.explode("results").alias("r")).select("repo_id", "r.*")
+    objects = read_json_objects(spark, path, report_repo(spark, path, repo_id), "results")
+    result = objects.select("repo_id", F.from_json("json", loose).alias("r")).select("repo_id", "r.*")
     extra = F.struct(
         F.col("extra.message").alias("message"), F.col("extra.severity").alias("severity"),
         F.struct(F.col("extra.metadata.category").alias("category"), _as_list("extra.metadata.cwe").alias("cwe"),
@@ -102,12 +103,6 @@ def read_semgrep_json(spark: SparkSession, path: str, repo_id: str | None = None
         "repo_id", "check_id", "path", "start", extra.alias("extra")))
 
 
-def _struct_fields(ddl: str) -> str:
-    """Column DDL in the form used inside STRUCT<>."""
-    return (ddl.replace("check_id STRING", "check_id: STRING").replace("path STRING", "path: STRING")
-            .replace("start STRUCT", "start: STRUCT").replace("extra STRUCT", "extra: STRUCT"))
-
-
 def _as_list(name: str) -> Column:
     """A JSON value read as text: a list stays a list, a single string becomes one."""
     value = F.col(name)

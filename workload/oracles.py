@@ -510,6 +510,8 @@ CTES["own_large"] = "select * from own_readable where len(string_split(content,
 BODIES["author_report_stored"] = BODIES["author_report"]
 BODIES["security_findings_stored"] = BODIES["security_findings"]
 
+BODIES["src_gitleaks_files"] = BODIES["src_gitleaks"]
+BODIES["src_semgrep_files"] = BODIES["src_semgrep"]
 BODIES["src_files"] = f"""
 select repo_id, path, octet_length(encode(content)) as n_bytes, sha256(content) as sha256, null as problem from files
 union all select repo_id, '{NOT_A_TEXT}', 6, null, 'not UTF-8' from repo_ids"""

@@ -25,7 +25,7 @@ from repolens.sources.config import roster_from_authors
 from repolens.sources.files import read_file_bytes
 from repolens.sources.snapshots import latest_snapshot, read_snapshots
 from repolens.streaming import feeds as streams
-from workload.staging import DISABLED, EXCLUDE, PERIOD_START, Staged, export_files
+from workload.staging import DISABLED, EXCLUDE, PERIOD_START, Staged, export_files, export_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,6 +78,23 @@ def src_files(s: Staged) -> DataFrame:
     return read_file_bytes(s.spark, folder).select("repo_id", "path", "n_bytes", F.sha2("content", 256).alias("sha256"), "problem")
 
 
+@query
+def src_gitleaks_files(s: Staged) -> DataFrame:
+    """Secret reports of all repositories, written as JSON documents and read back."""
+    folder = _folder(s, "secret-reports")
+    export_reports(s.gitleaks_raw, folder, ["ordinal", "File"], "[", "]")
+    return feeds.read_gitleaks_json(s.spark, folder).withColumn("repo_id", F.regexp_replace("repo_id", "^repo_id=", ""))
+
+
+@query
+def src_semgrep_files(s: Staged) -> DataFrame:
+    """Analysis reports of all repositories, among members that look like results, written as JSON documents and read back."""
+    folder = _folder(s, "sast-reports")
+    begin = r'{"version": "1}{ \"results\": [", "errors": [{"results": [{"check_id": "no"}]}], "time": {"a": {}, "results": [{}]}, "results": ['
+    export_reports(s.semgrep_raw, folder, ["path", "check_id"], begin, '], "skipped": [{"check_id": "no"}, {"check_id": "no"}]}')
+    return feeds.read_semgrep_json(s.spark, folder).withColumn("repo_id", F.regexp_replace("repo_id", "^repo_id=", ""))
+
+
 # --- filters and scalar functions -------------------------------------------
 
 

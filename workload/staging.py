@@ -13,7 +13,7 @@ from functools import cached_property
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repolens.sources.config import ignore_rows, merged_settings, roster_rows, settings_rows
@@ -290,3 +290,13 @@ def export_files(files: DataFrame, folder: str) -> None:
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
     files.select("repo_id", "path", "content").mapInArrow(write, "n LONG").agg(F.sum("n")).collect()
+
+
+def export_reports(rows: DataFrame, folder: str, order: list[str], begin: str, end: str) -> None:
+    """The rows of each repository as one JSON document: ``begin``, the rows as objects in that order, ``end``."""
+    fields = [c for c in rows.columns if c not in ("repo_id", "ordinal")]
+    numbered = rows.select("repo_id", F.to_json(F.struct(*fields)).alias("json"), F.row_number().over(
+        Window.partitionBy("repo_id").orderBy(*order)).cast("long").alias("n"))
+    lines = numbered.select("repo_id", "n", F.concat(F.when(F.col("n") == 1, begin).otherwise(","), "json").alias("value"))
+    ends = numbered.groupBy("repo_id").agg((F.max("n") + 1).alias("n"), F.lit(end).alias("value"))
+    lines.unionByName(ends).repartition("repo_id").sortWithinPartitions("repo_id", "n").drop("n").write.partitionBy("repo_id").text(folder)

@@ -8,6 +8,7 @@ encoded in one call, and the ids of each part are kept for later texts.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import string
@@ -23,7 +24,7 @@ from repolens.llm.base import in_parts, text_of
 
 #: Closes each document.
 END_ID = 0
-#: Parts that one Python worker keeps, about 200 bytes each; beyond that it starts anew.
+#: Parts that one Python worker keeps, about 200 bytes each, and those of one call; beyond that the older half goes.
 KEPT_PARTS = 300_000
 #: A longer part is encoded anew each time, so that what is kept stays small.
 KEPT_LENGTH = 64
@@ -57,54 +58,55 @@ class Encoder:
             self._begins[before][[i for token, i in vocabulary.items() if token.startswith(mark)]] = True
         self._newline = self._ids("\n")
         self._kept: dict[str, bytes] = {}  # by the part and what stands before it
+        self._older: dict[str, bytes] = {}  # kept before those; what is met again moves over, the rest goes
         self._tails: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _together(self, parts: list[str], before: str) -> dict[str, bytes]:
-        """Ids of ``before + part`` for parts without white space; a few hundred parts a call are quickest."""
+    def _together(self, words: list[str], before: str) -> dict[str, bytes]:
+        """Ids of words that begin with ``before`` and have no other white space; a few hundred words a call are quickest."""
         found: dict[str, bytes] = {}
-        for i in range(0, len(parts), 200):
-            some = parts[i : i + 200]
-            text = before + before.join(some)
-            ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self._begins[before][ids]).tolist()
+        for i in range(0, len(words), 200):
+            some = words[i : i + 200]
+            ids = np.array(self._tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self._begins[before][ids])
             if len(cuts) != len(some):  # a vocabulary whose tokens go over the cut
-                found.update((x, self._ids(before + x)) for x in some)
+                found.update((x, self._ids(x)) for x in some)
                 continue
-            raw = ids.tobytes()
-            found.update((x, raw[4 * a : 4 * b]) for x, a, b in zip(some, cuts, [*cuts[1:], len(ids)], strict=True))
+            raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            found.update(zip(some, [raw[a:b] for a, b in itertools.pairwise(ends)], strict=True))
         return found
 
-    def _learn(self, parts: dict[str, int], before: str) -> dict[str, bytes]:
-        """Ids of ``before + part`` for unknown parts; those seen twice are kept."""
+    def _learn(self, words: list[str], before: str) -> dict[str, bytes]:
+        """Ids of unknown words, which begin with ``before``; all but long ones are kept."""
         known, tails = self._kept, self._tails
-        ended: dict[str, str] = {}  # parts that end in a run of punctuation after letters: different pre-tokens
+        ended: dict[str, str] = {}  # words that end in a run of punctuation after letters: different pre-tokens
         alone: set[str] = set()
-        for part in parts:
-            if part.isalnum():
-                alone.add(part)
+        for word in words:
+            if word[1:].isalnum():
+                alone.add(word)
                 continue
-            stem = part.rstrip(string.punctuation)
-            if stem != part and stem and stem[-1].isalpha() and "<" not in part:
-                ended[part] = stem
-                part = stem
-            if part and before + part not in known and _SPACE.search(part) is None:
-                alone.add(part)
+            stem = word.rstrip(string.punctuation)
+            if stem != word and stem[-1].isalpha() and "<" not in word:
+                ended[word] = stem
+                word = stem
+            part = word[1:]
+            if part and word not in known and (part.isalnum() or _SPACE.search(part) is None):
+                alone.add(word)
         found = self._together(list(alone), before)
-        for part, stem in ended.items():
-            tail = part[len(stem):]
-            begin = found.get(stem) or known.get(before + stem)
+        for word, stem in ended.items():
+            tail = word[len(stem):]
+            begin = found.get(stem) or known.get(stem)
             if begin is not None:
                 if tail not in tails:
                     tails[tail] = self._ids(tail)
-                found[part] = begin + tails[tail]
-        for part, times in parts.items():
-            if part not in found:
-                found[part] = self._ids(before + part)
-            if times > 1 and len(part) <= KEPT_LENGTH:
-                known[before + part] = found[part]
+                found[word] = begin + tails[tail]
+        for word in words:
+            if word not in found:
+                found[word] = self._ids(word)
+            if len(word) <= KEPT_LENGTH:
+                known[word] = found[word]
         if len(tails) > KEPT_PARTS:
             tails.clear()
         return found
@@ -134,35 +136,37 @@ class Encoder:
             return
         coded = parts.dictionary_encode()
         codes = coded.indices.to_numpy()
-        words, times = coded.dictionary.to_pylist(), np.bincount(codes, minlength=len(coded.dictionary)).tolist()
-        if len(self._kept) > KEPT_PARTS:
-            self._kept.clear()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # ``to_pylist`` makes a scalar of each
+        if len(self._kept) > KEPT_PARTS // 2:
+            self._older, self._kept = self._kept, {}
         ids: list[bytes | None] = list(map(self._kept.get, words))
-        unknown: dict[str, dict[str, int]] = {" ": {}, "\n": {}}
-        for k in [k for k, found in enumerate(ids) if found is None]:
+        unknown: dict[str, list[str]] = {" ": [], "\n": []}
+        new = [k for k, found in enumerate(ids) if found is None]
+        for k in new:
             word = words[k]
-            if word[:1] in unknown:
-                unknown[word[0]][word[1:]] = k
+            if (older := self._older.get(word)) is not None:
+                ids[k] = self._kept[word] = older
+            elif word[:1] in unknown:
+                unknown[word[0]].append(word)
             else:
                 ids[k] = self._ids(word)
-        for before, new in unknown.items():
-            found = self._learn({part: times[k] for part, k in new.items()}, before)
-            for part, k in new.items():
-                ids[k] = found[part]
+        found = self._learn(unknown[" "], " ") | self._learn(unknown["\n"], "\n")
+        for k in new:
+            if ids[k] is None:
+                ids[k] = found[words[k]]
         firsts: dict[int, bytes] = {}
         if first_may_be_spaced:  # a space that begins a text has nothing before it
             firsts = {k: self._ids(words[k]) for k in set(codes[offsets[:-1]].tolist()) if words[k][:1] in unknown}
-        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        whole = np.frombuffer(b"".join(ids), "<u4")
-        starts = np.cumsum(lens) - lens
-        taken = lens[codes]
-        ends = np.cumsum(taken)
-        flat = whole[np.repeat(starts[codes] - (ends - taken), taken) + np.arange(ends[-1])]
-        bounds = np.concatenate([[0], ends])[offsets].tolist()
+        # One copy of bytes for each part: an index for each id would cost more than the lookup.
+        taken = pa.array(ids, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(taken.buffers()[1], "<i8")[taken.offset : taken.offset + len(taken) + 1]
+        flat = taken.buffers()[2] or pa.py_buffer(b"")
+        bounds = ends[offsets].tolist()
         for i, at, a, b in zip(places, offsets.tolist(), bounds, bounds[1:], strict=False):
-            out[i] = flat[a:b].tobytes()
             if first_may_be_spaced and codes[at] in firsts:
-                out[i] = firsts[codes[at]] + out[i][4 * int(taken[at]):]
+                out[i] = firsts[codes[at]] + flat[int(ends[at + 1]) : b].to_pybytes()
+            else:
+                out[i] = flat[a:b].to_pybytes()
 
 
 @functools.cache

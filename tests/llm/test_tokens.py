@@ -41,6 +41,21 @@ def test_kept_parts_are_bounded(library, monkeypatch):
             assert ids(raw) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_in_use_are_encoded_once(library, monkeypatch):
+    """A word seen once is known in later calls, and one that is met again and again outlives the bound."""
+    encoder, asked = Encoder(tokenizer_path()), []
+    together = encoder._together
+    monkeypatch.setattr(encoder, "_together", lambda words, before: asked.extend(w.strip() for w in words) or together(words, before))
+    encoder.encode(["one rare word"])
+    encoder.encode(["any rare word"])
+    assert sorted(asked) == ["rare", "word"]
+    monkeypatch.setattr("repolens.llm.tokens.KEPT_PARTS", 6)
+    for k in range(9):
+        text = " ".join(["any", "rare", *(f"w{k}{i}" for i in range(3))])
+        assert ids(encoder.encode([text])[0]) == library.encode(text, add_special_tokens=False).ids
+    assert asked.count("rare") == 1 and len(encoder._kept) + len(encoder._older) <= 14
+
+
 def test_null_and_empty_have_the_end_id(spark):
     rows = spark.createDataFrame([(1, None), (None, ""), (1, "a"), (1, "a")], "doc_id LONG, text STRING")
     found = sorted((str(r["doc_id"]), ids(r["ids"])) for r in with_ids(rows, end_id=0).collect())

@@ -16,7 +16,8 @@ def read_file_bytes(spark: SparkSession, root: str, repo_id: str | None = None,
     """``repo_id, path, n_bytes, content, problem`` of the files below ``root``; without ``repo_id`` of many repositories.
 
     ``content`` is the text of files that are strictly UTF-8 and null for all others, whose ``problem`` says why. Larger files than
-    ``most_bytes`` are known by their length alone: a second listing, which reads no byte, brings them. Spark lists no files of length 0.
+    ``most_bytes`` are known by their length alone: a second listing, which reads no byte, brings them in few tasks, since Spark
+    deals files to tasks as if each had to be opened. Spark lists no files of length 0.
     """
     repo, path = repo_and_path(spark, root, repo_id)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -26,7 +27,7 @@ def read_file_bytes(spark: SparkSession, root: str, repo_id: str | None = None,
     read = read.withColumn("problem", F.when(F.col("content").isNull(), F.lit(NOT_TEXT)))
     large = listed.filter(F.col("length") > most_bytes).select(
         repo.alias("repo_id"), path.alias("path"), F.col("length").alias("n_bytes"), F.lit(None).cast("string").alias("content"),
-        F.lit(TOO_LARGE).alias("problem"))
+        F.lit(TOO_LARGE).alias("problem")).coalesce(spark.sparkContext.defaultParallelism)
     return read.unionByName(large)
 
 

@@ -1,7 +1,9 @@
 import datetime
 import json
 
+import pyarrow as pa
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from repolens.operators.commits import author_metrics
@@ -12,6 +14,7 @@ from repolens.sources.git_export import read_blame, read_commit_log, read_files,
 from repolens.sources.snapshots import latest_snapshot, read_snapshots
 from repolens.sources.tables import write_by_month
 from repolens.streaming.feeds import current_metrics, distinct_commits, monthly_metrics, read_commit_stream, stream_author_metrics, stream_snapshots
+from workload import staging
 
 LOG = (
     "\x1eabc\x1fAnn Lee\x1fAnn@x.org\x1f2026-01-31T23:30:00-05:00\x1f2026-02-01T04:30:00+00:00\x1ffeat: x\n\n"
@@ -181,3 +184,43 @@ def test_files_that_are_no_text_leave_with_a_reason(spark, tmp_path):
     assert sorted((r.repo_id, r.path, r.n_bytes, r.content, r.problem) for r in rows.collect() if r.problem) == [
         ("one", "bad.py", 4, None, "not UTF-8"), ("two", "big.py", 50, None, "too large")]
     assert readable(rows).columns == ["repo_id", "path", "content"] and readable(rows).count() == 3
+
+
+def test_export_makes_folders_and_odd_files_once(spark, tmp_path, monkeypatch):
+    made = []
+
+    class Store(fs.LocalFileSystem):
+        def create_dir(self, path, *, recursive=True):
+            made.append(path)
+            super().create_dir(path, recursive=recursive)
+
+        def open_output_stream(self, path, *args, **kwargs):
+            made.append(path)
+            return super().open_output_stream(path, *args, **kwargs)
+
+    class Task:
+        """Runs the function of a task here."""
+
+        select = agg = lambda self, *columns: self
+        collect = lambda self: None
+
+        def mapInArrow(self, write, schema):
+            rows = [("r0", f"src/a/d{k}.py", f"é{k}") for k in range(5)] + [("r1", "top.py", "")]
+            batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*some)], ["repo_id", "path", "content"]) for some in (rows[:3], rows[3:])]
+            assert [b.to_pylist() for b in write(iter(batches))] == [[{"n": 6}]]
+            return self
+
+    monkeypatch.setattr(staging.fs, "LocalFileSystem", Store)
+    staging.export_files(Task(), str(tmp_path))
+    assert len(made) == len(set(made)) == 6 + 2 + 4  # files, odd files, folders
+    found = {(r.repo_id, r.path): r.content for r in read_file_bytes(spark, str(tmp_path)).collect()}
+    assert found == {("r0", f"src/a/d{k}.py"): f"é{k}" for k in range(5)} | {(r, staging.NOT_A_TEXT): None for r in ("r0", "r1")}
+
+
+def test_files_known_by_length_take_few_tasks(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"f{k}").write_text("x")
+    rows = read_file_bytes(spark, str(tmp_path), "r")
+    once = spark.read.format("binaryFile").load(str(tmp_path)).rdd.getNumPartitions()
+    assert rows.rdd.getNumPartitions() <= once + spark.sparkContext.defaultParallelism < 2 * once
+    assert rows.count() == 300

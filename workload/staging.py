@@ -279,14 +279,23 @@ def export_files(files: DataFrame, folder: str) -> None:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = (fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder))
-        n = 0
+        n, folders, repos = 0, set(), set()  # made by this task, each once
+
+        def put(repo: str, name: str, data: bytes) -> None:
+            parent = f"{base}/{repo}/{name.rpartition('/')[0]}"
+            if parent not in folders:
+                store.create_dir(parent, recursive=True)
+                folders.add(parent)
+            with store.open_output_stream(f"{base}/{repo}/{name}") as out:
+                out.write(data)
+
         for batch in batches:
             for repo, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for name, data in ((path, content.encode()), (NOT_A_TEXT, b"caf\xe9 \xff")):
-                    store.create_dir(f"{base}/{repo}/{name.rpartition('/')[0]}", recursive=True)
-                    with store.open_output_stream(f"{base}/{repo}/{name}") as out:
-                        out.write(data)
+                put(repo, path, content.encode())
+                repos.add(repo)
                 n += 1
+        for repo in repos:
+            put(repo, NOT_A_TEXT, b"caf\xe9 \xff")
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
     files.select("repo_id", "path", "content").mapInArrow(write, "n LONG").agg(F.sum("n")).collect()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def in_parts(texts: list[str | None], chars: int) -> Iterator[list[str | None]]:
+def in_parts(texts: Iterable[str | None], chars: int) -> Iterator[list[str | None]]:
     """The texts in order, in lists of about so many characters, one long text aside."""
     some: list[str | None] = []
     size = 0

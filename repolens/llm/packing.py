@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, path: str | None = None, end_i
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            texts = encoded(batch.column(1).to_pylist(), path)
+            texts = encoded((x.as_py() for x in batch.column(1)), path)
             for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
                 ids += end
                 total = len(ids) // 4

@@ -162,7 +162,7 @@ def write_token_files(
         with store.open_output_stream(name) as out:
             writer = PlaneWriter(out, bits, block)
             for batch in batches:
-                texts = encoded(batch.column(1).to_pylist(), path)
+                texts = encoded((x.as_py() for x in batch.column(1)), path)
                 for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
                     writer.add(doc_id, ids + end)
             n_docs, n_ids = writer.close()

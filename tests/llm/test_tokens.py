@@ -56,6 +56,44 @@ def test_words_in_use_are_encoded_once(library, monkeypatch):
     assert asked.count("rare") == 1 and len(encoder._kept) + len(encoder._older) <= 14
 
 
+def test_words_met_again_stay_known(library, monkeypatch):
+    """A word of several calls outlives any number of words met once, within the same bound."""
+    monkeypatch.setattr("repolens.llm.tokens.KEPT_PARTS", 40)
+    encoder, asked = Encoder(tokenizer_path()), []
+    together = encoder._together
+    monkeypatch.setattr(encoder, "_together", lambda words, before: asked.extend(w.strip() for w in words) or together(words, before))
+    encoder.encode(["a rare"])
+    encoder.encode(["a rare"])
+    for k in range(12):
+        encoder.encode([" ".join(f"w{k}{chr(97 + i)}" for i in range(12))])
+    assert ids(encoder.encode(["a rare"])[0]) == library.encode("a rare", add_special_tokens=False).ids
+    assert asked.count("rare") == 1
+    assert len(encoder._often) + len(encoder._kept) + len(encoder._older) <= 40 + 2 * 12
+
+
+def test_words_of_other_texts_replace_those_kept_for_good(monkeypatch):
+    monkeypatch.setattr("repolens.llm.tokens.KEPT_PARTS", 40)
+    encoder = Encoder(tokenizer_path())
+    for alphabet in "ab", "ab", "xy", "xy", "xy":
+        encoder.encode(["- " + " ".join(x + chr(97 + i) for x in alphabet for i in range(15))])
+    assert " xa" in encoder._often and " aa" not in encoder._often
+
+
+@pytest.mark.parametrize("added", [[], ["foo"], ["a.b"], ["é,", ".x"], ["<foo>"], [("bar", {"single_word": True})]])
+def test_cuts_before_marks_keep_the_ids(library, tmp_path, added):
+    from tokenizers import AddedToken, Tokenizer
+
+    own = Tokenizer.from_str(library.to_str())
+    own.add_tokens([AddedToken(x) if isinstance(x, str) else AddedToken(x[0], **x[1]) for x in added])
+    own.save(str(tmp_path / "own.json"))
+    rnd, encoder = random.Random(3), Encoder(str(tmp_path / "own.json"))
+    some = ["foo", "bar", "a", "b", "x", "é", "×", "÷", "ſ", "ė", "’", ".", ",", "_", "'s", "'", "<", ">", "1", " ", " ", " ", "\n", "Ġ", "\x01"]
+    for _ in range(200):
+        texts = ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 20))) for _ in range(10)]
+        for text, raw in zip(texts, encoder.encode(texts), strict=True):
+            assert ids(raw) == own.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_null_and_empty_have_the_end_id(spark):
     rows = spark.createDataFrame([(1, None), (None, ""), (1, "a"), (1, "a")], "doc_id LONG, text STRING")
     found = sorted((str(r["doc_id"]), ids(r["ids"])) for r in with_ids(rows, end_id=0).collect())

@@ -108,9 +108,13 @@ def line_words(line: Column) -> Column:
 
 
 def grams(words: Column) -> Column:
-    """Distinct words and word pairs."""
-    return bind(words, lambda w: F.array_distinct(F.concat(w, F.transform(F.slice(
-        w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))))))
+    """Words and word pairs, repeats included."""
+    return bind(words, lambda w: F.concat(w, F.transform(F.slice(
+        w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))))
+
+
+def _place(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(PLACES)).cast("int")
 
 
 def triples(words: Column) -> Column:
@@ -122,7 +126,7 @@ def triples(words: Column) -> Column:
 
 def places(words: Column) -> Column:
     """The distinct places of a paragraph's n-grams."""
-    return F.array_distinct(F.transform(grams(words), lambda g: F.pmod(F.xxhash64(g), F.lit(PLACES)).cast("int")))
+    return F.array_distinct(F.transform(grams(words), _place))
 
 
 def _constant(values, kind: str) -> Column:
@@ -145,10 +149,11 @@ class LicenseModel:
             row_of[place] = row
         rows, biases = _constant(row_of, "int"), _constant(self.biases, "double")
         flat = _constant([w for _, ws in self.weights for w in ws] or [0.0], "double")
-        known = F.filter(F.transform(places(words), lambda p: F.get(rows, p)), lambda r: r >= 0)
+        # Each place has its own row, so repeats may go after the few known ones are left.
+        known = F.array_distinct(F.filter(F.transform(grams(words), lambda g: F.get(rows, _place(g))), lambda r: r >= 0))
         sums = F.aggregate(known, biases, lambda acc, r: F.zip_with(acc, F.slice(flat, r * n + 1, F.lit(n)), lambda a, b: a + b))
-        powers = bind(sums, lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))
-        return bind(powers, lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda a, b: a + b)))
+        powers = bind(sums, lambda s: bind(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top))))
+        return bind(powers, lambda p: bind(F.aggregate(p, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(p, lambda x: x / total)))
 
 
 #: A paragraph ends at blank lines, or where a line ends a sentence.
